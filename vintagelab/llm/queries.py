@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ogg, packing, secrets, token_files, tokens, warc
+from . import decontaminate, neardup, ogg, packing, secrets, token_files, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.add_media(_read(spark, sf_dir, "documents")))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark."""
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -86,7 +91,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_ogg": op4_ogg, "op6_token_counts": op6_token_counts, "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_ogg": op4_ogg, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
