@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, ogg, packing, secrets, token_files, tokens, warc
+from . import decontaminate, neardup, ogg, packing, pii, quality, secrets, token_files, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.label(F.col("base")), 256).alias("base_sha256"), pii.label(F.col("spans")).alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,6 +58,12 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.add_media(_read(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, from labels outside the held-out fold."""
+    documents = _read(spark, sf_dir, "documents")
+    return quality.scored(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
@@ -91,7 +103,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_ogg": op4_ogg, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
+    return {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_ogg": op4_ogg, "op5_pii": op5_pii, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
