@@ -1 +1,180 @@
-"""Placeholder while the module is written."""
+"""Queries of fitted models, whole jobs and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, models
+from ..streaming import revisions
+from . import pipelines, registry, views
+from .catalog import query
+from .queries_asof import REL
+from .queries_evaluate import KPI, SHOCK
+from .views import VIEWS_SQL as V
+
+
+def _fitted(name: str, covariates: bool = False):
+    def run(spark, d):
+        q = views.qpanel(spark, d)
+        if covariates:
+            m = pipelines.factor_panel(views.mpanel(spark, d), 126)
+            wide = m.groupBy("quarter_ord").pivot("variable", ["A_F", "N_O", "R_F"]).agg(F.first("x"))
+            q = q.join(wide, "quarter_ord", "left")
+        return models.fitted_forecasts(q, [name], 4, 12, ["A_F", "N_O", "R_F"] if covariates else None)
+
+    return run
+
+
+for _id, _name, _x in (
+    ("m08_ar4_growth", "ar4_growth", False), ("m09_ar4", "ar4", False), ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", False),
+    ("m11_factor_pca_qd", "factor_pca_qd", True), ("m15_auto_ets", "auto_ets", False), ("m15_theta", "theta", False), ("m16_auto_arima", "auto_arima", False), ("m17_local_trend_ssm", "local_trend_ssm", False),
+):
+    query(_id)(_fitted(_name, _x))
+
+
+@query("m07_random_models")
+def m07(spark, d):
+    return registry.forecast(views.qpanel(spark, d), list(registry.RANDOM))
+
+
+@query("m12_mixed_frequency_factors")
+def m12(spark, d):
+    """Factors of month slots, as far as each quarter has them, in the ridge of the factor model."""
+    from ..operators import features
+
+    slots = features.month_slots(views.mpanel(spark, d), ["variable"], "month_date", "x")
+    q = features.add_month_features(views.qpanel(spark, d), slots, ["A_F", "N_O", "R_F"])
+    names = [f"{v}_m{k}" for v in ("A_F", "N_O", "R_F") for k in (1, 2, 3)]
+    return models.fitted_forecasts(q, ["factor_pca_qd"], 4, 12, names)
+
+
+@query("m13_random_forest")
+def m13(spark, d):
+    return models.tree_forecasts(views.qpanel(spark, d), "random_forest", 2)
+
+
+@query("m14_boosted_trees")
+def m14(spark, d):
+    return models.tree_forecasts(views.qpanel(spark, d), "xgboost", 2)
+
+
+@query("m21_growth_wrapper")
+def m21(spark, d):
+    return registry.on_growth(views.qpanel(spark, d), ["drift", "ar4"])
+
+
+@query("f08_factor_panel", V + """
+, q AS (SELECT variable, (year(month_date) - 1970) * 4 + quarter(month_date) - 1 AS quarter_ord, avg(x) AS x FROM mpanel WHERE year(month_date) <> 1998 GROUP BY 1, 2),
+g AS (SELECT a.quarter_ord, b.variable FROM (SELECT DISTINCT quarter_ord FROM q WHERE quarter_ord <= 120) a CROSS JOIN (SELECT DISTINCT variable FROM q WHERE quarter_ord <= 120) b)
+SELECT variable, quarter_ord, round(coalesce(last_value(x IGNORE NULLS) OVER w, first_value(x IGNORE NULLS) OVER f, 0.0), 4) AS x FROM g LEFT JOIN q USING (variable, quarter_ord)
+WINDOW w AS (PARTITION BY variable ORDER BY quarter_ord ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY variable ORDER BY quarter_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def f08(spark, d):
+    return pipelines.factor_panel(views.mpanel(spark, d), 120, [1998])
+
+
+@query("j15_window_provenance", V + """
+, w AS (SELECT DISTINCT series_id AS task, quarter_ord - 100 AS window_idx, obs_date AS cutoff FROM qpanel WHERE quarter_ord BETWEEN 100 AND 110),
+dd AS (SELECT DISTINCT asof_date FROM versions WHERE asof_date >= DATE '1995-09-01' AND month(asof_date) % 2 = 1)
+SELECT task, window_idx, CAST(cutoff AS VARCHAR) AS cutoff, CAST(coalesce((SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff), (SELECT min(asof_date) FROM dd)) AS VARCHAR) AS vintage_date,
+  (SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff) IS NULL AS used_fallback, CASE WHEN (SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff) IS NULL THEN 'earliest' ELSE 'panel' END AS source FROM w""")
+def j15(spark, d):
+    w = views.qpanel(spark, d).where("quarter_ord BETWEEN 100 AND 110").select(F.col("series_id").alias("task"), (F.col("quarter_ord") - 100).alias("window_idx"), F.col("obs_date").alias("cutoff"))
+    days = views.versions(spark, d).where("asof_date >= date'1995-09-01' AND month(asof_date) % 2 = 1").select("asof_date").distinct()
+    return pipelines.provenance(w, days)
+
+
+@query("j16_covariate_frame", V + """
+, p AS (SELECT CASE WHEN month_date < DATE '1999-01-01' THEN '1999-01' ELSE '2001-01' END AS vintage, variable AS series_id, month_date AS obs_date, x AS value FROM mpanel)
+SELECT vintage, series_id, CAST(obs_date AS VARCHAR) AS obs_date, round(value, 4) AS value FROM p WHERE vintage = '1999-01'""")
+def j16(spark, d):
+    p = views.mpanel(spark, d).select(F.when(F.col("month_date") < F.lit("1999-01-01"), "1999-01").otherwise("2001-01").alias("vintage"), F.col("variable").alias("series_id"), F.col("month_date").alias("obs_date"), F.col("x").alias("value"))
+    return pipelines.covariate_frame(p, "2000-06")
+
+
+@query("v13_latest_forecast", V + KPI + """
+, l AS (SELECT series_id, max(quarter_ord) AS lo FROM qpanel GROUP BY 1),
+p AS (SELECT p.* FROM preds p JOIN l ON l.series_id = p.series_id AND p.origin_ord = lo WHERE model IN ('drift', 'seasonal_naive')),
+b AS (SELECT *, coalesce(lag(y_hat) OVER (PARTITION BY model, series_id ORDER BY h), last_y) AS b FROM p)
+SELECT model, series_id, target_ord, CAST(last_day(make_date(1970 + target_ord // 4, (target_ord % 4) * 3 + 3, 1)) AS VARCHAR) AS target_end, h, round(y_hat + 0.00137, 2) AS y_hat, round(100 * (y_hat / b - 1), 2) AS qoq, round(CASE WHEN y_hat > 0 AND b > 0 THEN 100 * (pow(y_hat / b, 4) - 1) END, 2) AS saar FROM b""", 2)
+def v13(spark, d):
+    return pipelines.latest_forecast(views.qpanel(spark, d), ["drift", "seasonal_naive"]).withColumn("y_hat", F.col("y_hat") + 0.00137)
+
+
+@query("v12_nowcast_trace", V + REL + """
+, cuts AS (SELECT DISTINCT asof_date AS cutoff FROM versions WHERE asof_date BETWEEN DATE '1998-01-31' AND DATE '1998-12-31'),
+known AS (SELECT cutoff, series_id, (year(obs_date) - 1970) * 4 + quarter(obs_date) - 1 AS quarter_ord, arg_max(value, asof_date) AS y FROM versions, cuts WHERE asof_date <= cutoff GROUP BY 1, 2, 3),
+tr AS (SELECT * FROM known WHERE quarter_ord < 115),
+a AS (SELECT series_id, cutoff, count(*) AS n, max(quarter_ord) AS lo, arg_max(y, quarter_ord) AS y, arg_min(y, quarter_ord) AS f FROM tr GROUP BY 1, 2),
+p AS (SELECT a.*, 115 - lo AS h FROM a WHERE n >= 8 AND 115 - lo BETWEEN 1 AND 4),
+fr AS (SELECT series_id, first_date FROM rel WHERE quarter_ord = 115)
+SELECT 'drift' AS model, p.series_id, CAST(cutoff AS VARCHAR) AS cutoff, h, round(y + h * (y - f) / (n - 1) + 0.00137, 2) AS y_hat,
+  coalesce(cutoff = max(CASE WHEN cutoff < first_date THEN cutoff END) OVER (PARTITION BY p.series_id), false) AS last_before FROM p LEFT JOIN fr ON fr.series_id = p.series_id""", 2)
+def v12(spark, d):
+    return pipelines.nowcast_trace(views.versions(spark, d), 115, ["drift"], "1998-01-31", "1998-12-31").withColumn("y_hat", F.col("y_hat") + 0.00137)
+
+
+@query("e15_evaluation_pipeline")
+def e15(spark, d):
+    return pipelines.window_evaluation(views.qpanel(spark, d), ["naive_last", "drift", "mean", "seasonal_naive", "ar4"], "naive_last", SHOCK)["leaderboard"]
+
+
+@query("e16_realtime_backtest")
+def e16(spark, d):
+    return pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "drift", "ar4"])
+
+
+@query("e16_realtime_metrics")
+def e16b(spark, d):
+    r = pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "drift", "mean"])
+    return evaluate.relative_metrics(r.where("stage = 'first'"), "naive_last", "bucket")
+
+
+@query("e14_extra_benchmarks")
+def e14(spark, d):
+    from ..operators import baselines
+
+    q = views.qpanel(spark, d)
+    return evaluate.exchange_forecasts(baselines.with_truth(registry.forecast(q, ["naive_last", "auto_arima"]), q))
+
+
+def _stream(spark, d):
+    """versions as files of a stream, a few of them, in the order in which they were published."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    v = views.versions(spark, d).select("series_id", "obs_date", "asof_date", "value", F.col("asof_date").cast("timestamp").alias("arrival"))
+    twice = v.unionByName(v.where("month(asof_date) = 6").withColumn("value", F.col("value") * 2))
+    twice.repartitionByRange(4, "asof_date").write.parquet(f"{base}/in")
+    return revisions.read_stream(spark, f"{base}/in", 2), base
+
+
+@query("st1_streaming_ingest", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(asof_date AS VARCHAR) AS asof_date FROM versions")
+def st1(spark, d):
+    stream, base = _stream(spark, d)
+    revisions.ingest_stream(stream, f"{base}/store", f"{base}/checkpoint", "3650 days").awaitTermination()
+    return revisions.stored(spark, f"{base}/store").select("series_id", "obs_date", "asof_date")
+
+
+@query("st2_high_water", V + "SELECT series_id, CAST(max(asof_date) AS VARCHAR) AS max_asof, count(*) + count(CASE WHEN month(asof_date) = 6 THEN 1 END) AS n FROM versions GROUP BY 1")
+def st2(spark, d):
+    stream, base = _stream(spark, d)
+    name = f"marks_{uuid.uuid4().hex}"
+    revisions.high_water_stream(stream, name, f"{base}/checkpoint").awaitTermination()
+    return spark.table(name)
+
+
+@query("st3_latest_snapshot", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(max(asof_date) AS VARCHAR) AS asof_used FROM versions GROUP BY 1, 2")
+def st3(spark, d):
+    stream, base = _stream(spark, d)
+    name = f"snap_{uuid.uuid4().hex}"
+    revisions.latest_snapshot_stream(stream, name, f"{base}/checkpoint").awaitTermination()
+    return spark.table(name).select("series_id", "obs_date", "asof_used")
+
+
+@query("st4_day_delta", V + """
+, a AS (SELECT series_id, obs_date, arg_max(value, asof_date) AS v FROM versions WHERE asof_date <= DATE '1998-03-31' GROUP BY 1, 2), b AS (SELECT series_id, obs_date, arg_max(value, asof_date) AS v FROM versions WHERE asof_date < DATE '1998-03-31' GROUP BY 1, 2)
+SELECT a.series_id, CAST(a.obs_date AS VARCHAR) AS obs_date, round(b.v, 4) AS before, round(a.v, 4) AS after FROM a LEFT JOIN b ON a.series_id = b.series_id AND a.obs_date = b.obs_date WHERE a.v IS DISTINCT FROM b.v""")
+def st4(spark, d):
+    return revisions.day_delta(views.versions(spark, d), "1998-03-31")
