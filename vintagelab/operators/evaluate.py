@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import quarter_end, quarter_start, saar_growth
 
-ERROR = F.col("y_hat") - F.col("y_true")
+
+
+def error() -> Column:
+    return F.col("y_hat") - F.col("y_true")
 
 
 def _finite(e: Column) -> Column:
@@ -24,7 +27,7 @@ def _metrics(e: Column, suffix: str = "") -> list[Column]:
 
 def point_errors(records: DataFrame, by: list[str], shock: tuple[int, int] | None = None) -> DataFrame:
     """MAE, MSE and RMSE of finite errors, over all rows and (with shock) without the shock quarters: one aggregation."""
-    e = _finite(ERROR)
+    e = _finite(error())
     out = _metrics(e)
     if shock:
         out += _metrics(F.when(~F.col("target_ord").between(*shock), e), "_ex")
@@ -43,7 +46,7 @@ def kpi_tables(records: DataFrame, shock: tuple[int, int]) -> DataFrame:
     from ..functions.scalars import period_slice
 
     k = level_kpi(records).withColumn("period", period_slice(F.col("target_ord"), *shock))
-    e, g = _finite(ERROR), _finite(F.col("g_hat") - F.col("g_true"))
+    e, g = _finite(error()), _finite(F.col("g_hat") - F.col("g_true"))
     out = [F.count(e).cast("long").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(g * g)).alias("rmse_saar"), F.avg(F.abs(g)).alias("mae_saar")]
     sets = k.groupingSets([["model", "h"], ["model", "h", "period"]], "model", "h", "period").agg(*out)
     return sets.withColumn("period", F.coalesce("period", F.lit("all")))
@@ -60,7 +63,7 @@ def level_kpi(records: DataFrame) -> DataFrame:
 def relative_metrics(records: DataFrame, baseline: str, bucket: str | None = None) -> DataFrame:
     """RMSE and MAE by model and horizon, log versions, and RMSE relative to the baseline's; with a bucket, errors are averaged
     within the target quarter first."""
-    rows = records.withColumn("e", _finite(ERROR)).withColumn("le", F.when((F.col("y_hat") > 0) & (F.col("y_true") > 0), F.log(F.col("y_hat") / F.col("y_true"))))
+    rows = records.withColumn("e", _finite(error())).withColumn("le", F.when((F.col("y_hat") > 0) & (F.col("y_true") > 0), F.log(F.col("y_hat") / F.col("y_true"))))
     by = ["model", "h", *([bucket] if bucket else [])]
     if bucket:
         rows = rows.groupBy(*by, "series_id", "target_ord").agg(F.avg("e").alias("e"), F.avg("le").alias("le"))
@@ -71,14 +74,14 @@ def relative_metrics(records: DataFrame, baseline: str, bucket: str | None = Non
 
 def window_means(records: DataFrame) -> DataFrame:
     """Per model the mean over windows of each window's RMSE and MAE."""
-    e = _finite(ERROR)
+    e = _finite(error())
     each = records.groupBy("model", "series_id", "origin_ord").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
     return each.groupBy("model").agg(F.count("rmse").cast("long").alias("windows"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
 
 def task_metrics(records: DataFrame) -> DataFrame:
     """(task, model, metric): a task is a series and a horizon, the metric its RMSE."""
-    e = _finite(ERROR)
+    e = _finite(error())
     return records.groupBy(F.concat_ws("_h", "series_id", "h").alias("task"), "model").agg(F.sqrt(F.avg(e * e)).alias("metric"))
 
 
@@ -153,7 +156,7 @@ def _normal_tail(z: Column) -> Column:
 
 def loss_differences(records: DataFrame, benchmark: str) -> DataFrame:
     """(model, h, origin_ord, d): mean over series of the benchmark's squared error less the model's."""
-    e = records.withColumn("e2", _finite(ERROR) * ERROR)
+    e = records.withColumn("e2", _finite(error()) * error())
     base = e.where(F.col("model") == benchmark).select("series_id", "origin_ord", "h", F.col("e2").alias("_b"))
     return e.where(F.col("model") != benchmark).join(base, ["series_id", "origin_ord", "h"]).groupBy("model", "h", "origin_ord").agg(F.avg(F.col("_b") - F.col("e2")).alias("d"))
 
@@ -194,13 +197,13 @@ def fluctuation(differences: DataFrame, window: int = 8, critical: float = 2.77)
 
 def moving_error(records: DataFrame, k: int = 4) -> DataFrame:
     """(model, h, origin_ord, error, moving): mean error by origin and its moving average over k origins."""
-    each = records.groupBy("model", "h", "origin_ord").agg(F.avg(_finite(ERROR)).alias("error"))
+    each = records.groupBy("model", "h", "origin_ord").agg(F.avg(_finite(error())).alias("error"))
     return each.withColumn("moving", F.avg("error").over(Window.partitionBy("model", "h").orderBy("origin_ord").rowsBetween(-(k - 1), 0)))
 
 
 def error_histogram(records: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     """(model, bin, n): relative errors in equal bins, 0 and bins + 1 for what is outside."""
-    e = F.when(F.col("y_true") != 0, ERROR / F.col("y_true"))
+    e = F.when(F.col("y_true") != 0, error() / F.col("y_true"))
     bin_ = F.when(e < low, 0).when(e >= high, bins + 1).otherwise(F.floor((e - low) / (high - low) * bins) + 1).cast("long")
     return records.where(e.isNotNull()).groupBy("model", bin_.alias("bin")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
