@@ -100,3 +100,21 @@ def target_transforms(y: Column, before: Column) -> dict[str, Column]:
     """The four targets: level, log level (null where not positive), and growth, plain and annualised, without a sign guard."""
     step = F.when(before != 0, y / before)
     return {"level": y, "log_level": F.when(y > 0, F.log(y)), "qoq": 100 * (step - 1), "saar": 100 * (F.pow(step, 4) - 1)}
+
+
+def source_rank(name: Column, preferences: list[str]) -> Column:
+    """How well a column name fits a list of preferences: the place of an exact one (case aside), then 1000 + that of one that is
+    contained; null where none fits. The least rank, then the least name, is the source."""
+    upper, rank = F.upper(F.trim(name)), F.lit(None).cast("int")
+    for at in range(len(preferences) - 1, -1, -1):
+        rank = F.when(upper.contains(preferences[at].upper()), 1000 + at).otherwise(rank)
+    for at in range(len(preferences) - 1, -1, -1):
+        rank = F.when(upper == preferences[at].upper(), at).otherwise(rank)
+    return rank
+
+
+def vintage_label(path: Column, manifest: Column, last_date: Column) -> Column:
+    """YYYY-MM of a file's name, else of the manifest's entry, else of the last date of the data."""
+    from ..sources.files import vintage_of
+
+    return F.coalesce(vintage_of(path), F.when(manifest.rlike(r"^\d{4}-\d{2}$"), manifest), F.date_format(last_date, "yyyy-MM"))

@@ -280,3 +280,11 @@ def changed_cells(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
 
 def quarter_starts(c: str) -> Column:
     return quarter_start(F.col(c))
+
+
+def hedgehog(records: DataFrame, panel: DataFrame) -> DataFrame:
+    """(model, series_id, origin_ord, quarter_ord, value, actual): each forecast path, begun at its last observed value, beside what
+    came (the table behind a hedgehog chart)."""
+    path = records.select("model", "series_id", "origin_ord", F.col("target_ord").alias("quarter_ord"), F.col("y_hat").alias("value"))
+    start = records.groupBy("model", "series_id", "origin_ord").agg(F.max("last_y").alias("value")).withColumn("quarter_ord", F.col("origin_ord"))
+    return path.unionByName(start).join(panel.select("series_id", "quarter_ord", F.col("y").alias("actual")), ["series_id", "quarter_ord"], "left")

@@ -67,3 +67,33 @@ def from_sequence(df: DataFrame, item: str, ts: str, columns: list[str]) -> Data
     n = F.size(ts)
     fit = lambda c: F.when(F.size(c) >= n, F.slice(c, 1, n)).otherwise(F.concat(F.col(c), F.array_repeat(F.element_at(c, -1), n - F.size(c))))
     return df.select(item, F.inline(F.arrays_zip(F.col(ts).alias(ts), *[fit(c).alias(c) for c in columns])))
+
+
+def pick_sources(names: DataFrame, preferences: list[str], by: list[str], name: str = "name") -> DataFrame:
+    """(by, name): each group's name of least source_rank, the least name of equals; groups without any are left out."""
+    from ..functions.scalars import source_rank
+
+    ranked = names.withColumn("_rank", source_rank(F.col(name), preferences)).where("_rank IS NOT NULL")
+    return ranked.groupBy(*by).agg(F.min_by(name, F.struct("_rank", name)).alias(name))
+
+
+def item_frame(long: DataFrame, target: str, covariates: list[str], ts: str, arrival: str) -> DataFrame:
+    """(ts, target, covariates...) of rows (ts, item, value): the last value of each item and time, the target's rows kept, the
+    other items as columns of a list given beforehand."""
+    last = long.groupBy(ts, "item").agg(F.max_by("value", arrival).alias("value"))
+    wide = last.groupBy(ts).pivot("item", [target, *covariates]).agg(F.first("value"))
+    return wide.withColumnRenamed(target, "target").where("target IS NOT NULL")
+
+
+def mixed_selection(monthly: DataFrame, quarterly: DataFrame, cap: int, least: int = 8) -> DataFrame:
+    """(variable, frequency, rank): monthly covariates first, then quarterly ones, `cap` in all, of which one at least is quarterly
+    where there is any. Inputs have (variable, pos, x); their order is that of pos."""
+    def count(df: DataFrame, kind: str, order: int) -> DataFrame:
+        return df.groupBy("variable").agg(F.count("x").alias("n"), F.min("pos").alias("pos")).where(F.col("n") >= least).select("variable", F.lit(kind).alias("frequency"), F.lit(order).alias("_o"), "pos")
+
+    both = count(monthly, "M", 0).unionByName(count(quarterly, "Q", 1))
+    within = Window.partitionBy("frequency").orderBy("pos", "variable")
+    first_quarterly = (F.col("frequency") == "Q") & (F.row_number().over(within) == 1)
+    ranked = both.withColumn("_first", first_quarterly).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("_first").cast("int")), "_o", "pos", "variable")))
+    kept = ranked.where(F.col("_r") <= cap)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o", "pos", "variable")).cast("long")).select("variable", "frequency", "rank")

@@ -436,3 +436,42 @@ def k06(spark, d):
 def k07(spark, d):
     v = views.versions(spark, d).select("series_id", "asof_date")
     return v.select("asof_date").distinct().join(v.where("series_id = 'N1'"), "asof_date", "left_anti")
+
+
+@query("p12_pick_source_series", """
+WITH n AS (SELECT DISTINCT p_partkey % 13 AS g, 'S' || CAST(p_partkey % 7 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '_gdp' WHEN p_partkey % 5 = 0 THEN '' ELSE 'x' END AS name FROM part),
+r AS (SELECT g, name, CASE WHEN upper(name) = 'S3' THEN 0 WHEN upper(name) = 'GDP' THEN 1 WHEN contains(upper(name), 'S3') THEN 1000 WHEN contains(upper(name), 'GDP') THEN 1001 END AS rank FROM n)
+SELECT g, name FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rank, name) AS k FROM r WHERE rank IS NOT NULL) WHERE k = 1""")
+def p12(spark, d):
+    k = F.col("p_partkey")
+    tail = F.when(k % 3 == 0, "_gdp").when(k % 5 == 0, "").otherwise("x")
+    names = views.table(spark, d, "part").select((k % 13).alias("g"), F.concat(F.lit("S"), (k % 7).cast("string"), tail).alias("name")).distinct()
+    return features.pick_sources(names, ["s3", "gdp"], ["g"])
+
+
+@query("p14_vintage_labels", V + """
+SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CASE quarter_ord % 3 WHEN 0 THEN strftime(obs_date, '%Y-%m') WHEN 1 THEN '2030-05' ELSE strftime(obs_date + INTERVAL 1 MONTH, '%Y-%m') END AS label FROM qpanel""")
+def p14(spark, d):
+    q = F.col("quarter_ord") % 3
+    path = F.when(q == 0, F.concat(F.lit("/data/panel_"), F.date_format("obs_date", "yyyy"), F.lit("m"), F.month("obs_date").cast("string"), F.lit(".csv"))).otherwise("/data/latest.csv")
+    return views.qpanel(spark, d).select("series_id", "obs_date", S.vintage_label(path, F.when(q == 1, "2030-05"), F.add_months("obs_date", 1)).alias("label"))
+
+
+@query("r02_item_frame", V + """
+SELECT quarter_ord, round(max(CASE WHEN series_id = 'N1' THEN y END), 4) AS target, round(max(CASE WHEN series_id = 'N3' THEN y * 2 END), 4) AS N3, round(max(CASE WHEN series_id = 'N5' THEN y END), 4) AS N5
+FROM qpanel GROUP BY 1 HAVING max(CASE WHEN series_id = 'N1' THEN y END) IS NOT NULL""")
+def r02(spark, d):
+    q = views.qpanel(spark, d).select("quarter_ord", F.col("series_id").alias("item"), F.col("y").alias("value"), F.lit(1).alias("arrival"))
+    again = q.where("item = 'N3'").withColumns({"value": F.col("value") * 2, "arrival": F.lit(2)})
+    return features.item_frame(q.unionByName(again), "N1", ["N3", "N5"], "quarter_ord", "arrival")
+
+
+@query("f02_mixed_selection", V + """
+, m AS (SELECT variable, 'M' AS frequency, 0 AS o, ascii(variable) AS pos FROM mpanel GROUP BY 1 HAVING count(x) >= 8), q AS (SELECT series_id AS variable, 'Q' AS frequency, 1 AS o, CAST(substr(series_id, 2) AS INT) AS pos FROM qpanel GROUP BY 1 HAVING count(y) >= 8),
+b AS (SELECT *, frequency = 'Q' AND row_number() OVER (PARTITION BY frequency ORDER BY pos, variable) = 1 AS f FROM (SELECT * FROM m UNION ALL SELECT * FROM q)),
+k AS (SELECT *, row_number() OVER (ORDER BY f DESC, o, pos, variable) AS r FROM b)
+SELECT variable, frequency, row_number() OVER (ORDER BY o, pos, variable) AS rank FROM k WHERE r <= 5""")
+def f02(spark, d):
+    m = views.mpanel(spark, d).select("variable", F.ascii("variable").alias("pos"), "x")
+    q = views.qpanel(spark, d).select(F.col("series_id").alias("variable"), F.regexp_extract("series_id", "([0-9]+)", 1).cast("int").alias("pos"), F.col("y").alias("x"))
+    return features.mixed_selection(m, q, 5)

@@ -264,6 +264,13 @@ def w09(spark, d):
     return evaluate.moving_error(records(spark, d))
 
 
+@query("r08_hedgehog", V + PREDS + """
+, p AS (SELECT model, series_id, origin_ord, target_ord AS quarter_ord, y_hat AS value FROM records UNION ALL SELECT model, series_id, origin_ord, origin_ord, max(last_y) FROM records GROUP BY 1, 2, 3)
+SELECT p.model, p.series_id, p.origin_ord, p.quarter_ord, round(p.value + 0.00137, 2) AS value, round(q.y, 2) AS actual FROM p LEFT JOIN qpanel q ON q.series_id = p.series_id AND q.quarter_ord = p.quarter_ord""", 2)
+def r08b(spark, d):
+    return untied(evaluate.hedgehog(records(spark, d), views.qpanel(spark, d)), "value")
+
+
 @query("r08_error_histogram", V + PREDS + "SELECT model, CAST(CASE WHEN r < -0.5 THEN 0 WHEN r >= 0.5 THEN 11 ELSE floor((r + 0.5) / 1.0 * 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT model, e / y_true AS r FROM records WHERE y_true <> 0) GROUP BY 1, 2")
 def r08(spark, d):
     return evaluate.error_histogram(records(spark, d), -0.5, 0.5, 10)
