@@ -145,7 +145,10 @@ def _extracted(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     good = patterns(stands.select("pattern", "token", "seed"), words)
     added = stands.where("not seed").join(good, "pattern").select("_row", "start", "end").distinct()
     added = added.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("rank"), "start", "end")).alias("more"))
-    return found.join(added, "_row", "left").withColumn("spans", F.concat("base", F.array_sort(F.coalesce("more", F.array().cast("array<struct<rank:int,start:int,end:int>>")))))
+    # Only rows with a candidate outside their base spans can gain any; the others, nearly all, stay where they are.
+    may_gain = F.exists("_found", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    joined = found.where(may_gain).join(added, "_row", "left").withColumn("spans", F.concat("base", F.array_sort(F.coalesce("more", F.array().cast("array<struct<rank:int,start:int,end:int>>"))))).drop("more")
+    return joined.unionByName(found.where(~may_gain).withColumn("spans", F.col("base")))
 
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_rows, out_batches, text_or_empty
+from .common import in_rows, out_batches, release_memory, text_or_empty
 
 #: Feature space; labelled rows per class that a model is fitted on at most.
 SPACE, SAMPLE = 1 << 18, 6000
@@ -171,5 +171,6 @@ def accepted(df: DataFrame, model: Model | None, text_col: str = "text", thresho
         for batch in batches:
             good = [sent.value.score(features(t or "")) >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
+        release_memory()
 
     return df.mapInArrow(keep, df.schema)

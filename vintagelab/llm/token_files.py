@@ -140,7 +140,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4")
         shard, piece, made = None, 0, []
-        for held in balanced(in_rows(batches), lambda r: len(r[1]), 8 << 20):
+        for held in balanced(in_rows(batches), lambda r: len(r[1]), 4 << 20):
             for (doc_id, _), ids in zip(held, enc.encode_ids([t for _, t in held]), strict=True):
                 shard = shard or ShardWriter(folder, width)
                 shard.add(doc_id, np.concatenate((np.frombuffer(ids, "<u4"), end)))
