@@ -119,3 +119,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50) if i % 10] + [(100, j) for j in range(101, 140)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == (i - 1) // 10 * 10 + 1 for i in range(1, 50)) and all(got[j] == 100 for j in range(100, 140))
+
+
+def test_every_pair_across_components_of_a_bucket_is_checked(spark, monkeypatch):
+    """Where the first suggestions give no link, the few pairs that pass are found among the many that fail the check."""
+    monkeypatch.setattr(neardup, "PART", 2)
+    monkeypatch.setattr(neardup, "forests", lambda sigs, ids: iter(()))
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(40):
+        copy = list(base)
+        for j in rng.sample(range(200), 4):
+            copy[j] = f"z{i}_{j}"
+        rows.append((i, " ".join(copy), "c"))
+        if i % 8 == 0:
+            near = list(copy)
+            for j in rng.sample(range(200), 3):
+                near[j] = f"y{i}_{j}"
+            rows.append((100 + i, " ".join(near), "c"))
+    assert 30 < len(set(brute_classes(rows).values())) < len(rows)
+    check(spark, rows)

@@ -4,8 +4,8 @@ A document is a multiset of five-word shingles. Each unit of a shingle's weight
 process in rank, the same for every document that holds the region; a document keeps, of the darts below a rank that it expects
 about K ln K + 2K of, the earliest one for each of K coordinates. Two documents agree on a coordinate with the probability of
 their weighted Jaccard similarity. Documents that agree on all rows of a band meet in a bucket; there the signatures suggest
-links (maximum spanning forests, so a bucket of m documents suggests O(m) of them, never all pairs), the texts of suggested
-pairs decide exactly, and the classes are the connected components of the links found.
+links (maximum spanning forests, so a bucket of m documents suggests O(m) of them; then pairs across the components found, as
+far as they weren't checked), the texts of suggested pairs decide exactly, and the classes are the connected components.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ DARTS = K * math.log(K) + 2 * K
 SIMILARITY = 0.8
 #: Agreeing coordinates from which a pair is suggested: four standard deviations below what similarity 0.8 gives.
 LEAST_AGREED = 38
-#: Documents in a part of a bucket; larger buckets are dealt into parts anew for each band and round.
+#: Documents in a part of a bucket; larger buckets are dealt into parts, and then every pair of parts is visited.
 PART = 1024
-#: Edge-disjoint spanning forests suggested in a bucket: a link that fails the exact check has others in its place.
+#: Edge-disjoint spanning forests suggested in a bucket at first; pairs that these leave out are met by crossing().
 FORESTS = 3
+#: Pairs across components suggested for a document and block when the rest is met first; after that, all of them.
+FEW = 16
+SUGGESTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 _U = np.uint64
 _BASE, _GOLD = 0x9E3779B97F4A7C15 | 1, _U(0x9E3779B97F4A7C15)
 _powers = (np.ones(1, _U), np.ones(1, _U))
@@ -127,9 +130,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def forests(sigs: np.ndarray, ids: list[int]) -> Iterator[tuple[int, int]]:
+def forests(sigs: np.ndarray, ids: list[int]) -> Iterator[tuple[int, int] | None]:
     """(id, id) of edge-disjoint maximum spanning forests over the pairs that agree on LEAST_AGREED coordinates (Prim's
-    method, a tree after another; of equals the first in the order given)."""
+    method, a tree after another; of equals the first in the order given), and None at the end if such pairs are left."""
     m = len(ids)
     agreed = np.zeros((m, m), np.int16)
     for i in range(m - 1):
@@ -148,6 +151,8 @@ def forests(sigs: np.ndarray, ids: list[int]) -> Iterator[tuple[int, int]]:
                 yield min(ids[k], ids[p]), max(ids[k], ids[p])
             nearer = agreed[k] > best
             best[nearer], parent[nearer] = agreed[k][nearer], k
+    if agreed.any():
+        yield None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,18 +194,61 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(found.mapInArrow(lambda b: out_batches(rows(b), schema), "rid long, id long, x long, words binary, sig binary"), "signatures")
 
 
-def suggested(members: DataFrame, sigs: DataFrame, seed: int) -> DataFrame:
-    """(a, b) from buckets: members (key, n, node), sigs (node, sig); a bucket of over PART is dealt into parts."""
-    part = F.pmod(F.xxhash64("sig", "key", F.lit(seed)), F.ceil(F.col("n") / PART))
-    parts = members.hint("merge").join(sigs, "node").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("node", "sig")).alias("m")).where(F.size("m") > 1).select("m")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def suggested(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b, key) from buckets: members (key, n, node), sigs (node, sig); a bucket of over PART is dealt into parts. A row of
+    a key alone tells that pairs of this bucket, or of one of its parts, were not suggested."""
+    part = F.pmod(F.xxhash64("sig", "key"), F.ceil(F.col("n") / PART))
+    parts = members.hint("merge").join(sigs, "node").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("node", "sig")).alias("m")).where(F.size("m") > 1).select("key", "m")
 
     def rows(batches):
-        for (m,) in in_rows(batches):
-            m = sorted((x["sig"], x["node"]) for x in m)  # by content, so that the order of files changes nothing
-            yield from forests(np.stack([np.frombuffer(s, np.uint16) for s, _ in m]), [i for _, i in m])
+        for key, m in in_rows(batches):
+            m = sorted((x["sig"], x["node"]) for x in m)
+            for pair in forests(np.stack([np.frombuffer(s, np.uint16) for s, _ in m]), [i for _, i in m]):
+                yield (*pair, None) if pair else (None, None, key)
+
+    return parts.mapInArrow(lambda b: out_batches(rows(b), SUGGESTED, count=1 << 16), "a long, b long, key long").distinct()
+
+
+def crossing(members: DataFrame, sigs: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(a, b, key) from buckets: members (key, node): pairs that agree on LEAST_AGREED coordinates and lie in different
+    components, for each node outside its bucket's largest component at most `most` in a block. A row of a key alone tells
+    that more were left.
+
+    A bucket's largest component and its other nodes are dealt into parts of about PART, and each pair of parts of which one
+    isn't of the largest component is a block, so that every pair across components is met, and no task holds a bucket."""
+    held = members.hint("merge").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
+    sizes = held.groupBy("key", "r").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "r")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    sizes = sizes.select("key", F.col("top.r").alias("main"), F.ceil(F.col("top.c") / PART).alias("p"), F.ceil((F.col("n") - F.col("top.c")) / PART).alias("q"))
+    held = held.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    held = held.withColumn("t", F.when(F.col("r") == F.col("main"), F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", "q")).cast("long"))
+    first = F.when(F.col("t") < F.col("p"), F.col("p")).otherwise(F.lit(0))
+    held = held.hint("merge").join(sigs, "node").select("key", "node", "r", "sig", "t", F.explode(F.sequence(first.cast("long"), (F.col("p") + F.col("q") - 1).cast("long"))).alias("o"))
+    blocks = held.groupBy("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("t", "node", "r", "sig")).alias("m")).where(F.size("m") > 1)
 
-    return parts.mapInArrow(lambda b: out_batches(rows(b), schema, count=1 << 16), "a long, b long").distinct()
+    def rows(batches):
+        for key, i, j, m in in_rows(batches):
+            yield from _across(key, [x for x in m if x["t"] == i], [x for x in m if x["t"] == j], i == j, most)
+
+    return blocks.mapInArrow(lambda b: out_batches(rows(b), SUGGESTED, count=1 << 16), "a long, b long, key long").distinct()
+
+
+def _across(key: int, one: list, two: list, same: bool, most: int) -> Iterator[tuple]:
+    """crossing() in a block: the pairs of each of `two` with those of `one` (before it, if they are the same)."""
+    if not one or not two:
+        return
+    sigs, roots, left = np.stack([np.frombuffer(x["sig"], np.uint16) for x in one]), np.array([x["r"] for x in one]), False
+    for k, x in enumerate(two):
+        agreed = (sigs == np.frombuffer(x["sig"], np.uint16)).sum(axis=1)
+        agreed[roots == x["r"]] = 0
+        if same:
+            agreed[k:] = 0
+        hits = np.flatnonzero(agreed >= LEAST_AGREED)
+        left |= len(hits) > most
+        for h in hits[np.argsort(-agreed[hits], kind="stable")[:most]]:
+            yield min(one[h]["node"], x["node"]), max(one[h]["node"], x["node"]), None
+    if left:
+        yield None, None, key
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -230,8 +278,9 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     its class (class_id is null if all are); repeated rows are copies; an empty table gives none; other columns are not read.
 
     Copies are folded by partial aggregation before anything else, buckets are met by key with their counts first, and parts of
-    a bucket are bounded; joins that a frequent key can skew are plain ones that Spark splits. Buckets that were dealt into
-    parts and still hold several components are dealt anew until a round finds no link.
+    a bucket are bounded; joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
+    suggested and it still holds several components, those across components are, until none that agrees on LEAST_AGREED
+    coordinates is left unchecked.
     """
     rows = signatures(df, id_col, text_col)
     nodes = rows.groupBy("words").agg(F.min("rid").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
@@ -242,24 +291,24 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     bands = bands.select("node", F.xxhash64("band", "bits").alias("key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(bands.hint("merge").join(buckets, "key"), "buckets")
-    pairs = staged(suggested(members, firsts.select("node", "sig"), 0), "pairs")
+    sigs = firsts.select("node", "sig")
+    found = staged(suggested(members, sigs), "pairs")
+    pairs = found.where("a IS NOT NULL").select("a", "b")
     met = members.select("node").distinct()
     who = firsts.hint("merge").join(met, "node").select("node", "id", "x")
     source = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
     links = staged(verified(pairs, _texts(source, pairs, who), least), "links")
     roots = components(links)
-    large, seed = members.where(F.col("n") > PART), 0
-    while not large.isEmpty():
-        seed += 1
-        held = large.join(roots.withColumnRenamed("root", "_r"), "node", "left").withColumn("_r", F.coalesce("_r", "node"))
-        open_keys = held.groupBy("key").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi")).where("lo <> hi").select("key")
-        again = staged(_apart(suggested(large.join(open_keys, "key"), firsts.select("node", "sig"), seed), roots), "pairs")
-        again = again.join(pairs, ["a", "b"], "left_anti")
-        more = staged(verified(again, _texts(source, again, who), least), "links")
-        if more.isEmpty():
+    left = staged(found.where("a IS NULL").select("key").union(members.where(F.col("n") > PART).select("key")).distinct(), "keys")
+    for most in (FEW, 1 << 62):
+        if left.isEmpty():
             break
-        links = links.union(more)
-        roots = components(links)
+        found = staged(crossing(members.join(left, "key").select("key", "node"), sigs, roots, most), "pairs")
+        again = staged(found.where("a IS NOT NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = staged(verified(again, _texts(source, again, who, few=True), least), "links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        pairs, left = pairs.union(again), found.where("a IS NULL").select("key").distinct()
     named = nodes.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(classes, "root").select("words", "node", "class_id", "class_size", (F.col("node") == F.col("root")).alias("first"))
@@ -267,19 +316,13 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("first") & (F.col("rid") == F.col("node"))).alias("keep"), "x")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _texts(source: DataFrame, pairs: DataFrame, who: DataFrame) -> DataFrame:
-    """(node, text) of the pairs' ends."""
+def _texts(source: DataFrame, pairs: DataFrame, who: DataFrame, few: bool = False) -> DataFrame:
+    """(node, text) of the pairs' ends; if these can be few, they are staged, so that Spark knows whether to broadcast them."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ends = who.hint("merge").join(ends, "node")
     keyed = source.withColumn("_x", F.xxhash64("text"))
-    return keyed.hint("merge").join(ends, (F.col("_x") == F.col("x")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", "text")
+    ends, keyed = (staged(ends, "ends"), keyed) if few else (ends, keyed.hint("merge"))
+    return keyed.join(ends, (F.col("_x") == F.col("x")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", "text")
 
 
 def without_copies(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
