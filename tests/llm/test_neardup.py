@@ -139,3 +139,19 @@ def test_every_pair_across_components_of_a_bucket_is_checked(spark, monkeypatch)
             rows.append((100 + i, " ".join(near), "c"))
     assert 30 < len(set(brute_classes(rows).values())) < len(rows)
     check(spark, rows)
+
+
+def test_texts_of_equal_signature_do_not_fill_a_part(spark, monkeypatch):
+    """Orders of segments with the same words between them hold the same shingles, so their signatures are equal."""
+    monkeypatch.setattr(neardup, "PART", 8)
+    real = neardup.forests
+
+    def bounded(sigs, ids):
+        assert len(ids) <= 24
+        yield from real(sigs, ids)
+
+    monkeypatch.setattr(neardup, "forests", bounded)
+    rng = random.Random(3)
+    rows = [(i, "a b c d " + " a b c d ".join(rng.sample([f"s{j}" for j in range(9)], 9)) + " a b c d", "c") for i in range(60)]
+    rows += [(100 + i, t, "c") for i, t in enumerate(texts(rng, 10))]
+    check(spark, rows)

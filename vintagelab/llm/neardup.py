@@ -265,7 +265,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             if similarity(mine, np.sort(regions(shingle_hashes(words_of(tb))))) >= least:
                 yield a, b
 
-    both = pairs.select("a", "b").hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "ta", "tb")
+    # The least of a group may be in many pairs: its text comes last, by a join whose larger side Spark splits.
+    both = pairs.select("a", "b").hint("merge").join(two, "b").hint("merge").join(one, "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(lambda b: out_batches(rows(b), schema), "a long, b long")
 
 
@@ -277,8 +278,8 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     texts without words are copies of each other only if equal; texts under five words are one shingle. A null id sorts last in
     its class (class_id is null if all are); repeated rows are copies; an empty table gives none; other columns are not read.
 
-    Copies are folded by partial aggregation before anything else, buckets are met by key with their counts first, and parts of
-    a bucket are bounded; joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
+    Copies are folded by partial aggregation before anything else, and then texts of equal signature, each suggested with one of
+    them; buckets are met by key with their counts first, and parts of a bucket are bounded; joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
     suggested and it still holds several components, those across components are, until none that agrees on LEAST_AGREED
     coordinates is left unchecked.
     """
@@ -287,23 +288,29 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     nodes = staged(nodes, "nodes")
     firsts = rows.where("sig is not null").hint("merge").join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "id", "x", "sig")
     firsts = staged(firsts, "firsts")
-    bands = firsts.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "bits"))
-    bands = bands.select("node", F.xxhash64("band", "bits").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(bands.hint("merge").join(buckets, "key"), "buckets")
+    folds = staged(firsts.groupBy("sig").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("same")), "folds")
+    alike = firsts.join(folds.where("same > 1").select("sig", F.col("node").alias("a")), "sig").where("a <> node")
+    alike = staged(alike.select("a", F.col("node").alias("b")), "alike")
+    bands = folds.select("node", "same", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "bits"))
+    bands = bands.select("node", "same", F.xxhash64("band", "bits").alias("key"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("same").alias("same")).where("n > 1 OR same > 1")
+    members = staged(bands.drop("same").hint("merge").join(buckets, "key"), "buckets")
     sigs = firsts.select("node", "sig")
-    found = staged(suggested(members, sigs), "pairs")
-    pairs = found.where("a IS NOT NULL").select("a", "b")
-    met = members.select("node").distinct()
+    found = staged(suggested(members.where("n > 1"), sigs), "pairs")
+    pairs = found.where("a IS NOT NULL").select("a", "b").union(alike)
+    met = members.select("node").union(alike.select("b")).distinct()
     who = firsts.hint("merge").join(met, "node").select("node", "id", "x")
     source = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
     links = staged(verified(pairs, _texts(source, pairs, who), least), "links")
     roots = components(links)
-    left = staged(found.where("a IS NULL").select("key").union(members.where(F.col("n") > PART).select("key")).distinct(), "keys")
+    left = staged(found.where("a IS NULL").select("key").union(members.where((F.col("n") > PART) | (F.col("same") > 1)).select("key")).distinct(), "keys")
+    members = members.select("key", "node")
+    folded = members.join(alike.withColumnRenamed("a", "node"), "node").select("key", F.col("b").alias("node"))
+    members = members.union(folded)
     for most in (FEW, 1 << 62):
         if left.isEmpty():
             break
-        found = staged(crossing(members.join(left, "key").select("key", "node"), sigs, roots, most), "pairs")
+        found = staged(crossing(members.join(left, "key"), sigs, roots, most), "pairs")
         again = staged(found.where("a IS NOT NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = staged(verified(again, _texts(source, again, who, few=True), least), "links")
         if not more.isEmpty():
