@@ -29,7 +29,7 @@ NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|none|true|false|undefined|todo|changeme|change_me|example|sample|test|dummy|placeholder|your[_-].*|my[_-].*|redacted)$")
 SEPARATOR = re.compile(r":=|=>|[:=]")
 NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\- ]{0,63})\1|([A-Za-z_][A-Za-z0-9_.\-]{0,63}))[ \t]*\Z""")
-VALUE = re.compile(r"""[ \t]*(?:[fFrRbBuU]{0,2}"((?:[^"\\\n]|\\.){0,4096})"|[fFrRbBuU]{0,2}'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_./+\-])|([^\s"',;)}\]]{1,4096}))""")
+VALUE = re.compile(r"""[ \t]*(?:[fFrRbBuU]{0,2}"(-----BEGIN\x20(?:[^"\\]|\\[\s\S])*+|(?:[^"\\\n]|\\.)*+)"|[fFrRbBuU]{0,2}'(-----BEGIN\x20(?:[^'\\]|\\[\s\S])*+|(?:[^'\\\n]|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_./+\-])|([^\s"',;)}\]]{1,4096}))""")
 PLUS = re.compile(r"[ \t]*[+][ \t]*")
 LEAST_SCORE = 0.6
 
@@ -59,8 +59,11 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: entropy per character, length and kinds of characters, from 0 to 1."""
-    if len(value) < 6 or len(value) > 512 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    """How much a literal looks like a secret: entropy per character, length and kinds of characters, from 0 to 1.
+    A PEM block counts without its white space."""
+    if value.startswith("-----BEGIN "):
+        value = "".join(value.split())
+    if len(value) < 6 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
