@@ -102,3 +102,37 @@ def test_packing_obeys_all_three_limits_without_cuts():
         assert sum(len(p[2]) for p in b) <= 512 and len(b) <= 4 and sum(packing.bearing(p) for p in b) <= 256
     least = max(sum(len(r[1]) for r in rows) / 512, sum(r[2].sum() for r in rows) / 256, 3000 / 4)
     assert len(bins) <= 1.25 * least
+
+
+def test_ids_and_counts_equal_the_library_for_letters_beside_marks():
+    """Each character from U+0001 to U+2100, and others, beside marks; the dotted capital I among them."""
+    import random
+
+    r = random.Random(5)
+    marks = ".,!?;:#$%&*|\"()'-_/<=>[]{}~^`@+\\0a1"
+    texts = ["İ!", "aİ.b", "Σİ;", "İİ İ\u0307!"]
+    for c in [*range(1, 0x2101), 0x3000, 0x3042, 0x4E00, 0xAC00, 0xFB01, 0xFF21, 0x10400, 0x1D400, 0x1F600]:
+        ch, m, n = chr(c), r.choice(marks), r.choice(marks)
+        texts += [f"a{ch}{m}b {ch}{n} {ch}", f"{ch}{ch}{m} x{m}{ch}Y {m}{ch} Z"]
+    pool = [chr(c) for c in [*range(32, 127)] * 3 + [9, 10, 11, 12, 13, 28, 31, 0x85, 0xA0, 0x130, 0x131, 0x149, 0x1E9E, 0x3A3, 0x3C2, 0x2028, 0x301, 0x307, 0xDF, 0x17F, 0x212A] + [*range(0xC0, 0x180)]]
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    for path, counts in ((WORD, False), (BYTE, True)):
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        enc = tokens.PieceEncoder(path, counts)
+        if counts:
+            assert enc.encode(texts) == list(map(len, want))
+        else:
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_ids(texts)] == want
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_one_id_in_many_rows_is_dealt_to_several_tasks(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("cast(7 as long) as doc_id", "'same words here' as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(rows, WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.start for r in got] == list(range(0, 4000 * got[0].n_tokens, got[0].n_tokens))

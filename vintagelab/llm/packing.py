@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_rows, out_batches, text_or_empty
-from .tokens import balanced, encoder
+from .tokens import balanced, encoder, n_bytes
 
 #: Ids in a pool.
 POOL_TOKENS = 2_000_000
@@ -156,7 +156,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, segments: int = 6
         base = TaskContext.get().partitionId() << 36
 
         def encoded():
-            for held in balanced(in_rows(batches), lambda r: len(r[1]), 4 << 20):
+            for held in balanced(in_rows(batches), lambda r: n_bytes(r[1]), 4 << 20):
                 for (i, _, lead), ids in zip(held, enc.encode_ids([r[1] for r in held]), strict=True):
                     ids = np.concatenate((np.frombuffer(ids, "<u4"), end))
                     yield i, ids, None if lead is None else np.arange(len(ids)) >= lead

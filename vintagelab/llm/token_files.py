@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, fresh_path, in_rows, out_batches, staged, text_or_empty
-from .tokens import balanced, encoder
+from .tokens import balanced, encoder, n_bytes
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -129,8 +128,9 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
 
     Returns the manifest, already written: shard, part, piece, n_docs, n_tokens. Shards have names of their own for each attempt
     of a task, and the manifest, which Spark commits once, names those that count; a lost executor costs its tasks only.
-    A null text is empty (its one id is end_id); a null id sorts first and stays null; rows with one id follow each other by
-    text; an empty table gives an empty manifest; other columns are not read.
+    A null text is empty (its one id is end_id); a null id sorts first and stays null; rows with one id follow each other by a
+    hash of the text, and are dealt to several tasks where they are many; a text of any length is one document of one frame; an
+    empty table gives an empty manifest; other columns are not read.
     """
     folder = folder or fresh_path(df.sparkSession, "tokens")
     schema = pa.schema([("shard", pa.string()), ("piece", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -140,7 +140,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4")
         shard, piece, made = None, 0, []
-        for held in balanced(in_rows(batches), lambda r: len(r[1]), 4 << 20):
+        for held in balanced(in_rows(batches), lambda r: n_bytes(r[1]), 4 << 20):
             for (doc_id, _), ids in zip(held, enc.encode_ids([t for _, t in held]), strict=True):
                 shard = shard or ShardWriter(folder, width)
                 shard.add(doc_id, np.concatenate((np.frombuffer(ids, "<u4"), end)))
@@ -151,8 +151,10 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
             made.append((shard.close(), piece))
         yield from out_batches(((uri, k, d, n) for (uri, d, n), k in made), schema)
 
-    ordered = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    made = ordered.mapInArrow(write, "shard string, piece long, n_docs long, n_tokens long").withColumn("part", F.spark_partition_id())
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    keys = (F.col("id"), F.xxhash64("text"), F.monotonically_increasing_id())
+    ordered = rows.select("id", "text", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).repartitionByRange("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2")
+    made = ordered.select("id", "text").mapInArrow(write, "shard string, piece long, n_docs long, n_tokens long").withColumn("part", F.spark_partition_id())
     return staged(made, "token-manifest")
 
 
@@ -182,8 +184,3 @@ def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None, id_c
     shards = based.select("shard", "base").repartition(max(1, spark.sparkContext.defaultParallelism * 4), "shard")
     found = shards.mapInArrow(read, "id long, start long, n_tokens long, ids binary")
     return found.withColumnRenamed("id", id_col)
-
-
-def crc32_of(ids: bytes) -> int:
-    """The unsigned CRC-32 of ids as little-endian unsigned 32-bit integers, as F.crc32 gives it for the ids column."""
-    return zlib.crc32(ids)

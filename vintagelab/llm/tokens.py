@@ -30,14 +30,20 @@ LONG_PIECE = 48
 #: Bytes of text in one call of the library.
 CALL_BYTES = 256 << 10
 
-#: A word of letters with marks after it; no token holds both a letter and one of these marks.
-WORD = re.compile(r"""( ?)([A-Za-zÀ-ÖØ-öø-ÿĀ-ž]{1,40})([.,!?;:#$%&*|"()]*)""")
+#: A word of letters with marks after it; no token holds both a letter and one of these marks. The dotted capital I isn't among
+#: the letters: its lower case ends with a combining dot, which joins the marks after it.
+WORD = re.compile(r"""( ?)([A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ž]{1,40})([.,!?;:#$%&*|"()]*)""")
 
-MARK_AFTER_LETTER = r"""([a-zÀ-ÖØ-öø-ÿĀ-ž])([.,!?;:#$%&*|"()])"""
+MARK_AFTER_LETTER = r"""([a-zÀ-ÖØ-öø-ÿĀ-įı-ž])([.,!?;:#$%&*|"()])"""
 
 _encoders: dict[tuple, "PieceEncoder"] = {}
 
 
+def n_bytes(text: str) -> int:
+    """Bytes of the text in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode("utf-8"))
+
+
 class PieceEncoder:
     """Ids (as little-endian 32-bit bytes) or token counts of texts, piece by piece."""
 
@@ -67,7 +73,7 @@ class PieceEncoder:
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (size < CALL_BYTES or end == at):
-                size += len(texts[end]) + 8
+                size += n_bytes(texts[end]) + 8
                 end += 1
             yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False))
             at = end
@@ -248,9 +254,10 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         enc = encoder(vocabulary, counts=True)
 
         def rows():
-            for held in balanced(in_rows(batches), lambda r: len(r[1])):
-                for (i, t), n in zip(held, enc.encode([t for _, t in held])):
-                    yield i, len(t.encode("utf-8")), n
+            sized = ((i, t, n_bytes(t)) for i, t in in_rows(batches))
+            for held in balanced(sized, lambda r: r[2]):
+                for (i, _, size), n in zip(held, enc.encode([t for _, t, _ in held]), strict=True):
+                    yield i, size, n
 
         yield from out_batches(rows(), schema)
 
