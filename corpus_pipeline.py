@@ -32,8 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that they share with the benchmark; those that are half benchmark go as a whole."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark, max_coverage=0.5, keep=docs.columns).where(~F.col("drop"))
-    return _sized(found.withColumn("text", F.col("clean_text")).select(docs.columns))
+    return _sized(decontaminate.decontaminated(docs, benchmark, max_coverage=0.5))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

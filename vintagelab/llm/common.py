@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a local one only where the setting is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset, a local one if all runs on one machine,
+    and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,6 +48,17 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named _k0, _k1, ... so that no name of theirs, whatever it is, meets one of an operator's own."""
+    return df.toDF(*[f"_k{i}" for i in range(len(df.columns))])
+
+
+def no_clash(keep: list[str], own: list[str]) -> None:
+    """An error if a kept column has the name of a result's column."""
+    if twice := {c.lower() for c in keep} & {c.lower() for c in own}:
+        raise ValueError(f"rename the kept columns {sorted(twice)}: the result has columns of these names")
+
+
 def text_or_empty(col: str | Column) -> Column:
     """The text, a null one as an empty one."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -1,25 +1,27 @@
 """Operator 9, benchmark decontamination with a generalised suffix automaton of the benchmark's words.
 
-The automaton of all items is built once and sent to the tasks; each document's words stream through it, and the length of the
+The automaton of all items (of a block of them, if they are many) is built once and sent to the tasks; each document's words stream through it, and the length of the
 longest match that ends at each word is tracked. A match of `window` words or more, or of a whole shorter item, hits its words.
 Hit spans of `min_span` words or more are removed, and documents with more than `max_coverage` of their words hit are dropped.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import in_rows, out_batches, text_or_empty
+from .common import drop_staged, in_rows, no_clash, out_batches, positional, staged, text_or_empty
 
-#: Characters of item text in one automaton; a larger benchmark is taken in blocks of this size.
-BLOCK_CHARS = 24_000_000
+#: Bytes of items' words in one automaton (some 250 MB as Python objects); a larger benchmark is taken in blocks.
+BLOCK_CHARS = 2_000_000
 _SEPARATORS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -146,60 +148,146 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8")
 
 
-def automata(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list:
-    """Broadcast automata of blocks of items, each of a checked size; one block unless the benchmark is large."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text")).where("item is not null and text != ''")
-    total, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > BLOCK_CHARS:
-        raise ValueError(f"an item of {longest} characters is larger than a block; cut it into items")
-    blocks = -(-total // (BLOCK_CHARS // 2)) or 1
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield spark.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in part.toLocalIterator()], window))
+def item_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """Staged distinct (item, text, size) of the items with words; an item of over a quarter of a block is cut into pieces that
+    share window - 1 words, so that each of its windows is in one of them."""
+    schema = pa.schema([("item", pa.string()), ("text", pa.string()), ("size", pa.int64())])
+    most = max(2 * window, BLOCK_CHARS // 4)
 
+    def rows(batches):
+        for item, text in in_rows(batches):
+            words = words_of(text)
+            if sum(map(len, words)) + len(words) <= most:
+                pieces = [words] if words else []
+            else:
+                ends, at, pieces = np.cumsum([len(w) + 1 for w in words]), 0, []
+                while at < len(words):
+                    to = min(len(words), max(at + window, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most))))
+                    pieces.append(words[at:to])
+                    at = to - (window - 1) if to < len(words) else to
+            for p in pieces:
+                yield item, b" ".join(p).decode("utf-8"), sum(map(len, p)) + len(p)
 
-def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every document with what it shares with the benchmark, and its text without that.
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text")).where("text != ''")
+    return staged(items.mapInArrow(lambda b: out_batches(rows(b), schema), "item string, text string, size long").distinct(), "items")
 
-    Returns the columns `keep` (by default the id), n_words, n_hit, n_items, items (their ids as strings, sorted), longest (words of
-    the longest match), clean_text (hit spans of min_span words or more removed, again until none is left) and drop (more than
-    max_coverage of its words are hit). A null text has no words and stays null; null and repeated ids and repeated rows each
-    give a row; items with a null id or without words are left out; an empty benchmark hits nothing; an empty table gives none.
-    A benchmark larger than BLOCK_CHARS is taken in blocks, each over all documents, with the same result.
-    """
-    keep = keep or [id_col]
-    machines = list(automata(benchmark, window, item_col, item_text_col))
-    kept = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
-
-    kind = StructType(list(kept.schema.fields[:-1]))
-    for name, t in (("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("items", ArrayType(StringType())), ("longest", LongType()), ("clean_text", StringType()), ("drop", BooleanType())):
-        kind.add(name, t)
-    schema = to_arrow_schema(kind)
 
-    def scan(words):
-        spans, found, longest = [], set(), 0
-        for m in machines:
-            s, f, n = m.value.scan(words)
-            spans, found, longest = spans + s, found | f, max(longest, n)
-        return merged(spans), found, longest
+def blocks_of(items: DataFrame) -> tuple[DataFrame, int]:
+    """items with a block number, and how many blocks; no block holds more than BLOCK_CHARS bytes of words, which is checked."""
+    total, n = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.lit(1)).first()
+    while n * BLOCK_CHARS < total or n > 1 and not items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(n))).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).where((F.col("s") > BLOCK_CHARS) & (F.col("c") > 1)).isEmpty():
+        n *= 2
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), n
+
+
+def machine_of(items: DataFrame, block: int, window: int):
+    """The broadcast automaton of a block's items."""
+    return items.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in items.where(F.col("block") == block).toLocalIterator()], window))
+
+
+_RESULT = "n_words long, n_hit long, n_items long, items array<string>, longest long, clean_text string, drop boolean"
+OWN = ["n_words", "n_hit", "n_items", "items", "longest", "clean_text", "drop"]
+
+
+def _scanned(kept: DataFrame, benchmark: DataFrame, window: int, min_span: int, max_coverage: float, item_col: str, item_text_col: str) -> DataFrame:
+    """contamination() of _k0, _k1, ... and, as the last column, _text."""
+    items, n = blocks_of(item_pieces(benchmark, item_col, item_text_col, window))
+    if n > 1:
+        return _in_blocks(kept, items, n, window, min_span, max_coverage)
+    machine = machine_of(items, 0, window)
+    kind = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(_RESULT).fields])
+    schema = to_arrow_schema(kind)
 
     def rows(batches):
         for *held, text in in_rows(batches):
             words = words_of(text or "")
-            spans, found, longest = scan(words)
-            hit, clean, now = sum(b - a for a, b in spans), text, spans
+            spans, found, longest = machine.value.scan(words)
+            spans = now = merged(spans)
+            hit, clean = sum(b - a for a, b in spans), text
             while now := [(a, b) for a, b in now if b - a >= min_span]:
                 clean = without(clean, now)
-                now = scan(words_of(clean))[0]
-            yield (*held, len(words), hit, len(found), sorted(found), longest, clean, hit > max_coverage * len(words))
+                now = merged(machine.value.scan(words_of(clean))[0])
+            yield (*held, len(words), hit, len(found), sorted(i for i in found if i is not None), longest, clean, hit > max_coverage * len(words))
+
+    return kept.mapInArrow(lambda batches: out_batches(rows(batches), schema), kind)
 
-    out = kept.mapInArrow(lambda batches: out_batches(rows(batches), schema), kind)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "n_items", "items", "longest", "clean_text", "drop")
+
+def _in_blocks(kept: DataFrame, items: DataFrame, n: int, window: int, min_span: int, max_coverage: float) -> DataFrame:
+    """_scanned() for a benchmark of n blocks: all documents are read against one automaton at a time, whose hits are written;
+    the spans of a document (one row a block at most) are then merged, and those that were cut are read again."""
+    kept = staged(kept.withColumn("_rid", F.monotonically_increasing_id()), "documents")
+    part = "rid long, spans array<struct<a:long,b:long>>, items array<string>, unnamed boolean, longest long"
+    part_schema = to_arrow_schema(StructType.fromDDL(part))
+    done = "rid long, n_words long, n_hit long, n_items long, items array<string>, longest long, clean_text string"
+
+    def hits(machine):
+        def rows(batches):
+            for rid, text in in_rows(batches):
+                spans, found, longest = machine.value.scan(words_of(text or ""))
+                if spans or longest:
+                    yield rid, [{"a": a, "b": b} for a, b in merged(spans)], sorted(i for i in found if i is not None), None in found, longest
+
+        return lambda batches: out_batches(rows(batches), part_schema)
+
+    done_schema = to_arrow_schema(StructType.fromDDL(done))
+
+    def cut(batches):
+        def rows():
+            for rid, text, spans, items, unnamed, longest in in_rows(batches):
+                spans = merged([(s["a"], s["b"]) for s in spans or []])
+                long = [(a, b) for a, b in spans if b - a >= min_span]
+                items = sorted(set(items or []))
+                yield rid, len(words_of(text or "")), sum(b - a for a, b in spans), len(items) + bool(unnamed), items, longest or 0, without(text, long) if long else text
+
+        return out_batches(rows(), done_schema)
+
+    todo, first, texts = kept.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), None, None
+    number = 0
+    while number == 0 or not todo.isEmpty():
+        written = []
+        for k in range(n):
+            machine = machine_of(items, k, window)
+            written.append(staged(todo.mapInArrow(hits(machine), part), "hits"))
+            machine.destroy()
+        found = reduce(DataFrame.union, written)
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        found = found.groupBy("rid").agg(flat("spans"), flat("items"), F.max("unnamed").alias("unnamed"), F.max("longest").alias("longest"))
+        after = staged(todo.join(found, "rid", "left").select("rid", "text", "spans", "items", "unnamed", "longest").mapInArrow(cut, done), "cut")
+        for one in written:
+            drop_staged(one)
+        first = first or after
+        one = after.select("rid", F.struct(F.lit(number).alias("round"), "clean_text").alias("last"))
+        texts = texts.union(one) if texts else one
+        todo = staged(after.join(todo, "rid").where("clean_text <> text").select("rid", F.col("clean_text").alias("text")), "again")
+        number += 1
+    last = texts.groupBy("rid").agg(F.max("last").alias("last")).select(F.col("rid").alias("_rid"), F.col("last.clean_text").alias("clean_text"))
+    out = kept.join(first.drop("clean_text").withColumnRenamed("rid", "_rid"), "_rid").join(last, "_rid")
+    out = out.withColumn("drop", F.col("n_hit") > F.lit(max_coverage) * F.col("n_words"))
+    return out.select(*kept.columns[:-2], *OWN)
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every document with what it shares with the benchmark, and its text without that.
+
+    Returns the columns `keep` (by default the id), n_words, n_hit, n_items, items (their ids as strings, sorted), longest (words of
+    the longest match), clean_text (hit spans of min_span words or more removed, again until none is left) and drop (more than
+    max_coverage of its words are hit). A null text has no words and stays null; null and repeated ids and repeated rows each
+    give a row; items without words are left out; items with a null id hit like others, count as one item together and have no
+    place in items; an empty benchmark hits nothing; an empty table gives none. A kept column with the name of a result's column
+    is an error that says so. Texts of any length are read whole, by one task each.
+    A benchmark larger than BLOCK_CHARS is taken a block at a time, each over all documents, with the same result, except that
+    `longest` may be smaller where the match crosses a cut of an item of over a quarter of a block.
+    """
+    keep = keep or [id_col]
+    no_clash(keep, OWN)
+    kept = positional(df.select(*[F.col(c) for c in keep], F.col(text_col))).withColumnRenamed(f"_k{len(keep)}", "_text")
+    out = _scanned(kept, benchmark, window, min_span, max_coverage, item_col, item_text_col)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *OWN)
 
 
-def items_digest(items: list[str]) -> str:
-    """SHA-256 of the sorted item ids, comma-joined."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def decontaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """df's columns, whatever their names, without the rows that contamination() drops, and with clean texts in the others."""
+    at = df.columns.index(text_col)
+    kept = positional(df).withColumn("_text", F.col(f"_k{at}"))
+    out = _scanned(kept, benchmark, window, min_span, max_coverage, item_col, item_text_col)
+    return out.where(~F.col("drop")).select(*[F.col("clean_text" if i == at else f"_k{i}").alias(c) for i, c in enumerate(df.columns)])
