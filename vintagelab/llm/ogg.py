@@ -96,20 +96,22 @@ def demultiplex(data: bytes) -> tuple[dict[int, Stream], list[tuple[int, int, st
         bad.append((at, to, why))
         at = to
 
+    def following(step: int) -> int:
+        to = data.find(b"OggS", at + step)
+        return to if to > 0 else len(data)
+
     while at < len(data):
         if data[at : at + 4] != b"OggS":
-            to = data.find(b"OggS", at + 1)
-            skip(to if to > 0 else len(data), "no capture pattern")
+            skip(following(1), "no capture pattern")
             continue
         if at + 27 > len(data) or at + 27 + data[at + 26] > len(data):
-            skip(len(data), "cut header")
+            skip(following(4), "cut header")
             continue
         version, flags, granule, serial, number, check, n = struct.unpack_from("<BBqIIIB", data, at + 4)
         lacing = data[at + 27 : at + 27 + n]
         begin, end = at + 27 + n, at + 27 + n + sum(lacing)
         if version or end > len(data) or checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != check:
-            to = data.find(b"OggS", at + 4)
-            skip(to if to > 0 else len(data), "checksum" if end <= len(data) else "cut page")
+            skip(following(4), "checksum" if end <= len(data) else "cut page")
             continue
         s = streams.setdefault(serial, Stream())
         if s.next is not None and number != s.next:
@@ -171,8 +173,9 @@ def padded(raw: bytes) -> bytes:
 
 
 def add_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and media: each whole text as a binary Ogg column. A null text is empty; rows keep their number; equal texts give equal
-    media; other columns are not read."""
+    """id and media: each whole text as a binary Ogg column. A null text is empty; null and repeated ids and repeated rows each
+    give a row; equal texts give equal media; a text of any length is one value, made in one task; an empty table gives none;
+    other columns are not read."""
     schema = pa.schema([("id", pa.int64()), ("media", pa.binary())])
 
     def rows(batches):

@@ -39,7 +39,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written to archives and read back by the salvaging reader."""
     manifest = warc.write_archives(_read(spark, sf_dir, "pages"))
-    return warc.read_archives(manifest).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(manifest, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """

@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, fresh_path, in_rows, out_batches, staged
 
-#: Bytes of an archive before the next one begins; the largest record that the reader takes.
-ARCHIVE_BYTES, LARGEST_RECORD = 64 << 20, 1 << 30
+#: Bytes of an archive before the next one begins.
+ARCHIVE_BYTES = 64 << 20
+#: What a value of a Spark row can hold; a larger record can be no row, and is told of as a gap.
+LARGEST_RECORD = (1 << 31) - (1 << 20)
+#: Payloads with more than this share of all copies are dealt out before the join, so HOT_SHARES bounds how many they are.
+HOT_SHARES = 1000
 #: Payloads shorter than this are never revisited.
 LEAST_REVISIT = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,7 +65,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(fields, block, end) of the record at a place; ValueError with what is wrong."""
     if not data.startswith(b"WARC/1.", at):
         raise ValueError("no version line")
-    split = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    split = data.find(b"\r\n\r\n", at)
     if split < 0:
         raise ValueError("no end of header")
     fields = {}
@@ -130,7 +134,7 @@ def inflate(window: Window, at: int) -> tuple[bytes, int]:
             if not out[0].startswith(b"WARC/1."[: len(out[0])]):
                 raise ValueError("member holds no record")
             if total > LARGEST_RECORD:
-                raise ValueError("record too large")
+                raise ValueError("record larger than a row can be")
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     return b"".join(out), place - len(z.unused_data)
@@ -151,24 +155,14 @@ def salvage(file) -> Iterator[tuple[str, int, int, object]]:
                 if used != len(data):
                     raise ValueError("more than a record in a member")
             elif window.get(at, 7) == b"WARC/1.":
-                n, found = 1 << 16, None
-                while found is None:
-                    data = window.get(at, n)
-                    try:
-                        found = parse(data)
-                    except ValueError:
-                        if len(data) < n or n > LARGEST_RECORD or b"\r\n\r\n" in data[: 1 << 20] and _complete(data):
-                            raise
-                        n *= 4
-                fields, block, used = found
+                fields, block, used = parse(window.get(at, _length(window, at)))
                 end = at + used
             else:
                 raise ValueError("neither a member nor a version line")
         except ValueError as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            marks = [window_find for window_find in ([_MEMBER] if packed else [b"WARC/1.", _MEMBER])]
-            places = []
+            marks, places = [_MEMBER] if packed else [b"WARC/1.", _MEMBER], []
             for mark in marks:
                 base, held = window.base, window.held
                 if (k := window.find(mark, at + 1)) >= 0:
@@ -186,11 +180,22 @@ def salvage(file) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", gap, window.size, reason
 
 
-def _complete(data: bytes) -> bool:
-    """Whether the block that the header tells of lies within the data, so that reading on can't help."""
-    split = data.find(b"\r\n\r\n")
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[:split])
-    return not m or split + 8 + int(m[1]) <= len(data)
+def _length(window: Window, at: int) -> int:
+    """Bytes of the uncompressed record at a place, by its header, which may be of any length; ValueError if it can't be there."""
+    n = 1 << 14
+    while (split := (data := window.get(at, n)).find(b"\r\n\r\n")) < 0:
+        if len(data) < n:
+            raise ValueError("no end of header")
+        n *= 4
+    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})\s*(?=\r\n)", data[: split + 2])
+    if not m:
+        raise ValueError("no content length")
+    n = split + 8 + int(m[1])
+    if at + n > window.size:
+        raise ValueError("cut block or no end of record")
+    if n > LARGEST_RECORD:
+        raise ValueError("record larger than a row can be")
+    return n
 
 
 def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", compress: bool = True) -> DataFrame:
@@ -198,17 +203,21 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, that with the largest id is the response and others revisit it
     (rows that share that id are all responses; where all ids are null, all are). A null payload is empty; null and repeated ids
-    and repeated rows each give a record; an empty table gives an empty manifest; other columns are not read. Payloads cross the
-    network once, by digest; the largest ids are found by partial aggregation, and a frequent payload's partition is one
-    that Spark splits. Archives have names of their own for each attempt of a task; the manifest names those that count.
+    and repeated rows each give a record, and so do urls and payloads of any length; an empty table gives an empty manifest; other
+    columns are not read. The largest ids are found by partial aggregation; payloads cross the network once, by digest, except
+    that those of a frequent digest (HOT_SHARES at most, broadcast) are dealt out evenly. Archives have names of their own for each attempt of a task; the manifest names those that count.
     """
     spark = df.sparkSession
     folder = folder or fresh_path(spark, "warc")
     rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8")))
     long = F.length(F.encode("payload", "utf-8")) >= LEAST_REVISIT
-    copies = rows.where(long).groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    decided = rows.join(copies, "digest", "left").select("page", "url", "payload", F.when(F.col("keeper") != F.col("page"), F.col("keeper")).when(F.col("page").isNull(), F.col("keeper")).alias("refers_to"))
+    copies = staged(rows.where(long).groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
+    least = max(HOT_SHARES, (copies.agg(F.sum("n")).first()[0] or 0) // HOT_SHARES)
+    hot = copies.where(F.col("n") > least).select("digest", F.col("keeper").alias("hot"), F.lit(True).alias("is_hot"))
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("at", F.when(F.col("is_hot"), F.concat(F.lit("hot "), F.xxhash64("page", "url").cast("string"))).otherwise(F.col("digest")))
+    rows = rows.join(copies.where(F.col("n") <= least).select(F.col("digest").alias("at"), "keeper"), "at", "left").withColumn("keeper", F.coalesce("hot", "keeper"))
+    decided = rows.select("page", "url", "payload", F.when(F.col("keeper") != F.col("page"), F.col("keeper")).when(F.col("page").isNull(), F.col("keeper")).alias("refers_to"))
     schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def write(batches):
@@ -236,8 +245,10 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     return staged(decided.mapInArrow(write, "archive string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, archive_col: str = "archive") -> DataFrame:
-    """A row per sound record and per quarantined gap of the archives, read in parallel, one task an archive at most.
+def read_archives(manifest: DataFrame, archive_col: str = "archive", strict: bool = False) -> DataFrame:
+    """A row per sound record and per quarantined gap of the archives, read in parallel, one task an archive at most; a strict
+    reading ends with an error at the first gap. Headers and payloads of any length that a row can hold are read; records whose
+    id or target is missing have nulls there; an empty manifest gives no rows; the same archive named twice is read twice.
 
     Columns: archive, start, end, kind (record or gap), record_type, page_id, url, payload_bytes and payload_digest (bare
     hexadecimal SHA-1) of the full payload, refers_to, payload (null for revisits) and reason (of a gap)."""
@@ -255,6 +266,8 @@ def read_archives(manifest: DataFrame, archive_col: str = "archive") -> DataFram
             with fs.open_input_file(path) as file:
                 for kind, start, end, what in salvage(file):
                     if kind == "gap":
+                        if strict:
+                            raise ValueError(f"{uri}: bytes {start} to {end} hold no sound record: {what}")
                         yield uri, start, end, kind, None, None, None, None, None, None, None, what
                         continue
                     fields, block = what
