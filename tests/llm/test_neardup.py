@@ -155,3 +155,14 @@ def test_texts_of_equal_signature_do_not_fill_a_part(spark, monkeypatch):
     rows = [(i, "a b c d " + " a b c d ".join(rng.sample([f"s{j}" for j in range(9)], 9)) + " a b c d", "c") for i in range(60)]
     rows += [(100 + i, t, "c") for i, t in enumerate(texts(rng, 10))]
     check(spark, rows)
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    t = texts(random.Random(9), 6)
+    rows = [(1, t[0]), (1, t[0]), (None, t[0]), (None, t[0]), (2, t[1]), (None, None), (3, ""), (4, None), (2, t[1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as _x0", "2 as _id", "3 as id", "4 as x", "5 as keep", "6 as _k1", "7 as `a.b`", "8 as node")
+    kept = neardup.without_copies(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert len(got) == len({c for c in brute_classes(rows).values()}) and all(list(r)[2:] == [1, 2, 3, 4, 5, 6, 7, 8] for r in got)
+    assert neardup.without_copies(df.limit(0)).count() == 0

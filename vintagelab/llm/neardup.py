@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, in_rows, out_batches, staged, text_or_empty
+from .common import drop_staged, in_rows, out_batches, positional, staged, text_or_empty
 from .decontaminate import words_of
 
 #: Coordinates; rows of a band (16 bands: a pair of similarity 0.8 meets in one with probability 0.9998).
@@ -209,18 +209,27 @@ def suggested(members: DataFrame, sigs: DataFrame) -> DataFrame:
     return parts.mapInArrow(lambda b: out_batches(rows(b), SUGGESTED, count=1 << 16), "a long, b long, key long").distinct()
 
 
+def salted(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """members (key, w, node) joined with keys (key, w, ...) of their buckets of w members, a part of about PART of a bucket at a
+    time, so that a large bucket's rows are read by as many tasks as it has parts."""
+    parts = F.ceil(F.col("w") / PART).cast("long")
+    left = members.withColumn("salt", F.pmod(F.xxhash64("node"), parts))
+    right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("w")
+    return left.join(right, ["key", "salt"]).drop("salt")
+
+
 def crossing(members: DataFrame, sigs: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """(a, b, key) from buckets: members (key, node): pairs that agree on LEAST_AGREED coordinates and lie in different
+    """(a, b, key) from buckets: members (key, w, node), w of them in each: pairs that agree on LEAST_AGREED coordinates and lie in different
     components, for each node outside its bucket's largest component at most `most` in a block. A row of a key alone tells
     that more were left.
 
     A bucket's largest component and its other nodes are dealt into parts of about PART, and each pair of parts of which one
     isn't of the largest component is a block, so that every pair across components is met, and no task holds a bucket."""
     held = members.hint("merge").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
-    sizes = held.groupBy("key", "r").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "r")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    sizes = sizes.select("key", F.col("top.r").alias("main"), F.ceil(F.col("top.c") / PART).alias("p"), F.ceil((F.col("n") - F.col("top.c")) / PART).alias("q"))
-    held = held.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    sizes = held.groupBy("key", "r").agg(F.count(F.lit(1)).alias("c"), F.first("w").alias("w"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "r")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.first("w").alias("w")).where("kinds > 1")
+    sizes = sizes.select("key", "w", F.col("top.r").alias("main"), F.ceil(F.col("top.c") / PART).alias("p"), F.ceil((F.col("n") - F.col("top.c")) / PART).alias("q"))
+    held = salted(held, sizes).withColumn("h", F.xxhash64("node"))
     held = held.withColumn("t", F.when(F.col("r") == F.col("main"), F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", "q")).cast("long"))
     first = F.when(F.col("t") < F.col("p"), F.col("p")).otherwise(F.lit(0))
     held = held.hint("merge").join(sigs, "node").select("key", "node", "r", "sig", "t", F.explode(F.sequence(first.cast("long"), (F.col("p") + F.col("q") - 1).cast("long"))).alias("o"))
@@ -279,7 +288,8 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     its class (class_id is null if all are); repeated rows are copies; an empty table gives none; other columns are not read.
 
     Copies are folded by partial aggregation before anything else, and then texts of equal signature, each suggested with one of
-    them; buckets are met by key with their counts first, and parts of a bucket are bounded; joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
+    them; buckets are met by key with their counts first, and parts of a bucket are bounded, also where buckets are joined by
+    key; other joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
     suggested and it still holds several components, those across components are, until none that agrees on LEAST_AGREED
     coordinates is left unchecked.
     """
@@ -293,7 +303,8 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     alike = staged(alike.select("a", F.col("node").alias("b")), "alike")
     bands = folds.select("node", "same", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "bits"))
     bands = bands.select("node", "same", F.xxhash64("band", "bits").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("same").alias("same")).where("n > 1 OR same > 1")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("w")).where("w > 1")
+    buckets = staged(buckets, "counts")
     members = staged(bands.drop("same").hint("merge").join(buckets, "key"), "buckets")
     sigs = firsts.select("node", "sig")
     found = staged(suggested(members.where("n > 1"), sigs), "pairs")
@@ -303,22 +314,26 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     source = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("text"))
     links = staged(verified(pairs, _texts(source, pairs, who), least), "links")
     roots = components(links)
-    left = staged(found.where("a IS NULL").select("key").union(members.where((F.col("n") > PART) | (F.col("same") > 1)).select("key")).distinct(), "keys")
-    members = members.select("key", "node")
-    folded = members.join(alike.withColumnRenamed("a", "node"), "node").select("key", F.col("b").alias("node"))
+    left = found.where("a IS NULL").select("key").union(members.where((F.col("n") > PART) | (F.col("w") > F.col("n"))).select("key")).distinct()
+    left = staged(left.join(buckets.select("key", "w"), "key"), "keys")
+    members = members.select("key", "w", "node")
+    folded = members.join(alike.withColumnRenamed("a", "node"), "node").select("key", "w", F.col("b").alias("node"))
     members = members.union(folded)
     for most in (FEW, 1 << 62):
         if left.isEmpty():
             break
-        found = staged(crossing(members.join(left, "key"), sigs, roots, most), "pairs")
+        found = staged(crossing(salted(members, left), sigs, roots, most), "pairs")
         again = staged(found.where("a IS NOT NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = staged(verified(again, _texts(source, again, who, few=True), least), "links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        pairs, left = pairs.union(again), found.where("a IS NULL").select("key").distinct()
+        pairs, left = pairs.union(again), left.join(found.where("a IS NULL").select("key").distinct(), "key", "left_semi")
     named = nodes.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(classes, "root").select("words", "node", "class_id", "class_size", (F.col("node") == F.col("root")).alias("first"))
+    named = staged(named, "classes")
+    for old in (firsts, folds, alike, buckets, members, links):
+        drop_staged(old)
     out = rows.select("rid", "id", "x", "words").hint("merge").join(named, "words")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("first") & (F.col("rid") == F.col("node"))).alias("keep"), "x")
 
@@ -333,14 +348,17 @@ def _texts(source: DataFrame, pairs: DataFrame, who: DataFrame, few: bool = Fals
 
 
 def without_copies(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's columns, with one row of each class of near-duplicates."""
-    found = staged(near_duplicates(df, least, id_col, text_col), "classes")
-    gone = found.where(~F.col("keep")).select(F.col(id_col).alias("_id"), F.col("x").alias("_x"))
-    kept = found.where("keep").select(F.col(id_col).alias("_id"), F.col("x").alias("_x"))
-    same = kept.join(gone, kept["_id"].eqNullSafe(gone["_id"]) & (kept["_x"] == gone["_x"]), "left_semi")
-    keyed = df.withColumn("_x0", F.xxhash64(text_or_empty(text_col)))
-    match = lambda t: F.col(id_col).cast("long").eqNullSafe(t["_id"]) & (F.col("_x0") == t["_x"])
-    if same.isEmpty():
-        return keyed.hint("merge").join(gone, match(gone), "left_anti").drop("_x0")
-    one = keyed.hint("merge").join(kept, match(kept), "left_semi")
-    return one.dropDuplicates([id_col, "_x0"]).drop("_x0")
+    """df's columns, whatever their names, with one row of each class of near-duplicates, that of the row near_duplicates() keeps.
+
+    Rows are found again by id (a null one equals a null one) and text; of rows that share both, the first of a class stays where
+    it is kept, whichever of them that is. Null texts are empty ones; an empty table gives none."""
+    at, who = df.columns.index(text_col), df.columns.index(id_col)
+    rows = positional(df).withColumn("_id", F.col(f"_k{who}").cast("long")).withColumn("_x", F.xxhash64(text_or_empty(f"_k{at}")))
+    found = staged(near_duplicates(rows.select(F.col("_id").alias("id"), F.col(f"_k{at}").alias("text")), least, "id", "text"), "classes")
+    gone, kept = found.where(~F.col("keep")).select("id", "x"), found.where("keep").select("id", "x")
+    match = lambda t: rows["_id"].eqNullSafe(t["id"]) & (rows["_x"] == t["x"])
+    if kept.join(gone, kept["id"].eqNullSafe(gone["id"]) & (kept["x"] == gone["x"]), "left_semi").isEmpty():
+        out = rows.hint("merge").join(gone, match(gone), "left_anti")
+    else:
+        out = rows.hint("merge").join(kept, match(kept), "left_semi").dropDuplicates(["_id", "_x"])
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(df.columns)])
