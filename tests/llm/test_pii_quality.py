@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from vintagelab.llm import pii, quality
+from vintagelab.llm import pii, quality, queries
 
 
 def luhn(d):
@@ -115,6 +115,83 @@ def test_dual_descent_reaches_the_optimum_of_a_small_problem():
     assert np.allclose(w, [1, -1], atol=1e-3) and abs(b) < 1e-3
 
 
-def test_features_do_not_depend_on_words():
-    assert quality.features("The cat sat.").tolist() == quality.features("One dog ran.").tolist()
-    assert quality.features("a b a").tolist() != quality.features("a a a").tolist() and len(quality.features("")) == 1
+def test_shape_features_do_not_depend_on_words_and_word_features_do():
+    shapes = lambda t: [i for i in quality.features(t).tolist() if i < quality.SPACE]
+    assert shapes("The cat sat.") == shapes("One dog ran.") and quality.features("The cat sat.").tolist() != quality.features("One dog ran.").tolist()
+    assert shapes("a b a") != shapes("a a a") and len(quality.features("")) == 1
+    assert len(quality.features("one two one two")) - len(shapes("one two one two")) == 4
+
+
+def naive_features(text):
+    """The indicators as a dictionary of names, by counting alone."""
+    words = text.encode().split()
+    shapes = []
+    for k, w in enumerate(words):
+        kinds = ["A" if 65 <= b <= 90 else "9" if 48 <= b <= 57 else "a" if 97 <= b <= 122 or b >= 128 else chr(b) for b in w]
+        shapes.append("".join(c for j, c in enumerate(kinds) if j == 0 or kinds[j - 1] != c) + ("=" if k and words[k - 1] == w else ""))
+    one, two = set() if words else {"empty"}, set()
+    for order in (1, 2, 3):
+        grams = [tuple(shapes[j : j + order]) for j in range(len(shapes) - order + 1)]
+        for g in grams:
+            one |= {g, *((g, s) for s in (0.05, 0.33) if grams.count(g) >= s * len(grams))}
+    plain = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    two |= {tuple(plain[j : j + n]) for n in (1, 2) for j in range(len(plain) - n + 1)}
+    return one, two
+
+
+def test_op7_equals_brute_force(spark, tmp_path):
+    rows = corpus(random.Random(12), 150) + [(900, None, 0), (901, "", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, y int").drop("y").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op7_quality(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _, _ in rows} and all(r.held_out == held(i) and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    feats = {i: naive_features(t or "") for i, t, _ in rows}
+    train = [(i, y) for i, _, y in rows if not held(i)]
+    n = [sum(y == c for _, y in train) for c in (0, 1)]
+    count = {}
+    for i, y in train:
+        for f in (*feats[i][0], *feats[i][1]):
+            count.setdefault(f, [0, 0])[y] += 1
+    ratio = {f: np.log((c[1] + 1) / (n[1] + 2)) - np.log((c[0] + 1) / (n[0] + 2)) for f, c in count.items() if sum(c) >= quality.LEAST_ROWS}
+    at = {f: k for k, f in enumerate(ratio)}
+    x = np.zeros((len(rows), len(at)))
+    for k, (i, _, _) in enumerate(rows):
+        for part, length in zip(feats[i], (1.0, quality.WORD_PART)):
+            for f in part & set(at):
+                x[k, at[f]] = ratio[f] * length / len(part) ** 0.5
+    index = {i: k for k, (i, _, _) in enumerate(rows)}
+    z, y = x[[index[i] for i, _ in train]], np.array([2.0 * y - 1 for _, y in train])
+    cost = np.array([len(train) / (2 * n[c]) for c in (y > 0).astype(int)])
+    gram, alpha = (z @ z.T + 1) * np.outer(y, y), np.zeros(len(y))
+    for _ in range(20000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    margin = x @ (z.T @ (alpha * y)) + (alpha * y).sum()
+    ours = np.array([np.log(got[i].score) - np.log1p(-got[i].score) for i, _, _ in rows])
+    slope, shift = np.polyfit(margin, ours, 1)
+    assert slope > 0 and np.abs(slope * margin + shift - ours).max() < 0.05 * np.ptp(ours)
+    assert [got[i].predicted for i, _, _ in rows] == [int(1 / (1 + np.exp(-slope * m - shift)) >= 0.7) for m in margin]
+
+
+def test_a_repeated_id_counts_once_and_the_sample_is_bounded(spark, monkeypatch):
+    rows = corpus(random.Random(3), 200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    one = quality.train(docs, labels)
+    two = quality.train(docs.union(docs).union(docs), labels.union(labels))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y, prior: seen.append(sum(map(len, rows))))
+    monkeypatch.setattr(quality, "SAMPLE_INDICATORS", 2000)
+    quality.train(docs, labels)
+    assert 1000 < seen[0] < 2600
+
+
+def test_accepted_with_odd_rows_and_names(spark):
+    rows = corpus(random.Random(5), 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    odd = docs.union(docs.limit(1)).union(spark.createDataFrame([(None, None), (1, ""), (1, "")], docs.schema)).selectExpr("doc_id", "text", "1 as score", "2 as predicted", "3 as `a.b`")
+    kept = quality.accepted(odd, model)
+    passed = {(r.doc_id, t.text) for r, t in zip(quality.scored(odd, model).collect(), odd.collect()) if r.predicted}
+    assert kept.columns == odd.columns and {(r.doc_id, r.text) for r in kept.collect()} == passed
+    assert quality.accepted(odd.limit(0), model).count() == 0 and quality.accepted(odd, None).count() == odd.count()
