@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from vintagelab.llm import decontaminate, secrets
+from vintagelab.llm import decontaminate, queries, secrets
 
 
 def brute(words, items, window):
@@ -113,3 +113,120 @@ def test_long_and_pem_literals_are_found():
             assert {src[a:b] for a, b, _ in secrets.literal_spans(src)} == {value}
     src = f'a = "{key[:400]}"\nb = "{key[400:800]}"\nsecret = a + b'
     assert {src[a:b] for a, b, _ in secrets.literal_spans(src)} == {key[:400], key[400:800]}
+
+
+SECRET = "r8T-k2Lw9Qz7Xn4P"
+STATES = [
+    ("token: authentication", []),
+    ("token = authenticationProviderFactory", []),
+    ('password = os.environ["DB_PASSWORD_VALUE"]', []),
+    (f'secret = get("{SECRET}")', []),
+    (f'# password = "{SECRET}"\n// api_key: "{SECRET}"\n/* secret = "{SECRET}" */ <!-- token="{SECRET}" -->', []),
+    (f'x = "password = {SECRET}"', []),
+    (f'password == "{SECRET}"', []),
+    (f'password = """{SECRET}"""', [SECRET]),
+    (f"secret: |\n  {SECRET}\n  {SECRET}\nnext: 1", [f"{SECRET}\n  {SECRET}"]),
+    (f"<password>{SECRET}</password>", [SECRET]),
+    (f'<a password="{SECRET}">x</a>', [SECRET]),
+    (f'k = "{SECRET}"\nprivate_key = f"pre-{{k}}"', [SECRET, "pre-"]),
+    ("API_TOKEN=ab12cd34ef56gh78", ["ab12cd34ef56gh78"]),
+    (f'password: dict[str, int] | None = "{SECRET}"', [SECRET]),
+    (f'config["password"] = "{SECRET}"', [SECRET]),
+    (f"it's a token: '{SECRET}' isn't", [SECRET]),
+    (f'url = "http://a/b" # c\npassword = "{SECRET}"', [SECRET]),
+    (f"const apiKey = `{SECRET}`;", [SECRET]),
+    (f"{'n' * 300}_secret := '{SECRET}'", [SECRET]),
+]
+
+
+@pytest.mark.parametrize("text, want", STATES)
+def test_lexer_states(text, want):
+    assert sorted(text[a:b] for a, b, _ in secrets.literal_spans(text)) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ["=" * 200000 + "token:" * 20000, "'" * 200000 + " token", '"' * 200001 + " key", "a-" * 200000 + " key", "<a " * 100000 + "key", "/*" * 100000 + "key", "key: |\n" * 50000, 'key="a" ' * 60000, "key=a+" * 60000, '"""' * 50001 + " key", "key: a[" * 50000, "'-----BEGIN key" * 20000], ids=range(12))
+def test_lexing_takes_time_in_proportion(text):
+    import time
+
+    began = time.perf_counter()
+    secrets.literal_spans(text)
+    assert time.perf_counter() - began < 10
+
+
+def brute_base(text):
+    """The base spans by trying each place, one character after another."""
+    import re
+
+    def at(pattern, good, flags=0):
+        found, k = [], 0
+        while k < len(text):
+            m = re.compile(pattern, flags).match(text, k)
+            if m:
+                if good(m):
+                    found.append(m.span())
+                k = m.end()
+            else:
+                k += 1
+        return found
+
+    assign = at(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6, re.I | re.A)
+    access, hexes = at("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), at("[0-9a-f]+", lambda m: len(m[0]) >= 24)
+    spans = sorted([(a, i, b) for i, kind in enumerate((assign, access, hexes)) for a, b in kind])
+    return len(assign), len(access), len(hexes), spans
+
+
+def programs(rng):
+    """(text, literals that must be found) of random assignments whose truth is known as they are made."""
+    random_word = lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=rng.randint(18, 40))) + "-9Zq"
+    lines, want, known = [], set(), {}
+    for i in range(rng.randint(1, 12)):
+        secret, word = rng.random() < 0.5, random_word()
+        name = rng.choice(["db_password", "clientSecret", "api-key", "PRIVATE_KEY"] if secret else ["color", "title", "path_name", "n"])
+        q, kind = rng.choice("\"'"), rng.randrange(8)
+        if kind == 0:
+            lines.append(f"{name} = {q}{word}{q}")
+        elif kind == 1:
+            lines.append(f"{q}{name}{q}: {q}{word}{q},")
+        elif kind == 2:
+            lines.append(f"# {name} = {q}{word}{q}")
+            secret = False
+        elif kind == 3:
+            lines += [f"v{i} = {q}{word}{q}", f"{name} = v{i}"]
+        elif kind == 4:
+            other = random_word()
+            lines += [f"v{i} = {q}{other}{q}", f"{name} = v{i} + {q}{word}{q}"]
+            want |= {other} if secret else set()
+        elif kind == 5:
+            lines.append(f"<{name}>{word}</{name}>")
+        elif kind == 6:
+            lines.append(f"note = {q}{name} = {word}{q}")
+            secret = False
+        else:
+            lines.append(f"{name} = load({q}{word}{q})")
+            secret = False
+        want |= {word} if secret else set()
+    return "\n".join(lines), want
+
+
+def test_op10_equals_brute_force(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(21)
+    rows = [(1000 + i, *programs(rng)) for i in range(120)]
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", '"', "'", " ", "=", ":", "abcdef", "0a1b2c", "AKIA", "ABCDEFGH12345678", "f" * 24, "é", "\n", "."]
+    rows += [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40))), None) for i in range(150)] + [(5000, None, None), (5001, "", None), (5001, "", None), (None, "token=abcdefg", None), (5002, "word " * 30000 + "token = abcdefg", None)]
+    spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, t, want in rows:
+        r, t = by[i][0], t or ""
+        a, k, h, spans = brute_base(t) if len(t) < 100000 else (1, 0, 0, [(t.index("token"), 0, len(t))])
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (a, k, h, hashlib.sha256(base.encode()).hexdigest())
+        all_spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [x for x in all_spans if x[0] != "literal"] == [x.split(":") for x in base.split(",") if x]
+        if want is not None:
+            assert {t[int(a) : int(b)] for k, a, b in all_spans if k == "literal"} == want, t

@@ -27,10 +27,26 @@ _HEX_RUN = bytes(120 if b in b"0123456789abcdef" else 32 for b in range(256))
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "private_key": 1.0, "privatekey": 1.0, "access_key": 1.0, "accesskey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signing_key": 0.9, "encryption_key": 0.9, "client_secret": 1.0, "connection_string": 0.7, "dsn": 0.6}
 #: Words that stand for a value rather than being one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|none|true|false|undefined|todo|changeme|change_me|example|sample|test|dummy|placeholder|your[_-].*|my[_-].*|redacted)$")
-SEPARATOR = re.compile(r":=|=>|[:=]")
-NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\- ]{0,63})\1|([A-Za-z_][A-Za-z0-9_.\-]{0,63}))[ \t]*\Z""")
-VALUE = re.compile(r"""[ \t]*(?:[fFrRbBuU]{0,2}"(-----BEGIN\x20(?:[^"\\]|\\[\s\S])*+|(?:[^"\\\n]|\\.)*+)"|[fFrRbBuU]{0,2}'(-----BEGIN\x20(?:[^'\\]|\\[\s\S])*+|(?:[^'\\\n]|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_./+\-])|([^\s"',;)}\]]{1,4096}))""")
-PLUS = re.compile(r"[ \t]*[+][ \t]*")
+#: What can only be there if a name that tells of a secret is.
+SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|connection|dsn")
+#: The lexer's states: comments, strings, elements with text alone, and names with an assignment after them.
+_DOUBLE, _SINGLE = r'"(?:[^"\\\n]|\\[\s\S])*+"', r"'(?:[^'\\\n]|\\[\s\S])*+'"
+_PEM = r"""(?P<pem>["'])-----BEGIN\x20(?:(?!(?P=pem))[\s\S])*+(?P=pem)"""
+_STRING = "(?<![A-Za-z0-9_])(?P<prefix>[fFrRbBuU]{0,2})(?P<quoted>\"\"\"[\\s\\S]*?\"\"\"|\'\'\'[\\s\\S]*?\'\'\'|" + _PEM + "|" + _DOUBLE + "|" + _SINGLE + "|`[^`]*+`)"
+STRING = re.compile(_STRING)
+LEXEME = re.compile(
+    r"(?P<comment>(?<!:)//[^\n]*+|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|(?:^|(?<=[\s;]))\#[^\n]*+)"
+    + f"|{_STRING}"
+    + r"|<(?P<tag>[A-Za-z_][A-Za-z0-9_.:\-]*+)(?P<attributes>(?:\s[^<>]*+)?)>(?P<body>[^<>]++)</(?P=tag)\s*+>"
+    + r"|(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?=[ \t]*+(?::=|=>|=(?![=~])|:(?![:/])))"
+)
+ASSIGNS = re.compile(r"\]?[ \t]*+(?P<op>:=|=>|=(?![=~])|:(?![:/]))")
+ANNOTATION = re.compile(r"[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\n:=]*\])?(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+[ \t]*+=(?![=>~])")
+BLANKS, PLUS = re.compile(r"[ \t]*+"), re.compile(r"""[ \t]*+(?:\+[ \t]*+(?:\\?\n[ \t]*+)?|(?=["']))""")
+NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*+)\}?")
+UNQUOTED = re.compile(r"""[^\s"'`,;)}\]]++""")
+BLOCK = re.compile(r"[ \t]*+[|>][+\-0-9]*+[ \t]*+\n")
+HOLE = re.compile(r"\$?\{([A-Za-z_][A-Za-z0-9_.]*+)(?:![a-z])?(?::[^{}]*+)?\}")
 LEAST_SCORE = 0.6
 
 
@@ -70,31 +86,118 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * 0.6 + min(1.0, len(value) / 16) * 0.2 + (kinds - 1) / 3 * 0.2
 
 
+def looks_random(word: str) -> bool:
+    """Whether a word that could be an identifier is rather a value: digits in it, more than once and not few."""
+    return len(word) >= 8 and len(re.findall("[0-9]+", word)) >= 2 and sum(map(str.isdigit, word)) >= 0.15 * len(word)
+
+
+def _inside(quoted: re.Match) -> tuple[int, int]:
+    """Where the content of a string is."""
+    a, b = quoted.span("quoted")
+    n = 3 if quoted["quoted"][:3] in ('"""', "\'\'\'") and b - a >= 6 else 1
+    return a + n, b - n
+
+
+def _block(text: str, name_at: int, at: int) -> tuple[int, int]:
+    """The lines from a place on that are indented deeper than the line of the name, as (start, end)."""
+    line = text.rfind("\n", 0, name_at) + 1
+    indent, end = len(BLANKS.match(text, line)[0]), at
+    start = at
+    while end < len(text):
+        stop = text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        blank = BLANKS.match(text, end).end()
+        if blank < stop and blank - end <= indent:
+            break
+        end = min(stop + 1, len(text))
+    return start, end
+
+
+def _value(text: str, name_at: int, at: int, op: str, constants: dict) -> tuple[list[tuple[str, int, int]], int]:
+    """(the literals that the value at a place stands for, where lexing goes on); calls and indexes stand for none."""
+    parts: list[tuple[str, int, int]] = []
+    if op == ":":
+        if block := BLOCK.match(text, at):
+            a, b = _block(text, name_at, block.end())
+            lines = text[a:b].split("\n")
+            held = "".join(x.strip() for x in lines) if lines[0].lstrip().startswith("-----BEGIN ") else "\n".join(x.strip() for x in lines).strip()
+            body = text[a:b]
+            a, b = a + len(body) - len(body.lstrip()), b - (len(body) - len(body.rstrip()))
+            words = [x for x in held.split("\n") if x]
+            held = "".join(words) if all(" " not in x for x in words) else held
+            return ([(held, a, b)] if b > a else []), max(a, b)
+        if typed := ANNOTATION.match(text, at):
+            at = typed.end()
+    while True:
+        at = BLANKS.match(text, at).end()
+        if quoted := STRING.match(text, at):
+            a, b = _inside(quoted)
+            if "{" in text[a:b] and ("f" in quoted["prefix"].lower() or text[a - 1] == "`"):
+                for hole in HOLE.finditer(text, a, b):
+                    if hole.start() > a:
+                        parts.append((text[a : hole.start()], a, hole.start()))
+                    parts += constants.get(hole[1], [])
+                    a = hole.end()
+            if b > a:
+                parts.append((text[a:b], a, b))
+            at = quoted.end()
+        else:
+            raw, name = UNQUOTED.match(text, at), NAME.match(text, at)
+            if not raw:
+                return parts, at
+            if name and name[1] in constants and name.end() >= raw.end() - (1 if raw[0].endswith("+") else 0):
+                parts += constants[name[1]]
+                at = name.end()
+            elif "(" in raw[0] or text[raw.end() : raw.end() + 1] == "(" or name and text[name.end() : name.end() + 1] in ("[", "("):
+                return [], name.end() if name else raw.end()
+            elif name and name.end() == raw.end() and not looks_random(raw[0]):
+                at = name.end()  # a name of something unknown
+            else:
+                parts.append((raw[0], at, raw.end()))
+                at = raw.end()
+        plus = PLUS.match(text, at)
+        if not plus:
+            return parts, at
+        at = plus.end()
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, literals that it stands for) of each assignment, in order; a literal is (value, start, end).
+    """(name, literals that it stands for) of each assignment outside comments and strings, in order; a literal is (value, start,
+    end).
 
-    A name on the right stands for what it was given last before that place; what is joined by + stands for all of its parts.
+    Assignments are x = v, x: v, x := v, x => v, "x": v, y["x"] = v, x: type = v and <x>v</x>; v is a string of any quotes, a block
+    of deeper lines after | or >, or a bare word that isn't a name. A name on the right stands for what it was given last before
+    that place; what is joined by + or by place, and what stands in the braces of a formatted string, counts with all its parts.
     """
     constants: dict[str, list[tuple[str, int, int]]] = {}
-    out = []
-    for sep in SEPARATOR.finditer(text):
-        before = NAME_BEFORE.search(text, max(0, sep.start() - 72), sep.start())
-        if not before or text[sep.end() : sep.end() + 1] == "=" or text[sep.end() : sep.end() + 2] == "//":
+    out, at = [], 0
+    while m := LEXEME.search(text, at):
+        if m["comment"] is not None:
+            at = m.end()
             continue
-        name, at, parts = before[2] or before[3], sep.end(), []
-        while m := VALUE.match(text, at):
-            if m[3] is not None and m[3] in constants:
-                parts += constants[m[3]]
-            else:
-                k = m.lastindex
-                parts.append((m[k], m.start(k), m.end(k)))
-            plus = PLUS.match(text, m.end())
-            if not plus:
-                break
-            at = plus.end()
+        if m["tag"] is not None:
+            body = m["body"].strip()
+            if body:
+                start = m.start("body") + m["body"].index(body)
+                out.append((m["tag"], [(body, start, start + len(body))]))
+            at = m.start("attributes") if m["attributes"] else m.end()
+            continue
+        if m["quoted"] is not None:
+            a, b = _inside(m)
+            name, begin, end = text[a:b], a, m.end()
+        else:
+            name, begin, end = m["name"], m.start("name"), m.end("name")
+        op = ASSIGNS.match(text, end)
+        if not op or "\n" in name:
+            at = max(end, at + 1)
+            continue
+        parts, at = _value(text, begin, op.end(), op["op"], constants)
+        at = max(at, op.end())
         if parts:
             constants[name] = parts
             out.append((name, parts))
+        else:
+            constants.pop(name, None)
     return out
 
 
@@ -116,14 +219,15 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, n_assign, n_access, n_hex, base (base spans) and spans (with the lexer's) of every whole text, as kind:start:end.
 
     Code points, end exclusive, by start and then kind as listed. A null text is empty and has no spans; null and repeated ids
-    and repeated rows each give a row; an empty table gives none; other columns are not read. No shuffle.
+    and repeated rows each give a row; an empty table gives none; other columns are not read. Texts are lexed whole, by one task
+    each, in a time that grows with their length. No shuffle.
     """
     schema = pa.schema([("id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("spans", pa.string())])
 
     def rows(batches):
         for doc_id, text in in_rows(batches):
             base = base_spans(text)
-            more = literal_spans(text) if "=" in text or ":" in text else []
+            more = literal_spans(text) if SENSITIVE.search(text) else []
             n = Counter(k for _, _, k in base)
             yield doc_id, n["assign"], n["access"], n["hex"], joined(base), joined(sorted([*base, *more], key=_order) if more else base)
 
