@@ -29,7 +29,7 @@ def brute(t):
 
 def test_base_spans_equal_brute_force(spark):
     rng = random.Random(4)
-    pieces = ["a@b.c", "x.y%z@ma-il.example.com", "@", "_d@e.f", "é", "😀", " ", "\n", "1.2.3.4", "300.1.1.1", "001.02.3.255", "1.2.3.4.5", "4785380592391139", "4465 7583-8288 9437", "4465758382889437", "12", "-", "+1 (663) 555-6869", "+44.20", "+123456789012345678", "a", "..", "5", "(", "+"]
+    pieces = ["a@b.c", "x.y%z@ma-il.example.com", "@", "_d@e.f", "é", "😀", " ", "\n", "1.2.3.4", "300.1.1.1", "001.02.3.255", "1.2.3.4.5", "10.0.0.1", "0.00.000.0256", "4785380592391139", "4465 7583-8288 9437", "4465758382889437", "12", "-", "+1 (663) 555-6869", "+44.20", "+123456789012345678", "a", "..", "5", "(", "+"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     texts += [None, "", "a" * 50000 + "@b.cc", "1 " * 30000, "+1" + "." * 30000, "1-" * 20000 + "1", "a.b@" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit("clash"))
@@ -65,6 +65,112 @@ def test_context_finds_identifiers_that_no_base_pattern_knows(spark):
     assert clean[0] == "the order was paid, cardno: [CARD] and the rest of the text" and clean[1] == "é note cardno: [ID]. and the" and clean[2] == rows[2]
 
 
+def brute_context(texts):
+    """The context spans of each text by the method's rules, over dictionaries."""
+    base = [sorted(brute(t)) for t in texts]
+    lower = lambda w: w.lower()
+    seeds, everywhere, stands = {}, {}, []
+    for t, spans in zip(texts, base):
+        flat = re.sub("[\n\t\r]", " ", t)
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^ ]+", flat)]
+        for n in (1, 2):
+            for k in range(len(words) - n + 1):
+                key = tuple(lower(w[2]) for w in words[k : k + n])
+                everywhere[key] = everywhere.get(key, 0) + 1
+        for kind in range(4):
+            mine = [(a, b) for r, a, b in spans if r == kind]
+            every = [m.span() for m in re.finditer([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+){3}", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"][kind], t)]
+            for a, b in mine:
+                low, high = max((y for _, y in every if y <= a), default=0), min((x for x, _ in every if x >= b), default=len(t))
+                left, right = flat[low:a], flat[b:high]
+                left = left[: len(left) - len(left.rpartition(" ")[2])].split()
+                right = right[len(right.partition(" ")[0]) :].split()
+                for side, key in (("L", left[-1:]), ("L", left[-2:]), ("R", right[:1]), ("R", right[:2])):
+                    if key:
+                        seeds.setdefault((side, tuple(map(lower, key))), []).append(lower(t[a:b]))
+    seeds = {p: v for p, v in seeds.items() if len(set(v)) >= pii.LEAST_SEEDS and len(v) >= pii.LEAST_SHARE * everywhere.get(p[1], 1 << 60)}
+    for d, (t, spans) in enumerate(zip(texts, base)):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^ ]+", re.sub("[\n\t\r]", " ", t))]
+        for k, (a, b, w) in enumerate(words):
+            a += len(w) - len(re.sub("^[^A-Za-z0-9À-ɏ+@]+", "", w))
+            token = re.sub("(?<=[A-Za-z0-9À-ɏ])[^A-Za-z0-9À-ɏ]+$", "", t[a:b])
+            span = (a, a + len(token))
+            if token and not any(x < span[1] and y > span[0] for _, x, y in spans):
+                for side, key in (("L", words[max(0, k - 1) : k]), ("L", words[k - 2 : k] if k > 1 else []), ("R", words[k + 1 : k + 2]), ("R", words[k + 1 : k + 3] if k + 2 < len(words) else [])):
+                    p = (side, tuple(lower(x[2]) for x in key))
+                    if p in seeds:
+                        stands.append((d, span, token, p))
+    edges = {p: {x: (1, 1) for x in v} for p, v in seeds.items()}
+    for _, _, token, p in stands:
+        apt = int(not re.match("^[a-zß-öø-ÿ]*$", token))
+        old = edges[p].get(token.lower(), (0, 0))
+        edges[p][token.lower()] = (old[0], max(old[1], apt))
+    seed, apt = {x for e in edges.values() for x, v in e.items() if v[0]}, {x for e in edges.values() for x, v in e.items() if v[1]}
+    score = {x: float(x in seed) for e in edges.values() for x in e}
+    for _ in range(pii.ROUNDS):
+        rated = {p: sum(score[x] for x in e) / (len(e) + 1) for p, e in edges.items()}
+        doubt = dict.fromkeys(score, 1.0)
+        for p, e in edges.items():
+            for x in e:
+                doubt[x] *= 1 - min(rated[p], 0.999)
+        score = {x: 1.0 if x in seed else 0.0 if x not in apt else 1 - doubt[x] for x in score}
+    out = [set() for _ in texts]
+    for d, span, token, p in stands:
+        if rated[p] >= pii.CONFIDENCE and not re.match("^[a-zß-öø-ÿ]*$", token):
+            out[d].add(span)
+    return [sorted(x) for x in out]
+
+
+def contexts(rng, n):
+    """Texts in which odd addresses, handles, names and numbers with spaces stand where base entities stand elsewhere."""
+    words = [f"w{k}" for k in range(40)] + ["the", "and", "of", "über", "x" * 60, "y" * 60 + "z"]
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = []
+    for i in range(n):
+        mail, phone, ip = f"{rng.choice('abc')}.{i}@mail.example.com", f"+1 ({number(3)}) {number(3)}-{number(4)}", f"10.{i % 250}.0.{rng.randint(1, 250)}"
+        odd = rng.choice([f"user_{i}", f"Anna{i}", f"a{i}@localhost", "someone", f"AB-{number(2)}"])
+        cue = rng.choice([("E-mail:", mail), ("reach me at", mail), ("call the desk on", phone), ("host " + "q" * 50, ip), ("E-mail:", odd), ("host " + "q" * 50, odd), ("at", rng.choice(words)), ("desk", rng.choice(words))])
+        lead, rest = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(2)]
+        out.append(f"{lead} {cue[0]} {rng.choice(['', '(', '<'])}{cue[1]}{rng.choice(['', ',', ')', '.'])}{rng.choice([' ', chr(10), '  '])}{rest}")
+    return out
+
+
+def test_op5_spans_equal_brute_force(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    texts = contexts(random.Random(31), 300)
+    want = brute_context(texts)
+    assert 20 < sum(map(len, want)) and any(re.search(r"Anna\d", t[a:b]) for t, w in zip(texts, want) for a, b in w)
+    rows = [*enumerate(texts), (1000, None), (1001, ""), (1001, ""), (None, texts[0])]
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, base string").write.parquet(f"{tmp_path}/documents.parquet")
+    for most in (pii.BROADCAST_PATTERNS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", most)
+        got = queries.op5_pii(spark, str(tmp_path)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            i = 0 if r.doc_id is None else r.doc_id
+            base = brute(texts[i] if i < 1000 else "")
+            label = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+            more = [] if r.doc_id is None or i >= 1000 else [(4, a, b) for a, b in want[i]]
+            assert r.base_sha256 == hashlib.sha256(label(base).encode()).hexdigest()
+            if r.doc_id is not None:
+                assert r.spans == label([*base, *more]), texts[i]
+
+
+def test_many_entities_take_time_in_proportion_and_names_do_not_clash(spark):
+    import time
+
+    n = 12000
+    long = " ".join(f"user{i}@mail{i}.example.com" for i in range(n))
+    df = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "")], "doc_id long, text string").selectExpr("doc_id", "text", "1 as _text", "2 as spans", "3 as base", "4 as `a.b`", "5 as _row", "6 as _k0", "7 as n_email")
+    began = time.perf_counter()
+    got = pii.redacted(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert time.perf_counter() - began < 60 and len(rows) == 4
+    assert [r.text for r in rows if r.doc_id == 1] == [" ".join(["[EMAIL]"] * n)] * 2 and all(list(r)[2:] == [1, 2, 3, 4, 5, 6, 7] for r in rows)
+
+
 def test_redaction_of_overlaps_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None, 5), (1, "a@b.cc 1.2.3.4 é a@b.cc", None), (None, "", 1), (2, "+4785380592391139 x", 2)], "doc_id long, text string, spans int")
     got = pii.redacted(df)
