@@ -124,7 +124,7 @@ def test_components(spark):
 def test_every_pair_across_components_of_a_bucket_is_checked(spark, monkeypatch):
     """Where the first suggestions give no link, the few pairs that pass are found among the many that fail the check."""
     monkeypatch.setattr(neardup, "PART", 2)
-    monkeypatch.setattr(neardup, "forests", lambda sigs, ids: iter(()))
+    monkeypatch.setattr(neardup, "forests", lambda sigs, ids: iter([None]))
     rng = random.Random(8)
     base, rows = [f"w{i}" for i in range(200)], []
     for i in range(40):

@@ -4,8 +4,8 @@ A document is a multiset of five-word shingles. Each unit of a shingle's weight
 process in rank, the same for every document that holds the region; a document keeps, of the darts below a rank that it expects
 about K ln K + 2K of, the earliest one for each of K coordinates. Two documents agree on a coordinate with the probability of
 their weighted Jaccard similarity. Documents that agree on all rows of a band meet in a bucket; there the signatures suggest
-links (maximum spanning forests, so a bucket of m documents suggests O(m) of them; then pairs across the components found, as
-far as they weren't checked), the texts of suggested pairs decide exactly, and the classes are the connected components.
+links (maximum spanning forests, so a bucket of m documents suggests O(m) of them), the texts of suggested pairs decide exactly,
+the pairs across components that were not suggested are checked in blocks, and the classes are the connected components.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ LEAST_AGREED = 38
 PART = 1024
 #: Edge-disjoint spanning forests suggested in a bucket at first; pairs that these leave out are met by crossing().
 FORESTS = 3
-#: Pairs across components suggested for a document and block when the rest is met first; after that, all of them.
-FEW = 16
 SUGGESTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 _U = np.uint64
 _BASE, _GOLD = 0x9E3779B97F4A7C15 | 1, _U(0x9E3779B97F4A7C15)
@@ -218,13 +216,13 @@ def salted(members: DataFrame, keys: DataFrame) -> DataFrame:
     return left.join(right, ["key", "salt"]).drop("salt")
 
 
-def crossing(members: DataFrame, sigs: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """(a, b, key) from buckets: members (key, w, node), w of them in each: pairs that agree on LEAST_AGREED coordinates and lie in different
-    components, for each node outside its bucket's largest component at most `most` in a block. A row of a key alone tells
-    that more were left.
+def crossing(members: DataFrame, cells: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) across components from buckets: members (key, w, band, node), w of them in each; cells (node, sig, cells).
 
     A bucket's largest component and its other nodes are dealt into parts of about PART, and each pair of parts of which one
-    isn't of the largest component is a block, so that every pair across components is met, and no task holds a bucket."""
+    isn't of the largest component is a block, so that every pair across components is met, and no task holds a bucket. In a
+    block the pairs that agree on LEAST_AGREED coordinates are checked on their shingles, each pair in the first band only in
+    which it agrees; a block returns links that join its components, one less than these at most, and never pairs that fail."""
     held = members.hint("merge").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     sizes = held.groupBy("key", "r").agg(F.count(F.lit(1)).alias("c"), F.first("w").alias("w"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "r")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.first("w").alias("w")).where("kinds > 1")
@@ -232,32 +230,59 @@ def crossing(members: DataFrame, sigs: DataFrame, roots: DataFrame, most: int) -
     held = salted(held, sizes).withColumn("h", F.xxhash64("node"))
     held = held.withColumn("t", F.when(F.col("r") == F.col("main"), F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", "q")).cast("long"))
     first = F.when(F.col("t") < F.col("p"), F.col("p")).otherwise(F.lit(0))
-    held = held.hint("merge").join(sigs, "node").select("key", "node", "r", "sig", "t", F.explode(F.sequence(first.cast("long"), (F.col("p") + F.col("q") - 1).cast("long"))).alias("o"))
-    blocks = held.groupBy("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("t", "node", "r", "sig")).alias("m")).where(F.size("m") > 1)
+    held = held.hint("merge").join(cells, "node").select("key", "band", "node", "r", "sig", "cells", "t", F.explode(F.sequence(first.cast("long"), (F.col("p") + F.col("q") - 1).cast("long"))).alias("o"))
+    blocks = held.groupBy("key", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("t", "node", "r", "sig", "cells")).alias("m")).where(F.size("m") > 1)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(batches):
-        for key, i, j, m in in_rows(batches):
-            yield from _across(key, [x for x in m if x["t"] == i], [x for x in m if x["t"] == j], i == j, most)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                _, band, i, j, m = (c[0].as_py() for c in batch.slice(at, 1).columns)
+                yield from _across([x for x in m if x["t"] == i], [x for x in m if x["t"] == j], i == j, band, least)
 
-    return blocks.mapInArrow(lambda b: out_batches(rows(b), SUGGESTED, count=1 << 16), "a long, b long, key long").distinct()
+    return blocks.mapInArrow(lambda b: out_batches(rows(b), schema), "a long, b long").distinct()
 
 
-def _across(key: int, one: list, two: list, same: bool, most: int) -> Iterator[tuple]:
+def _across(one: list, two: list, same: bool, band: int, least: float) -> Iterator[tuple]:
     """crossing() in a block: the pairs of each of `two` with those of `one` (before it, if they are the same)."""
     if not one or not two:
         return
-    sigs, roots, left = np.stack([np.frombuffer(x["sig"], np.uint16) for x in one]), np.array([x["r"] for x in one]), False
+    sigs, roots = np.stack([np.frombuffer(x["sig"], np.uint16) for x in one]), np.array([x["r"] for x in one])
+    sets = [np.frombuffer(x["cells"], _U) for x in one]
+    sizes = np.array([len(c) for c in sets])
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, inside, up = np.cumsum(sizes) - sizes, np.zeros(len(known) + 1, bool), {}
+
+    def top(r):
+        while r in up:
+            r = up[r]
+        return r
+
     for k, x in enumerate(two):
-        agreed = (sigs == np.frombuffer(x["sig"], np.uint16)).sum(axis=1)
-        agreed[roots == x["r"]] = 0
+        equal = sigs == np.frombuffer(x["sig"], np.uint16)
+        fit = (equal.sum(axis=1) >= LEAST_AGREED) & (roots != x["r"])
         if same:
-            agreed[k:] = 0
-        hits = np.flatnonzero(agreed >= LEAST_AGREED)
-        left |= len(hits) > most
-        for h in hits[np.argsort(-agreed[hits], kind="stable")[:most]]:
-            yield min(one[h]["node"], x["node"]), max(one[h]["node"], x["node"]), None
-    if left:
-        yield None, None, key
+            fit[k:] = False
+        fit &= equal.reshape(len(one), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        if not fit.any():
+            continue
+        mine = np.frombuffer(x["cells"], _U)
+        at = np.searchsorted(known, mine)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)]
+        inside[at] = True
+        both = np.add.reduceat(inside[ids], starts, dtype=np.int64)
+        inside[at] = False
+        for h in np.flatnonzero(fit & (both >= least * (sizes + len(mine) - both))):
+            if top(int(roots[h])) != top(x["r"]):
+                up[top(int(roots[h]))] = top(x["r"])
+                yield min(one[h]["node"], x["node"]), max(one[h]["node"], x["node"])
+
+
+def cells_of(texts: DataFrame) -> DataFrame:
+    """(node, cells) of (node, text): the text's regions, sorted."""
+    schema = pa.schema([("node", pa.int64()), ("cells", pa.binary())])
+    rows = lambda batches: ((n, np.sort(regions(shingle_hashes(words_of(t)))).tobytes()) for n, t in in_rows(batches))
+    return texts.mapInArrow(lambda b: out_batches(rows(b), schema), "node long, cells binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -290,8 +315,8 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     Copies are folded by partial aggregation before anything else, and then texts of equal signature, each suggested with one of
     them; buckets are met by key with their counts first, and parts of a bucket are bounded, also where buckets are joined by
     key; other joins that a frequent key can skew are plain ones that Spark splits. Where pairs of a bucket weren't
-    suggested and it still holds several components, those across components are, until none that agrees on LEAST_AGREED
-    coordinates is left unchecked.
+    suggested and it still holds several components, each pair across them that agrees on LEAST_AGREED coordinates is checked
+    on its shingles within a block, so the number of rows stays in proportion to the members and the parts of their buckets.
     """
     rows = signatures(df, id_col, text_col)
     nodes = rows.groupBy("words").agg(F.min("rid").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
@@ -302,7 +327,7 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     alike = firsts.join(folds.where("same > 1").select("sig", F.col("node").alias("a")), "sig").where("a <> node")
     alike = staged(alike.select("a", F.col("node").alias("b")), "alike")
     bands = folds.select("node", "same", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "bits"))
-    bands = bands.select("node", "same", F.xxhash64("band", "bits").alias("key"))
+    bands = bands.select("node", "same", "band", F.xxhash64("band", "bits").alias("key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("w")).where("w > 1")
     buckets = staged(buckets, "counts")
     members = staged(bands.drop("same").hint("merge").join(buckets, "key"), "buckets")
@@ -316,18 +341,15 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     roots = components(links)
     left = found.where("a IS NULL").select("key").union(members.where((F.col("n") > PART) | (F.col("w") > F.col("n"))).select("key")).distinct()
     left = staged(left.join(buckets.select("key", "w"), "key"), "keys")
-    members = members.select("key", "w", "node")
-    folded = members.join(alike.withColumnRenamed("a", "node"), "node").select("key", "w", F.col("b").alias("node"))
-    members = members.union(folded)
-    for most in (FEW, 1 << 62):
-        if left.isEmpty():
-            break
-        found = staged(crossing(salted(members, left), sigs, roots, most), "pairs")
-        again = staged(found.where("a IS NOT NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = staged(verified(again, _texts(source, again, who, few=True), least), "links")
+    if not left.isEmpty():
+        members = members.select("key", "w", "band", "node")
+        members = members.union(members.join(alike.withColumnRenamed("a", "node"), "node").select("key", "w", "band", F.col("b").alias("node")))
+        members = staged(salted(members, left), "open")
+        nodes_in = members.select("node").distinct()
+        cells = staged(cells_of(_texts(source, nodes_in.select(F.col("node").alias("a"), F.col("node").alias("b")), who, few=True)).join(sigs, "node"), "cells")
+        more = staged(crossing(members, cells, roots, least), "links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        pairs, left = pairs.union(again), left.join(found.where("a IS NULL").select("key").distinct(), "key", "left_semi")
     named = nodes.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(classes, "root").select("words", "node", "class_id", "class_size", (F.col("node") == F.col("root")).alias("first"))
