@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -126,6 +127,46 @@ def test_transform_rows_and_panels_from_files(spark, tmp_path):
     assert p["2024-02", "y", "2023-04-01"] == (None, None) and p["2024-02", "x", "2023-04-01"] == (10.5, 10.5)
 
 
+def test_files_of_different_headers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "2020-01.csv").write_text("sasdate,A,B\ntransform,1,5\n1/1/2019,1,10\n")
+    (tmp_path / "2020-02.csv").write_text("sasdate,B,A,C\r\ntransform,5,1,2\r\n1/1/2019,11,2,7\r\n4/1/2019,12,3,9\r\n")
+    raw = files.read_vintage_csv(spark, [str(p) for p in tmp_path.iterdir()])
+    got = {(r.vintage, r.series_id, str(r.obs_date)): r.value for r in files.data_rows(raw).collect() if r.value is not None}
+    assert got == {("2020-01", "A", "2019-01-01"): 1.0, ("2020-01", "B", "2019-01-01"): 10.0, **{("2020-02", k, d): v for k, d, v in [("A", "2019-01-01", 2.0), ("B", "2019-01-01", 11.0), ("C", "2019-01-01", 7.0), ("A", "2019-04-01", 3.0), ("B", "2019-04-01", 12.0), ("C", "2019-04-01", 9.0)]}}
+    assert {(r.vintage, r.series_id): r.tcode for r in files.transform_code_rows(raw).collect()} == {("2020-01", "A"): 1, ("2020-01", "B"): 5, ("2020-02", "A"): 1, ("2020-02", "B"): 5, ("2020-02", "C"): 2}
+    p = {(r.vintage, r.series_id, str(r.obs_date)): r.transformed for r in files.build_panel(raw, target="A").collect()}
+    assert p["2020-02", "C", "2019-04-01"] == 2.0 and abs(p["2020-02", "B", "2019-04-01"] - math.log(12 / 11)) < 1e-12 and p["2020-02", "A", "2019-04-01"] == 3.0
+
+
+def test_batched_snapshots_equal_single_ones_with_nulls(spark):
+    rows = [("A", "2020-01-01", "2020-02-01", 100.0), ("A", "2020-01-01", "2020-03-01", None), ("A", "2020-01-01", "2020-05-20", 101.0), ("A", "2020-04-01", "2020-05-01", None), ("B", "2019-01-01", "2019-03-15", 1.0), ("B", "2019-01-01", "2021-01-01", 2.0)]
+    v = spark.createDataFrame(rows, "series_id string, obs_date string, asof_date string, value double").selectExpr("series_id", "date(obs_date) obs_date", "date(asof_date) asof_date", "value")
+    days = ["2019-01-01", "2019-03-15", "2020-02-15", "2020-03-15", "2020-05-01", "2020-05-19", "2020-05-20", "2022-01-01", "2022-01-02"]
+    got = sorted(map(str, asof.snapshots(v, spark.createDataFrame([(d,) for d in days * 2], "cutoff string")).collect()))
+    want = [asof.snapshot_long(v, d).selectExpr(f"date'{d}' as cutoff", "series_id", "obs_date", "value", "asof_used").collect() for d in days]
+    assert got == sorted(str(r) for w in want for r in w) and any("date(2020, 3, 15)" in g and "100.0" in g for g in got)
+    assert asof.snapshots(v, spark.createDataFrame([], "cutoff string")).count() == 0
+
+
+def test_asked_origins_alone_are_forecast(spark):
+    panel = spark.createDataFrame([(s, q, 100.0 + q * (1 + (s == "B")) + q % 3) for s in "AB" for q in range(24)], "series_id string, quarter_ord long, y double")
+    origins = spark.createDataFrame([("A", 23), ("B", 20), ("B", 2)], "series_id string, origin_ord long")
+    names = ["drift", "mean_growth", "random_normal", "ar4", "random_forest"]
+    every, some = registry.forecast(panel, names, 2), registry.forecast(panel, names, 2, origins=origins)
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.join(origins, ["series_id", "origin_ord"], "left_semi").select(every.columns).collect())) and some.count() == 2 * 2 * len(names)
+
+
+def test_diebold_mariano_takes_all_lags(spark):
+    rng = random.Random(2)
+    for n, h in ((30, 12), (9, 12), (25, 1)):
+        d = [rng.gauss(0.2, 1) for _ in range(n)]
+        got = evaluate.diebold_mariano(spark.createDataFrame([("m", h, i, x) for i, x in enumerate(d)], "model string, h long, origin_ord long, d double")).first()
+        c = [x - sum(d) / n for x in d]
+        lrv = (sum(x * x for x in c) + 2 * sum(c[i] * c[i - k] for k in range(1, h) for i in range(k, n))) / n
+        small = math.sqrt(max(0.0, (n + 1 - 2 * h + h * (h - 1) / n) / n))
+        assert got.n == n and (got.dm is None if lrv <= 0 else abs(got.dm - sum(d) / n / math.sqrt(lrv / n) * small) < 1e-9)
+
+
 def test_wide_vintage_columns_and_payloads(spark, tmp_path):
     wide = spark.createDataFrame([("2024-01-01", "100", "."), ("2024-04-01", None, "111")], "observation_date string, GDP_20240425 string, GDP_20240725 string")
     assert {(str(r.obs_date), str(r.asof_date), r.value) for r in files.wide_to_versions(wide).collect()} == {("2024-01-01", "2024-04-25", 100.0), ("2024-04-01", "2024-07-25", 111.0)}

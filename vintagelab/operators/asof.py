@@ -37,24 +37,28 @@ def snapshot_wide(versions: DataFrame, cutoff: str, series: Sequence[str]) -> Da
 
 
 def intervals(versions: DataFrame) -> DataFrame:
-    """versions with valid_to: the as-of date that ends each one (null for the last)."""
+    """versions with the last non-null value up to each one as its value, and valid_to: the as-of date that ends it (null for the
+    last)."""
     w = Window.partitionBy("series_id", "obs_date").orderBy("asof_date")
-    return versions.withColumn("valid_to", F.lead("asof_date").over(w))
+    return versions.withColumns({"value": F.last("value", True).over(w), "valid_to": F.lead("asof_date").over(w)})
 
 
 def snapshots(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """(cutoff, series_id, obs_date, value) for many cutoffs (column cutoff) at once.
+    """(cutoff, series_id, obs_date, value, asof_used) for many cutoffs (column cutoff) at once: for each what snapshot_long() gives.
 
-    Each version is valid in months [its own, the next one's); it meets only cutoffs of those months, by an equality join on
-    the month, so nothing is quadratic and no side has to be small."""
+    The distinct cutoffs, days of a calendar, are one row: a sorted array, and how many of them lie before each month. A version
+    takes from it the slice of the months in which it is valid and makes rows of the cutoffs inside alone, so nothing is joined
+    and the work is that of the result."""
     month = lambda c: (F.year(c) * 12 + F.month(c) - 1).cast("int")
-    wanted = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).distinct().withColumn("_m", month(F.col("cutoff")))
-    last = wanted.agg(F.max("_m").alias("_last"))
-    held = intervals(versions).crossJoin(F.broadcast(last)).withColumn("_from", month(F.col("asof_date")))
+    days = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).agg(F.array_sort(F.collect_set("cutoff")).alias("_days")).where(F.size("_days") > 0)
+    days = days.select("_days", month(F.array_min("_days")).alias("_first"), month(F.array_max("_days")).alias("_last"))
+    before = F.transform(F.sequence("_first", F.col("_last") + 1), lambda m: F.size(F.filter("_days", lambda d: month(d) < m)))
+    held = intervals(versions).crossJoin(F.broadcast(days.withColumn("_before", before)))
+    held = held.withColumn("_from", F.greatest(month(F.col("asof_date")), F.col("_first")))
     held = held.withColumn("_to", F.least(F.coalesce(month(F.col("valid_to")), F.col("_last")), F.col("_last"))).where("_from <= _to")
-    held = held.withColumn("_m", F.explode(F.sequence("_from", "_to")))
-    met = held.join(wanted, "_m").where((F.col("asof_date") <= F.col("cutoff")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("cutoff"))))
-    return met.select("cutoff", "series_id", "obs_date", "value")
+    at, end = F.get("_before", F.col("_from") - F.col("_first")), F.get("_before", F.col("_to") - F.col("_first") + 1)
+    inside = F.filter(F.slice("_days", at + 1, end - at), lambda d: (d >= F.col("asof_date")) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
+    return held.select(F.explode(inside).alias("cutoff"), "series_id", "obs_date", "value", F.col("asof_date").alias("asof_used"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: str, direction: str = "backward") -> DataFrame:

@@ -12,15 +12,20 @@ def _steps(df: DataFrame, horizon: int) -> DataFrame:
     return df.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long"))))
 
 
-def baseline_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, models: tuple[str, ...] = MODELS) -> DataFrame:
+def at_origins(df: DataFrame, origins: DataFrame | None, quarter: str = "quarter_ord") -> DataFrame:
+    """The rows of the origins asked for; all of them without any."""
+    return df if origins is None else df.join(origins.select("series_id", F.col("origin_ord").alias(quarter)), ["series_id", quarter], "left_semi")
+
+
+def baseline_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, models: tuple[str, ...] = MODELS, origins: DataFrame | None = None) -> DataFrame:
     """(model, series_id, origin_ord, h, target_ord, y_hat, last_y) of panel rows (series_id, quarter_ord, y), from each row with
-    `least` rows up to it. The history at an origin is the frame that ends there, so no later value is seen."""
+    `least` rows up to it, or from those of the origins (series_id, origin_ord) asked for. The history at an origin is the frame that ends there, so no later value is seen."""
     o = Window.partitionBy("series_id").orderBy("quarter_ord")
     w = o.rowsBetween(Window.unboundedPreceding, 0)
     y = F.col("y")
     df = panel.select("series_id", "quarter_ord", "y").withColumns({"y1": F.lag("y", 1).over(o), "y2": F.lag("y", 2).over(o), "y3": F.lag("y", 3).over(o), "first": F.first("y").over(w), "n": F.count("y").over(w), "avg": F.avg("y").over(w)})
     df = df.withColumn("g", F.when((y > 0) & (F.col("y1") > 0), 100 * (F.pow(y / F.col("y1"), 4) - 1)))
-    df = df.withColumn("avg_g", F.avg("g").over(w)).where(F.col("n") >= least)
+    df = at_origins(df.withColumn("avg_g", F.avg("g").over(w)).where(F.col("n") >= least), origins)
     h, n = F.col("h"), F.col("n")
     drift = y + h * (y - F.col("first")) / (n - 1)
     grow = lambda g: y * F.pow(F.when(g > -100, 1 + g / 100), h / 4)
@@ -37,11 +42,12 @@ def baseline_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, model
     return _steps(df, horizon).select("series_id", F.col("quarter_ord").alias("origin_ord"), "h", (F.col("quarter_ord") + h).alias("target_ord"), y.alias("last_y"), rows.alias("r")).select("r.model", "series_id", "origin_ord", "h", "target_ord", "r.y_hat", "last_y")
 
 
-def random_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, seed: int = 0) -> DataFrame:
+def random_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, seed: int = 0, origins: DataFrame | None = None) -> DataFrame:
     """random_normal, random_uniform and random_permutation: draws from hashes of (seed, item, origin, step), so that a task
     that runs again draws the same."""
     w = Window.partitionBy("series_id").orderBy("quarter_ord").rowsBetween(Window.unboundedPreceding, 0)
     df = panel.select("series_id", "quarter_ord", "y").withColumns({"n": F.count("y").over(w), "avg": F.avg("y").over(w), "sd": F.stddev_pop("y").over(w), "lo": F.min("y").over(w), "hi": F.max("y").over(w), "past": F.collect_list("y").over(w)}).where(F.col("n") >= least)
+    df = at_origins(df, origins)
     unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "series_id", "quarter_ord", "h"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
     shuffled = F.element_at(F.col("past"), (F.floor(unit(3) * F.col("n")) + 1).cast("int"))

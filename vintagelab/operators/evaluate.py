@@ -167,8 +167,9 @@ def diebold_mariano(differences: DataFrame, by: list[str] | None = None) -> Data
     by = by or ["model", "h"]
     g, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("origin_ord")
     c = differences.withColumns({"n": F.count(F.lit(1)).over(g), "c": F.col("d") - F.avg("d").over(g), "mean_d": F.avg("d").over(g)})
-    lags = F.array(*[F.when(F.col("h") > k, F.col("c") * F.lag("c", k).over(w)) for k in range(1, 8)])
-    terms = c.withColumn("_s", F.col("c") * F.col("c") + 2 * F.aggregate(lags, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    c = c.withColumn("_past", F.collect_list("c").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_k", F.least(F.col("h") - 1, F.size("_past")).cast("int"))
+    last = F.slice("_past", F.size("_past") - F.col("_k") + 1, F.col("_k"))
+    terms = c.withColumn("_s", F.col("c") * F.col("c") + 2 * F.col("c") * F.aggregate(last, F.lit(0.0), lambda a, x: a + x))
     m = terms.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean_d").alias("mean_d"), F.avg("_s").alias("lrv"))
     n, h = F.col("n"), F.col("h")
     small = F.sqrt(F.greatest(F.lit(0.0), (n + 1 - 2 * h + h * (h - 1) / n) / n))
@@ -176,23 +177,29 @@ def diebold_mariano(differences: DataFrame, by: list[str] | None = None) -> Data
     return m.withColumn("dm", dm).select(*by, "n", "mean_d", "dm", _normal_tail(F.col("dm")).alias("p_value"))
 
 
-def rolling_diebold_mariano(differences: DataFrame, window: int = 8) -> DataFrame:
-    """The statistic over each run of `window` origins: each difference is dealt to the windows that hold it, then tested."""
+def _windows(differences: DataFrame, window: int) -> DataFrame:
+    """Each difference once for each run of origins that holds it: columns window_end (the run's last place) and width, which is
+    `window`, or one less than the origins of a model and step that has fewer."""
     w = Window.partitionBy("model", "h").orderBy("origin_ord")
     numbered = differences.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("model", "h"))})
-    ends = F.sequence(F.greatest(F.col("_i"), F.lit(window)), F.least(F.col("_n"), F.col("_i") + window - 1))
-    dealt = numbered.where(F.col("_n") >= window).withColumn("window_end", F.explode(F.when(F.greatest(F.col("_i"), F.lit(window)) <= F.least(F.col("_n"), F.col("_i") + window - 1), ends)))
-    return diebold_mariano(dealt.select("model", "h", F.col("window_end").cast("long").alias("window_end"), "origin_ord", "d"), ["model", "h", "window_end"])
+    numbered = numbered.withColumn("width", F.least(F.lit(window), F.col("_n") - 1).cast("int")).where("width > 0")
+    first, last = F.greatest(F.col("_i"), F.col("width")), F.least(F.col("_n"), F.col("_i") + F.col("width") - 1)
+    return numbered.where(first <= last).withColumn("window_end", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("_i", "_n")
 
 
-def fluctuation(differences: DataFrame, window: int = 8, critical: float = 2.77) -> DataFrame:
-    """(model, h, max_stat, rejects): the largest standardised rolling mean against a critical value; scaled by the whole sample's
-    variance."""
-    w = Window.partitionBy("model", "h").orderBy("origin_ord")
-    g = Window.partitionBy("model", "h")
-    roll = differences.withColumns({"m": F.avg("d").over(w.rowsBetween(-(window - 1), 0)), "i": F.row_number().over(w), "sd": F.stddev_pop("d").over(g)}).where(F.col("i") >= window)
-    stat = F.when(F.col("sd") > 0, F.abs(F.col("m")) * math.sqrt(window) / F.col("sd"))
-    return roll.groupBy("model", "h").agg(F.max(stat).alias("max_stat")).withColumn("rejects", F.col("max_stat") > critical)
+def rolling_diebold_mariano(differences: DataFrame, window: int = 40) -> DataFrame:
+    """The statistic over each run of `window` origins, of fewer where there are fewer: each difference is dealt to the runs that
+    hold it, then tested."""
+    return diebold_mariano(_windows(differences, window).select("model", "h", "window_end", "origin_ord", "d"), ["model", "h", "window_end"])
+
+
+def fluctuation(differences: DataFrame, window: int = 40, critical: float = 2.77) -> DataFrame:
+    """(model, h, max_stat, rejects): the largest standardised mean over runs as in rolling_diebold_mariano() against a critical
+    value; scaled by the whole sample's variance."""
+    whole = differences.groupBy("model", "h").agg(F.stddev_pop("d").alias("sd"))
+    runs = _windows(differences, window).groupBy("model", "h", "window_end").agg(F.avg("d").alias("m"), F.max("width").alias("width"))
+    stat = F.when(F.col("sd") > 0, F.abs(F.col("m")) * F.sqrt("width") / F.col("sd"))
+    return runs.join(whole, ["model", "h"]).groupBy("model", "h").agg(F.max(stat).alias("max_stat")).withColumn("rejects", F.col("max_stat") > critical)
 
 
 def moving_error(records: DataFrame, k: int = 4) -> DataFrame:

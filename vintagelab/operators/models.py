@@ -193,8 +193,9 @@ for _name, _fn in {
     register(_name, _fn)
 
 
-def fitted_forecasts(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 12, covariates: list[str] | None = None) -> DataFrame:
-    """(model, series_id, origin_ord, h, target_ord, y_hat, last_y, error) of registered models from every origin of every series.
+def fitted_forecasts(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 12, covariates: list[str] | None = None, origins: DataFrame | None = None) -> DataFrame:
+    """(model, series_id, origin_ord, h, target_ord, y_hat, last_y, error) of registered models from every origin of every series,
+    or from the origins (series_id, origin_ord) asked for, so that a model is fitted for these alone.
 
     panel has (series_id, quarter_ord, y) and the covariates, whose values after an origin are carried on from it. A model that
     fails gives drift and its error's text; groups are series, whose histories are short."""
@@ -206,7 +207,10 @@ def fitted_forecasts(panel: DataFrame, names: list[str], horizon: int = 4, least
         y, q = pdf["y"].to_numpy(float), pdf["quarter_ord"].to_numpy()
         x = pdf[columns].ffill().bfill().fillna(0.0).to_numpy(float) if columns else None
         out = []
+        asked = pdf["asked"].to_numpy(bool)
         for at in range(least, len(y) + 1):
+            if not asked[at - 1]:
+                continue
             past = x[:at] if x is not None else None
             future = np.repeat(past[-1:], horizon, axis=0) if past is not None else None
             for name, fn in chosen.items():
@@ -220,16 +224,24 @@ def fitted_forecasts(panel: DataFrame, names: list[str], horizon: int = 4, least
                 out += [(name, pdf["series_id"].iloc[0], q[at - 1], h + 1, q[at - 1] + h + 1, path[h], y[at - 1], error) for h in range(horizon)]
         return pd.DataFrame(out, columns=["model", "series_id", "origin_ord", "h", "target_ord", "y_hat", "last_y", "error"])
 
-    return panel.select("series_id", "quarter_ord", "y", *columns).groupBy("series_id").applyInPandas(run, "model string, series_id string, origin_ord long, h long, target_ord long, y_hat double, last_y double, error string")
+    rows = panel.select("series_id", "quarter_ord", "y", *columns)
+    if origins is None:
+        rows = rows.withColumn("asked", F.lit(True))
+    else:
+        some = origins.select("series_id", F.col("origin_ord").alias("quarter_ord"), F.lit(True).alias("asked")).distinct()
+        rows = rows.join(some, ["series_id", "quarter_ord"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    return rows.groupBy("series_id").applyInPandas(run, "model string, series_id string, origin_ord long, h long, target_ord long, y_hat double, last_y double, error string")
 
 
-def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int = 4, least: int = 12, refits: int = 4, lags: int = 4, seed: int = 7) -> DataFrame:
+def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int = 4, least: int = 12, refits: int = 4, lags: int = 4, seed: int = 7, origins: DataFrame | None = None) -> DataFrame:
     """Pooled trees over all series: growth on lagged growth, refitted at a few cutoffs, each fit on rows up to its cutoff and
     scoring origins up to the next; the path is `horizon` passes, each feeding the next one's lags."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
     from pyspark.sql import Window
 
+    from .baselines import at_origins
+
     w = Window.partitionBy("series_id").orderBy("quarter_ord")
     g = panel.select("series_id", "quarter_ord", "y").withColumn("g", F.when((F.col("y") > 0) & (F.lag("y").over(w) > 0), F.log(F.col("y") / F.lag("y").over(w))))
     g = g.withColumns({"n": F.row_number().over(w), **{f"l{k}": F.lag("g", k - 1).over(w) for k in range(1, lags + 1)}, "next": F.lead("g").over(w)}).where(F.col(f"l{lags}").isNotNull())
@@ -242,7 +254,7 @@ def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int =
         learner = (RandomForestRegressor if kind == "random_forest" else GBTRegressor)(featuresCol="features", labelCol="next", predictionCol="p", seed=seed, maxDepth=4)
         model = learner.fit(pack.transform(g.where((F.col("quarter_ord") < cut) & F.col("next").isNotNull())))
         now = g.where((F.col("n") >= least) & (F.col("quarter_ord") >= cut) & (F.col("quarter_ord") < (cuts[at + 1] if at + 1 < len(cuts) else hi + 1)))
-        now = now.select("series_id", F.col("quarter_ord").alias("origin_ord"), F.col("y").alias("last_y"), *names, F.lit(0.0).alias("sum"))
+        now = at_origins(now, origins).select("series_id", F.col("quarter_ord").alias("origin_ord"), F.col("y").alias("last_y"), *names, F.lit(0.0).alias("sum"))
         for h in range(1, horizon + 1):
             scored = model.transform(pack.transform(now)).drop("features")
             now = scored.withColumn("sum", F.col("sum") + F.col("p")).select("series_id", "origin_ord", "last_y", "sum", F.col("p").alias("l1"), *[F.col(f"l{k - 1}").alias(f"l{k}") for k in range(2, lags + 1)])

@@ -68,7 +68,7 @@ def realtime_backtest(versions: DataFrame, names: list[str], horizon: int = 2, l
     key = F.concat_ws("|", "series_id", "target_ord")
     keyed = train.select(key.alias("series_id"), "quarter_ord", F.col("value").alias("y"))
     last = train.groupBy(key.alias("series_id")).agg(F.max("quarter_ord").alias("origin_ord"))
-    made = forecast(keyed, names, horizon, least).join(last, ["series_id", "origin_ord"], "left_semi")
+    made = forecast(keyed, names, horizon, least, origins=last)
     made = evaluate.level_kpi(made.withColumn("y_true", F.lit(None).cast("double")))
     made = made.withColumns({"first_target": F.split_part("series_id", F.lit("|"), F.lit(2)).cast("long"), "series_id": F.split_part("series_id", F.lit("|"), F.lit(1))})
     origin = origins.select("series_id", F.col("target_ord").alias("first_target"), "origin", "vintage_date")
@@ -85,7 +85,7 @@ def window_evaluation(panel: DataFrame, names: list[str], baseline: str, shock:
     if snapshot and not allow_snapshot:
         raise StrictError("an evaluation on one snapshot sees later revisions; allow it on purpose")
     cut = releases.rolling_windows(panel, windows, horizon, ["series_id"], "quarter_ord").withColumnRenamed("cutoff_ts", "origin_ord")
-    rows = forecast(panel, names, horizon, least).join(cut, ["series_id", "origin_ord"])
+    rows = forecast(panel, names, horizon, least, origins=cut).join(cut, ["series_id", "origin_ord"])
     records = baselines.with_truth(rows, panel)
     tasks = evaluate.task_metrics(records)
     return {"records": records, "leaderboard": evaluate.leaderboard(tasks, baseline), "pairwise": evaluate.pairwise(tasks), "kpi": evaluate.kpi_tables(records, shock), "errors": evaluate.point_errors(records, ["model"], shock)}
@@ -99,7 +99,7 @@ def nowcast_trace(versions: DataFrame, target_ord: int, names: list[str], start:
     key = F.concat_ws("|", "series_id", "cutoff")
     panel = known.select(key.alias("series_id"), "quarter_ord", F.col("value").alias("y"))
     last = panel.groupBy("series_id").agg(F.max("quarter_ord").alias("origin_ord"))
-    made = forecast(panel, names, 4, least).join(last, ["series_id", "origin_ord"], "left_semi").where(F.col("target_ord") == target_ord)
+    made = forecast(panel, names, 4, least, origins=last).where(F.col("target_ord") == target_ord)
     made = made.withColumns({"cutoff": F.split_part("series_id", F.lit("|"), F.lit(2)).cast("date"), "series_id": F.split_part("series_id", F.lit("|"), F.lit(1))})
     first = releases.releases(versions).where(F.col("quarter_ord") == target_ord).select("series_id", "first_date")
     out = made.join(first, "series_id", "left")
@@ -111,7 +111,7 @@ def nowcast_trace(versions: DataFrame, target_ord: int, names: list[str], start:
 def latest_forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 8) -> DataFrame:
     """(model, series_id, target_ord, target_end, h, y_hat, qoq, saar): paths from each series' last observed quarter."""
     last = panel.where("y IS NOT NULL").groupBy("series_id").agg(F.max("quarter_ord").alias("origin_ord"))
-    made = forecast(panel, names, horizon, least).join(last, ["series_id", "origin_ord"], "left_semi")
+    made = forecast(panel, names, horizon, least, origins=last)
     before = F.coalesce(F.lag("y_hat").over(Window.partitionBy("model", "series_id").orderBy("h")), F.col("last_y"))
     made = made.withColumn("_b", before)
     return made.select("model", "series_id", "target_ord", quarter_end(F.col("target_ord")).alias("target_end"), "h", "y_hat", (100 * (F.col("y_hat") / F.col("_b") - 1)).alias("qoq"), saar_growth(F.col("y_hat"), F.col("_b")).alias("saar"))

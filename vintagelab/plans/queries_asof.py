@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof, evaluate, features, ingest, releases
 from . import views
-from .catalog import query
+from .catalog import query, wide, wide_sql
 from .views import VIEWS_SQL as V
 
 DAY = "1999-06-30"
-SERIES = ["N1", "N3", "N5", "N7"]
+SERIES = [f"N{i}" for i in range(25)]
 NAMES = ", ".join(f"'{s}'" for s in SERIES)
 SNAP = f"""
 , gaps AS (SELECT series_id, obs_date, asof_date, CASE WHEN (year(asof_date) * 12 + month(asof_date)) % 7 <> 0 THEN value END AS value FROM versions),
@@ -43,16 +43,16 @@ def _cuts(spark):
     return spark.createDataFrame([("1996-03-15",), ("1997-12-31",), ("1999-06-30",), ("2000-02-29",), ("2005-01-01",)], "cutoff string")
 
 
-@query("j02_batched_snapshots", V + f"SELECT CAST(cutoff AS VARCHAR) AS cutoff, series_id, CAST(obs_date AS VARCHAR) AS obs_date, round(arg_max(value, asof_date), 4) AS value FROM versions, {CUTS} WHERE asof_date <= cutoff GROUP BY 1, 2, 3")
+@query("j02_batched_snapshots", V + SNAP + f"SELECT CAST(cutoff AS VARCHAR) AS cutoff, series_id, CAST(obs_date AS VARCHAR) AS obs_date, round(arg_max(value, asof_date), 4) AS value, CAST(max(asof_date) AS VARCHAR) AS asof_used FROM gaps, {CUTS} WHERE asof_date <= cutoff GROUP BY 1, 2, 3")
 def j02(spark, d):
-    return asof.snapshots(views.versions(spark, d), _cuts(spark))
+    return asof.snapshots(_gaps(spark, d), _cuts(spark))
 
 
-ORIGINS = "o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS origin FROM orders), days AS (SELECT DISTINCT asof_date FROM versions WHERE series_id = 'N1' AND month(asof_date) % 2 = 0 AND asof_date >= DATE '1996-01-01')"
+ORIGINS = "o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS origin FROM orders), days AS (SELECT DISTINCT asof_date FROM versions)"
 
 
 def _origins(spark, d):
-    days = views.versions(spark, d).where("series_id = 'N1' AND month(asof_date) % 2 = 0 AND asof_date >= date'1996-01-01'").select("asof_date").distinct()
+    days = views.versions(spark, d).select("asof_date").distinct()
     return views.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("origin")).distinct(), days
 
 
@@ -90,16 +90,15 @@ def j03c(spark, d):
     return asof.asof_join(o, m, ["series_id"], "origin", "asof_date", "c").select("o_orderkey", "matched_ts", "matched")
 
 
-VP = f"""
-, cuts AS (SELECT DISTINCT asof_date AS vintage_date FROM versions WHERE month(asof_date) % 3 = 0),
-vp AS (SELECT vintage_date, series_id, (year(obs_date) - 1970) * 4 + quarter(obs_date) - 1 AS quarter_ord, arg_max(value, asof_date) AS value FROM versions, cuts WHERE asof_date <= vintage_date AND series_id IN ({NAMES}) GROUP BY 1, 2, 3)
+VP = """
+, cuts AS (SELECT DISTINCT asof_date AS vintage_date FROM versions),
+vp AS (SELECT vintage_date, series_id, (year(obs_date) - 1970) * 4 + quarter(obs_date) - 1 AS quarter_ord, arg_max(value, asof_date) AS value FROM versions, cuts WHERE asof_date <= vintage_date GROUP BY 1, 2, 3)
 """
 
 
 def _vp(spark, d):
     v = views.versions(spark, d)
-    cuts = v.where("month(asof_date) % 3 = 0").select(F.col("asof_date").alias("cutoff")).distinct()
-    p = asof.snapshots(v.where(F.col("series_id").isin(SERIES)), cuts)
+    p = asof.snapshots(v, v.select(F.col("asof_date").alias("cutoff")).distinct())
     return p.select(F.col("cutoff").alias("vintage_date"), "series_id", S.quarter_ord(F.col("obs_date")).alias("quarter_ord"), "value")
 
 
@@ -125,13 +124,13 @@ def j07(spark, d):
 
 
 WIN = f"""
-, nq AS (SELECT series_id, quarter_ord, obs_date, y, row_number() OVER (PARTITION BY series_id ORDER BY quarter_ord) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM qpanel WHERE series_id IN ({NAMES})),
+, nq AS (SELECT series_id, quarter_ord, obs_date, y, row_number() OVER (PARTITION BY series_id ORDER BY quarter_ord) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM qpanel),
 win AS (SELECT series_id, i - n + 2 + 6 - 1 AS window_idx, quarter_ord AS cutoff_ts FROM nq WHERE i - n + 2 + 6 - 1 BETWEEN 0 AND 5)
 """
 
 
 def _windows(spark, d):
-    q = views.qpanel(spark, d).where(F.col("series_id").isin(SERIES))
+    q = views.qpanel(spark, d)
     return q, releases.rolling_windows(q, 6, 2, ["series_id"], "quarter_ord")
 
 
@@ -197,19 +196,19 @@ def r06b(spark, d):
     return releases.stage_columns(releases.stage_rows(_rel(spark, d)))
 
 
-@query("v02_same_release_growth", V + REL + "SELECT series_id, quarter_ord, CAST(obs_date AS VARCHAR) AS obs_date, stage, round(value, 2) AS value, CAST(release_date AS VARCHAR) AS release_date, round(level_before, 2) AS level_before, CASE WHEN saar < 1e6 THEN round(saar, 2) END AS saar FROM growth", 2)
+@query("v02_same_release_growth", V + REL + "SELECT series_id, quarter_ord, CAST(obs_date AS VARCHAR) AS obs_date, stage, round(value, 2) AS value, CAST(release_date AS VARCHAR) AS release_date, round(level_before, 2) AS level_before, " + wide_sql("saar") + " AS saar FROM growth", 2)
 def v02(spark, d):
-    return releases.same_release_growth(views.versions(spark, d)).withColumn("saar", F.when(F.col("saar") < 1e6, F.col("saar")))
+    return releases.same_release_growth(views.versions(spark, d)).withColumn("saar", wide(F.col("saar")))
 
 
 @query("v03_panel_growth", V + REL + VP + """
-, pick AS (SELECT g.series_id, g.quarter_ord, stage, g.value, (SELECT min(vintage_date) FROM cuts WHERE vintage_date >= release_date) AS vintage_date FROM stages g WHERE g.series_id IN (""" + NAMES + """))
+, pick AS (SELECT g.series_id, g.quarter_ord, stage, g.value, (SELECT min(vintage_date) FROM cuts WHERE vintage_date >= release_date) AS vintage_date FROM stages g)
 SELECT p.series_id, p.quarter_ord, stage, CAST(p.vintage_date AS VARCHAR) AS vintage_date, round(a.value, 2) AS level, round(b.value, 2) AS level_before, round(a.value / p.value, 4) AS ratio
 FROM pick p LEFT JOIN vp a ON a.series_id = p.series_id AND a.vintage_date = p.vintage_date AND a.quarter_ord = p.quarter_ord LEFT JOIN vp b ON b.series_id = p.series_id AND b.vintage_date = p.vintage_date AND b.quarter_ord = p.quarter_ord - 1""", 4)
 def v03(spark, d):
-    rows = releases.stage_rows(_rel(spark, d)).where(F.col("series_id").isin(SERIES))
+    rows = releases.stage_rows(_rel(spark, d))
     p = _vp(spark, d)
-    days = views.versions(spark, d).where("month(asof_date) % 3 = 0").select("asof_date").distinct()
+    days = views.versions(spark, d).select("asof_date").distinct()
     picked = asof.select_vintage(rows, days, "release_date", "forward")
     g = asof.same_vintage_growth(p, picked)
     return g.select("series_id", "quarter_ord", "stage", "vintage_date", F.round("level", 2).alias("level"), F.round("level_before", 2).alias("level_before"), (F.col("level") / F.col("value")).alias("ratio"))
@@ -233,9 +232,9 @@ def v05(spark, d):
     return releases.validation_flags(g, [113, 114], 108, 104, 400.0, 300.0)
 
 
-@query("v06_release_export", V + REL + "SELECT series_id, quarter_ord, stage, CAST(release_date AS VARCHAR) AS release_date, CASE WHEN saar < 1e6 THEN round(saar, 2) END AS saar, round(level_before, 2) AS level_before FROM growth", 2)
+@query("v06_release_export", V + REL + "SELECT series_id, quarter_ord, stage, CAST(release_date AS VARCHAR) AS release_date, " + wide_sql("saar") + " AS saar, round(level_before, 2) AS level_before FROM growth", 2)
 def v06(spark, d):
-    return releases.export(releases.same_release_growth(views.versions(spark, d))).withColumn("saar", F.when(F.col("saar") < 1e6, F.col("saar")))
+    return releases.export(releases.same_release_growth(views.versions(spark, d))).withColumn("saar", wide(F.col("saar")))
 
 
 @query("s12_valid_origins", V + REL + "SELECT series_id, quarter_ord, datediff('day', obs_date, first_date) AS lag_days, coalesce(first_release IS NOT NULL AND datediff('day', obs_date, first_date) BETWEEN 60 AND 200, false) AS valid_origin FROM rel")
@@ -268,11 +267,11 @@ def j10(spark, d):
     return releases.truth_overlay(views.qpanel(spark, d).select("series_id", "quarter_ord", "y"), _rel(spark, d), "third", "log_level")
 
 
-@query("w03_growth_delta", V + REL + "SELECT series_id, quarter_ord, stage, CASE WHEN abs(dd) < 1e6 THEN round(dd, 2) END AS delta FROM (SELECT *, saar - lag(saar) OVER (PARTITION BY series_id, stage ORDER BY quarter_ord) AS dd FROM growth)", 2)
+@query("w03_growth_delta", V + REL + "SELECT series_id, quarter_ord, stage, " + wide_sql("dd") + " AS delta FROM (SELECT *, saar - lag(saar) OVER (PARTITION BY series_id, stage ORDER BY quarter_ord) AS dd FROM growth)", 2)
 def w03(spark, d):
     w = Window.partitionBy("series_id", "stage").orderBy("quarter_ord")
     x = F.col("saar") - F.lag("saar").over(w)
-    return releases.same_release_growth(views.versions(spark, d)).select("series_id", "quarter_ord", "stage", F.when(F.abs(x) < 1e6, x).alias("delta"))
+    return releases.same_release_growth(views.versions(spark, d)).select("series_id", "quarter_ord", "stage", wide(x).alias("delta"))
 
 
 @query("k03_worst_offenders", V + REL + "SELECT series_id, quarter_ord, round(dl, 2) AS revision FROM (SELECT series_id, quarter_ord, latest_release - first_release AS dl FROM rel) ORDER BY abs(dl) DESC, series_id, quarter_ord LIMIT 5", 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, evaluate, releases
 from . import views
-from .catalog import query
+from .catalog import places, query, wide, wide_sql
 from .queries_asof import REL
 from .views import VIEWS_SQL as V
 
@@ -36,10 +36,8 @@ kpi AS (SELECT *, CASE WHEN y_hat > 0 AND level_before > 0 THEN 100 * (pow(y_hat
 TASKS = PREDS + ", tasks AS (SELECT series_id || '_h' || CAST(h AS VARCHAR) AS task, model, sqrt(avg(e * e)) AS metric FROM records GROUP BY 1, 2)"
 
 
-def untied(df: DataFrame, name: str = "y_hat") -> DataFrame:
-    """The column moved by a fixed amount before it is rounded: means of whole cents often lie half-way between two roundings,
-    where the last bit of a sum would decide."""
-    return df.withColumn(name, F.col(name) + 0.00137)
+def rounded(df: DataFrame, name: str = "y_hat") -> DataFrame:
+    return df.withColumn(name, places(name))
 
 
 def forecasts(spark, d) -> DataFrame:
@@ -54,22 +52,22 @@ def tasks(spark, d) -> DataFrame:
     return evaluate.task_metrics(records(spark, d))
 
 
-@query("m01_baseline_forecasts", V + PREDS + "SELECT model, series_id, origin_ord, h, target_ord, round(y_hat + 0.00137, 2) AS y_hat, round(last_y, 2) AS last_y FROM preds", 2)
+@query("m01_baseline_forecasts", V + PREDS + "SELECT model, series_id, origin_ord, h, target_ord, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(y_hat, 6) ELSE round(y_hat, 2) END AS y_hat, round(last_y, 2) AS last_y FROM preds", 6)
 def m01(spark, d):
-    return untied(forecasts(spark, d))
+    return rounded(forecasts(spark, d))
 
 
 for _model, _name in (("mean", "m02_mean"), ("drift", "m03_drift"), ("seasonal_naive", "m04_seasonal_naive"), ("mean_growth", "m05_mean_growth"), ("rw_drift_log", "m06_log_drift")):
 
     def _one(spark, d, _model=_model):
-        return untied(baselines.baseline_forecasts(views.qpanel(spark, d), models=(_model,)).select("series_id", "origin_ord", "h", "y_hat"))
+        return rounded(baselines.baseline_forecasts(views.qpanel(spark, d), models=(_model,))).select("series_id", "origin_ord", "h", "y_hat")
 
-    query(_name, V + PREDS + f"SELECT series_id, origin_ord, h, round(y_hat + 0.00137, 2) AS y_hat FROM preds WHERE model = '{_model}'", 2)(_one)
+    query(_name, V + PREDS + f"SELECT series_id, origin_ord, h, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(y_hat, 6) ELSE round(y_hat, 2) END AS y_hat FROM preds WHERE model = '{_model}'", 6)(_one)
 
 
-@query("e02_prediction_records", V + PREDS + "SELECT model, series_id, origin_ord, h, target_ord, round(y_hat + 0.00137, 2) AS y_hat, round(last_y, 2) AS last_y, round(y_true, 2) AS y_true FROM records", 2)
+@query("e02_prediction_records", V + PREDS + "SELECT model, series_id, origin_ord, h, target_ord, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(y_hat, 6) ELSE round(y_hat, 2) END AS y_hat, round(last_y, 2) AS last_y, round(y_true, 2) AS y_true FROM records", 6)
 def e02(spark, d):
-    return untied(records(spark, d))
+    return rounded(records(spark, d))
 
 
 @query("e01_prediction_violations", V + PREDS + """
@@ -80,10 +78,10 @@ def e01(spark, d):
     return evaluate.violations(f.withColumn("y_hat", F.when((F.col("origin_ord") % 7 == 0) & (F.col("h") == 2), F.lit(float("inf"))).otherwise(F.col("y_hat"))), 4)
 
 
-@query("e03_level_kpi", V + KPI + "SELECT model, series_id, origin_ord, h, round(level_before + 0.00137, 2) AS level_before, CASE WHEN g_hat < 1e5 THEN round(g_hat, 2) END AS g_hat, CASE WHEN g_true < 1e5 THEN round(g_true, 2) END AS g_true FROM kpi", 2)
+@query("e03_level_kpi", V + KPI + "SELECT model, series_id, origin_ord, h, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(level_before, 6) ELSE round(level_before, 2) END AS level_before, " + wide_sql("g_hat") + " AS g_hat, " + wide_sql("g_true") + " AS g_true FROM kpi", 6)
 def e03(spark, d):
-    k = untied(evaluate.level_kpi(records(spark, d)), "level_before")
-    return k.select("model", "series_id", "origin_ord", "h", "level_before", F.when(F.col("g_hat") < 1e5, F.col("g_hat")).alias("g_hat"), F.when(F.col("g_true") < 1e5, F.col("g_true")).alias("g_true"))
+    k = rounded(evaluate.level_kpi(records(spark, d)), "level_before")
+    return k.select("model", "series_id", "origin_ord", "h", "level_before", wide(F.col("g_hat")).alias("g_hat"), wide(F.col("g_true")).alias("g_true"))
 
 
 @query("a04_point_errors", V + PREDS + "SELECT model, count(e) AS n, round(avg(abs(e)), 2) AS mae, round(sqrt(avg(e * e)), 2) AS rmse, count(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e END) AS n_ex, round(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN abs(e) END), 2) AS mae_ex, round(sqrt(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e * e END)), 2) AS rmse_ex FROM records GROUP BY 1", 2)
@@ -166,10 +164,10 @@ def r07(spark, d):
 
 @query("m18_ensemble", V + PREDS + """
 , w AS (SELECT * FROM (VALUES ('mean3', 'naive_last', 1.0), ('mean3', 'drift', 1.0), ('mean3', 'mean', 1.0), ('skill2', 'drift', 0.7), ('skill2', 'seasonal_naive', 0.3)) t(ensemble, model, weight))
-SELECT ensemble AS model, series_id, origin_ord, h, round(sum(weight * y_hat) / sum(weight) + 0.00137, 2) AS y_hat FROM preds JOIN w USING (model) GROUP BY 1, 2, 3, 4""", 2)
+SELECT ensemble AS model, series_id, origin_ord, h, round(sum(weight * y_hat) / sum(weight), 6) AS y_hat FROM preds JOIN w USING (model) GROUP BY 1, 2, 3, 4""", 6)
 def m18(spark, d):
     w = spark.createDataFrame([("mean3", "naive_last", 1.0), ("mean3", "drift", 1.0), ("mean3", "mean", 1.0), ("skill2", "drift", 0.7), ("skill2", "seasonal_naive", 0.3)], "ensemble string, model string, weight double")
-    return untied(baselines.ensemble(forecasts(spark, d), w)).select("model", "series_id", "origin_ord", "h", "y_hat")
+    return baselines.ensemble(forecasts(spark, d), w).select("model", "series_id", "origin_ord", "h", "y_hat")
 
 
 @query("m19_growth_ensemble", V + KPI + """
@@ -180,14 +178,14 @@ def m19(spark, d):
 
 
 @query("v11_scoring_rows", V + KPI + REL + """
-SELECT k.model, k.series_id, k.origin_ord, k.h, s.stage, CASE WHEN k.g_hat < 1e5 THEN round(k.g_hat, 2) END AS g_hat, round(s.value, 2) AS truth,
+SELECT k.model, k.series_id, k.origin_ord, k.h, s.stage, """ + wide_sql("k.g_hat") + """ AS g_hat, round(s.value, 2) AS truth,
   (year(s.release_date) - 1970) * 12 + month(s.release_date) - 1 - (k.origin_ord * 3 + 2) AS months
 FROM kpi k JOIN stages s ON s.series_id = k.series_id AND s.quarter_ord = k.target_ord WHERE k.model IN ('drift', 'naive_last')""", 2)
 def v11(spark, d):
     k = evaluate.level_kpi(records(spark, d)).where("model IN ('drift', 'naive_last')")
     s = releases.stage_rows(releases.releases(views.versions(spark, d))).withColumnRenamed("quarter_ord", "target_ord")
     months = (F.year("release_date") - 1970) * 12 + F.month("release_date") - 1 - (F.col("origin_ord") * 3 + 2)
-    return k.join(s, ["series_id", "target_ord"]).select("model", "series_id", "origin_ord", "h", "stage", F.when(F.col("g_hat") < 1e5, F.col("g_hat")).alias("g_hat"), F.col("value").alias("truth"), months.cast("long").alias("months"))
+    return k.join(s, ["series_id", "target_ord"]).select("model", "series_id", "origin_ord", "h", "stage", wide(F.col("g_hat")).alias("g_hat"), F.col("value").alias("truth"), months.cast("long").alias("months"))
 
 
 @query("j11_truth_check", V + PREDS + """
@@ -204,9 +202,9 @@ EXF = f", exf AS (SELECT {QEND.format('target_ord')} AS date, {QEND.format('(ori
 EXO = REL + f", exq AS (SELECT *, (year(release_date) - 1970) * 4 + quarter(release_date) - 1 AS q FROM stages), exo AS (SELECT {QEND.format('quarter_ord')} AS date, {QEND.format('q')} AS vintage_date, 'y_' || series_id AS variable, 'Q' AS frequency, quarter_ord - q AS forecast_horizon, value, 'levels' AS metric FROM exq)"
 
 
-@query("e09_exchange_forecasts", V + PREDS + EXF + "SELECT date, vintage_date, variable, frequency, forecast_horizon, round(value + 0.00137, 2) AS value, source, metric FROM exf", 2)
+@query("e09_exchange_forecasts", V + PREDS + EXF + "SELECT date, vintage_date, variable, frequency, forecast_horizon, CASE WHEN source IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(value, 6) ELSE round(value, 2) END AS value, source, metric FROM exf", 6)
 def e09(spark, d):
-    return untied(evaluate.exchange_forecasts(records(spark, d)), "value")
+    return evaluate.exchange_forecasts(records(spark, d)).withColumn("value", places("value", "source"))
 
 
 @query("e09_exchange_outturns", V + EXO + "SELECT date, vintage_date, variable, frequency, forecast_horizon, round(value, 2) AS value, metric FROM exo", 2)
@@ -244,31 +242,33 @@ def e11(spark, d):
     return evaluate.diebold_mariano(_differences(spark, d)).drop("p_value").withColumn("dm", F.round("dm", 3))
 
 
-@query("e12_rolling_diebold_mariano", V + DIFF + """
+RUNS = """
 , num AS (SELECT *, row_number() OVER (PARTITION BY model, h ORDER BY origin_ord) AS i, count(*) OVER (PARTITION BY model, h) AS cnt FROM dif),
-roll AS (SELECT model, h, origin_ord, d, unnest(range(greatest(i, 8), least(cnt, i + 7) + 1)) AS window_end FROM num WHERE cnt >= 8)""" + _dm_sql("model, h, window_end", "roll"))
+roll AS (SELECT model, h, origin_ord, d, least(40, cnt - 1) AS width, unnest(range(greatest(i, least(40, cnt - 1)), least(cnt, i + least(40, cnt - 1) - 1) + 1)) AS window_end FROM num WHERE cnt > 1)"""
+
+
+@query("e12_rolling_diebold_mariano", V + DIFF + RUNS + _dm_sql("model, h, window_end", "roll"))
 def e12(spark, d):
-    return evaluate.rolling_diebold_mariano(_differences(spark, d), 8).drop("p_value").withColumn("dm", F.round("dm", 3))
+    return evaluate.rolling_diebold_mariano(_differences(spark, d)).drop("p_value").withColumn("dm", F.round("dm", 3))
 
 
-@query("e13_fluctuation", V + DIFF + """
-, r AS (SELECT model, h, avg(d) OVER w AS m, row_number() OVER (PARTITION BY model, h ORDER BY origin_ord) AS i, stddev_pop(d) OVER (PARTITION BY model, h) AS sd FROM dif WINDOW w AS (PARTITION BY model, h ORDER BY origin_ord ROWS 7 PRECEDING)),
-x AS (SELECT model, h, max(CASE WHEN sd > 0 THEN abs(m) * sqrt(8) / sd END) AS s FROM r WHERE i >= 8 GROUP BY 1, 2)
+@query("e13_fluctuation", V + DIFF + RUNS + """
+, x AS (SELECT model, h, max(abs(m) * sqrt(width) / sd) AS s FROM (SELECT model, h, window_end, avg(d) AS m, max(width) AS width FROM roll GROUP BY 1, 2, 3) JOIN (SELECT model, h, nullif(stddev_pop(d), 0) AS sd FROM dif GROUP BY 1, 2) USING (model, h) GROUP BY 1, 2)
 SELECT model, h, round(s, 3) AS max_stat, s > 2.77 AS rejects FROM x""", 3)
 def e13(spark, d):
-    return evaluate.fluctuation(_differences(spark, d), 8)
+    return evaluate.fluctuation(_differences(spark, d))
 
 
-@query("w09_moving_error", V + PREDS + "SELECT model, h, origin_ord, round(e + 0.00137, 2) AS error, round(avg(e) OVER (PARTITION BY model, h ORDER BY origin_ord ROWS 3 PRECEDING) + 0.00137, 2) AS moving FROM (SELECT model, h, origin_ord, avg(e) AS e FROM records GROUP BY 1, 2, 3)", 2)
+@query("w09_moving_error", V + PREDS + "SELECT model, h, origin_ord, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(e, 6) ELSE round(e, 2) END AS error, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(avg(e) OVER (PARTITION BY model, h ORDER BY origin_ord ROWS 3 PRECEDING), 6) ELSE round(avg(e) OVER (PARTITION BY model, h ORDER BY origin_ord ROWS 3 PRECEDING), 2) END AS moving FROM (SELECT model, h, origin_ord, avg(e) AS e FROM records GROUP BY 1, 2, 3)", 6)
 def w09(spark, d):
-    return untied(untied(evaluate.moving_error(records(spark, d)), "error"), "moving")
+    return rounded(rounded(evaluate.moving_error(records(spark, d)), "error"), "moving")
 
 
 @query("r08_hedgehog", V + PREDS + """
 , p AS (SELECT model, series_id, origin_ord, target_ord AS quarter_ord, y_hat AS value FROM records UNION ALL SELECT model, series_id, origin_ord, origin_ord, max(last_y) FROM records GROUP BY 1, 2, 3)
-SELECT p.model, p.series_id, p.origin_ord, p.quarter_ord, round(p.value + 0.00137, 2) AS value, round(q.y, 2) AS actual FROM p LEFT JOIN qpanel q ON q.series_id = p.series_id AND q.quarter_ord = p.quarter_ord""", 2)
+SELECT p.model, p.series_id, p.origin_ord, p.quarter_ord, CASE WHEN p.model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(p.value, 6) ELSE round(p.value, 2) END AS value, round(q.y, 2) AS actual FROM p LEFT JOIN qpanel q ON q.series_id = p.series_id AND q.quarter_ord = p.quarter_ord""", 6)
 def r08b(spark, d):
-    return untied(evaluate.hedgehog(records(spark, d), views.qpanel(spark, d)), "value")
+    return rounded(evaluate.hedgehog(records(spark, d), views.qpanel(spark, d)), "value")
 
 
 @query("r08_error_histogram", V + PREDS + "SELECT model, CAST(CASE WHEN r < -0.5 THEN 0 WHEN r >= 0.5 THEN 11 ELSE floor((r + 0.5) / 1.0 * 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT model, e / y_true AS r FROM records WHERE y_true <> 0) GROUP BY 1, 2")
@@ -316,14 +316,14 @@ def a11(spark, d):
 @query("w05_last_before_release", V + PREDS + REL + """
 , c AS (SELECT p.model, p.series_id, p.target_ord, p.origin_ord, p.y_hat, row_number() OVER (PARTITION BY p.model, p.series_id, p.target_ord ORDER BY p.origin_ord DESC) AS r
   FROM preds p JOIN rel ON rel.series_id = p.series_id AND rel.quarter_ord = p.target_ord WHERE make_date(1970 + p.origin_ord // 4, (p.origin_ord % 4) * 3 + 3, 1) < first_date)
-SELECT model, series_id, target_ord, origin_ord, round(y_hat + 0.00137, 2) AS y_hat FROM c WHERE r = 1""", 2)
+SELECT model, series_id, target_ord, origin_ord, CASE WHEN model IN ('naive_last', 'mean', 'drift', 'seasonal_naive') THEN round(y_hat, 6) ELSE round(y_hat, 2) END AS y_hat FROM c WHERE r = 1""", 6)
 def w05(spark, d):
     from ..functions.scalars import quarter_start
     from ..operators import ingest
 
     rel = releases.releases(views.versions(spark, d)).select("series_id", F.col("quarter_ord").alias("target_ord"), "first_date")
     f = forecasts(spark, d).join(rel, ["series_id", "target_ord"]).where(F.add_months(quarter_start(F.col("origin_ord")), 2) < F.col("first_date"))
-    return ingest.keep_last(untied(f), ["model", "series_id", "target_ord"], ["origin_ord"]).select("model", "series_id", "target_ord", "origin_ord", "y_hat")
+    return ingest.keep_last(rounded(f), ["model", "series_id", "target_ord"], ["origin_ord"]).select("model", "series_id", "target_ord", "origin_ord", "y_hat")
 
 
 @query("k04_last_origins", V + PREDS + "SELECT DISTINCT series_id, origin_ord FROM (SELECT *, dense_rank() OVER (PARTITION BY series_id ORDER BY origin_ord DESC) AS r FROM preds) WHERE r <= 3")

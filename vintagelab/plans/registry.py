@@ -31,18 +31,19 @@ def canonical(names: list[str]) -> list[str]:
     return out
 
 
-def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 8, covariates: list[str] | None = None) -> DataFrame:
-    """(model, series_id, origin_ord, h, target_ord, y_hat, last_y) of any models over all series and origins."""
+def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 8, covariates: list[str] | None = None, origins: DataFrame | None = None) -> DataFrame:
+    """(model, series_id, origin_ord, h, target_ord, y_hat, last_y) of any models over all series and origins, or over the origins
+    (series_id, origin_ord) asked for."""
     names, parts = canonical(names), []
     if base := tuple(n for n in names if n in baselines.MODELS):
-        parts.append(baselines.baseline_forecasts(panel, horizon, least, base))
+        parts.append(baselines.baseline_forecasts(panel, horizon, least, base, origins))
     if any(n in RANDOM for n in names):
-        parts.append(baselines.random_forecasts(panel, horizon, least).where(F.col("model").isin(names)))
+        parts.append(baselines.random_forecasts(panel, horizon, least, origins=origins).where(F.col("model").isin(names)))
     if fitted := [n for n in names if n in models.REGISTRY]:
-        parts.append(models.fitted_forecasts(panel, fitted, horizon, max(least, 8), covariates).drop("error"))
+        parts.append(models.fitted_forecasts(panel, fitted, horizon, max(least, 8), covariates, origins).drop("error"))
     for n in names:
         if n in TREES:
-            parts.append(models.tree_forecasts(panel, n, horizon, max(least, 8)))
+            parts.append(models.tree_forecasts(panel, n, horizon, max(least, 8), origins=origins))
     columns = ["model", "series_id", "origin_ord", "h", "target_ord", "y_hat", "last_y"]
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
 

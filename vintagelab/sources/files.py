@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,18 @@ def discover(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame
 
 
 def read_vintage_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw rows of files with one header, as text, with the path and the vintage of each."""
-    raw = spark.read.option("header", "true").option("inferSchema", "false").csv(paths)
-    path = F.col("_metadata.file_path")
-    return raw.select("*", path.alias("_path"), vintage_of(path).alias("vintage"))
+    """Raw rows of files, as text, with the path and the vintage of each. Files may have different headers: those of one header
+    are read together, and columns are matched by name, a column that a file doesn't have being null in its rows."""
+    files = spark.read.format("binaryFile").load(paths)
+    head = F.substring_index(F.substring_index(F.decode("content", "UTF-8"), "\n", 1), "\r", 1)
+    groups: dict[str, list[str]] = {}
+    for row in files.select("path", head.alias("head")).orderBy("path").toLocalIterator():
+        groups.setdefault(row.head, []).append(row.path)
+    path, parts = F.col("_metadata.file_path"), []
+    for same in groups.values():
+        raw = spark.read.option("header", "true").option("inferSchema", "false").csv(same)
+        parts.append(raw.select("*", path.alias("_path"), vintage_of(path).alias("vintage")))
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
 
 
 def data_rows(raw: DataFrame, date: str = "sasdate") -> DataFrame:
