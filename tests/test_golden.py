@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vintagelab.functions import scalars as S
 from vintagelab.functions import sequence as Q
-from vintagelab.operators import asof, baselines, evaluate, features, ingest, models, releases
+from vintagelab.operators import asof, autoregression, baselines, evaluate, features, ingest, models, releases
 from vintagelab.plans import pipelines, registry
 from vintagelab.sources import files
 from vintagelab.streaming import revisions
@@ -256,7 +256,6 @@ def test_models_give_finite_full_paths(name):
 
 
 def test_models_know_simple_series():
-    assert np.allclose(models.ar(line(40), 4), line(44)[40:], atol=1e-5)
     assert np.allclose(models.auto_ar(line(40), 4), line(44)[40:], atol=1e-3)
     assert np.allclose(models.local_trend(line(40), 4), line(44)[40:], atol=0.5)
     assert np.allclose(models.drift(line(5), 2), line(7)[5:])
@@ -347,3 +346,68 @@ def test_stage_names(spark):
     df = spark.createDataFrame([(x,) for x in ("First Release", "2nd", "third_estimate", "latest", "odd")], "s string")
     assert [r[0] for r in df.select(S.normalised_stage(F.col("s"))).collect()] == ["first", "second", "third", "latest", None]
     assert df.select(S.item_id(F.lit("GDP"), F.lit("first"), F.lit("saar"))).first()[0] == "GDP__first__saar"
+
+
+def test_autoregressions_equal_least_squares_at_every_origin(spark):
+    rng = np.random.default_rng(4)
+    paths = {"A": 100 + np.cumsum(rng.normal(0.5, 1, 40)), "B": 5 * np.exp(np.cumsum(rng.normal(0.01, 0.02, 30)))}
+    rows = [(s, q, float(v)) for s, y in paths.items() for q, v in enumerate(y)] + [("A", 40, None), ("A", 41, None)]
+    p = spark.createDataFrame(rows, "series_id string, quarter_ord long, y double")
+    got = {(r.model, r.series_id, r.origin_ord, r.h): r.y_hat for r in autoregression.ar_forecasts(p, 3, 14).collect()}
+
+    def path(z):
+        x = np.column_stack([np.ones(len(z) - 4), *(z[4 - k : len(z) - k] for k in range(1, 5))])
+        b, out = np.linalg.lstsq(x, z[4:], rcond=None)[0], list(z)
+        for _ in range(3):
+            out.append(b[0] + sum(b[k] * out[-k] for k in range(1, 5)))
+        return np.array(out[len(z) :])
+
+    assert len(got) == 2 * 3 * sum(len(y) - 13 for y in paths.values())
+    for s, y in paths.items():
+        for n in range(14, len(y) + 1):
+            want = {"ar4": path(y[:n]), "ar4_growth": y[n - 1] * np.exp(np.cumsum(path(np.diff(np.log(y[:n])))))}
+            for m, values in want.items():
+                assert [got[m, s, n - 1, h] for h in (1, 2, 3)] == pytest.approx(values, rel=1e-7)
+
+
+def test_autoregressions_of_odd_series(spark):
+    rows = [("line", q, 2.0 * q + 1) for q in range(20)] + [("flat", q, 7.0) for q in range(20)] + [("zero", q, 0.0) for q in range(20)] + [("minus", q, -3.0 - q) for q in range(20)] + [("short", q, 1.0 + q * q) for q in range(5)]
+    p = spark.createDataFrame(rows, "series_id string, quarter_ord long, y double")
+    last = spark.createDataFrame([(s, 19) for s in ("line", "flat", "zero", "minus")] + [("short", 4)], "series_id string, origin_ord long")
+    got = {(r.model, r.series_id, r.h): r.y_hat for r in autoregression.ar_forecasts(p, 2, 2, origins=last).collect()}
+    assert [got["ar4", "line", h] for h in (1, 2)] == pytest.approx([41.0, 43.0]) and got["ar4", "minus", 1] == pytest.approx(-23.0)
+    assert {got[m, "flat", 2] for m in autoregression.MODELS} == {7.0} and {got[m, "zero", 2] for m in autoregression.MODELS} == {0.0}
+    assert got["ar4_growth", "minus", 2] == -22.0 and {got[m, "short", 1] for m in autoregression.MODELS} == {17.0}
+    assert autoregression.ar_forecasts(p.where("false")).count() == 0
+
+
+def test_bootstrap_gives_intervals_of_every_statistic(spark):
+    rows = [(f"t{i}", m, v) for i in range(30) for m, v in (("base", 2.0 + i), ("half", 1.0 + i / 2), ("other", None if i == 3 else 2.0 + i))]
+    tasks = spark.createDataFrame(rows, "task string, model string, metric double")
+    got = {(r.statistic, r.model, r.other): r for r in evaluate.bootstrap(tasks, "base", 200, 1).collect()}
+    assert got["skill", "half", ""][3:] == pytest.approx((0.5, 0.5, 0.5)) and got["win_rate", "half", ""][3:] == (1.0, 1.0, 1.0)
+    mean = got["mean", "base", ""]
+    assert mean.value == 16.5 and mean.low < 16.5 < mean.high and mean.high - mean.low < 8
+    assert got["difference", "base", "other"][3:] == (0.0, 0.0, 0.0) and got["difference", "half", "base"].low > 0
+    again = {(r.statistic, r.model, r.other): r for r in evaluate.bootstrap(tasks.repartition(5), "base", 200, 1).collect()}
+    assert all(again[k][3:] == pytest.approx(got[k][3:]) for k in got) and len(got) == 3 + 3 + 3 + 6
+
+
+def test_growth_of_first_releases_and_own_lags(spark):
+    wide = spark.createDataFrame([("A", 1, D("2020-04-01"), 100.0, D("2020-07-30"), 7), ("A", 2, D("2020-07-01"), 110.0, None, 90)], "series_id string, quarter_ord long, obs_date date, first_release double, first_date date, lag_days long")
+    assert [r.valid_origin for r in releases.valid_origins(wide).orderBy("quarter_ord").collect()] == [False, False]
+    assert [r.valid_origin for r in releases.valid_origins(wide.drop("lag_days")).orderBy("quarter_ord").collect()] == [True, False]
+    growth = [r.first_growth for r in releases.first_growth(wide).orderBy("quarter_ord").collect()]
+    assert growth[0] is None and growth[1] == pytest.approx(100 * (1.1**4 - 1))
+    assert [r.first_growth for r in releases.first_growth(wide.withColumn("first_saar", F.lit("2.5"))).collect()] == [2.5, 2.5]
+
+
+def test_streams_keep_marks_and_snapshots(spark, tmp_path):
+    t = dt.datetime(2021, 2, 1)
+    for k, rows in enumerate(([("A", D("2021-01-01"), D("2021-02-01"), 1.0, t)], [("A", D("2021-01-01"), D("2021-02-01"), 9.0, t + dt.timedelta(1)), ("A", D("2021-01-01"), D("2021-03-01"), None, t), ("B", D("2021-01-01"), D("2021-02-01"), 2.0, t)])):
+        spark.createDataFrame(rows, revisions.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        stream = lambda: spark.readStream.schema(revisions.SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        revisions.high_water_stream(stream(), str(tmp_path / "m"), str(tmp_path / "mc")).awaitTermination()
+        revisions.latest_snapshot_stream(stream(), str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
+    assert sorted((r.series_id, r.max_asof, r.n) for r in revisions.high_water_marks(spark, str(tmp_path / "m")).collect()) == [("A", D("2021-03-01"), 3), ("B", D("2021-02-01"), 1)]
+    assert sorted((r.series_id, r.value, r.asof_used) for r in revisions.latest_snapshot(spark, str(tmp_path / "s")).collect()) == [("A", 1.0, D("2021-03-01")), ("B", 2.0, D("2021-02-01"))]

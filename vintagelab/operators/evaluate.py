@@ -108,15 +108,42 @@ def pairwise(tasks: DataFrame) -> DataFrame:
     return a.join(b, "task").where("model_a <> model_b").groupBy("model_a", "model_b").agg(F.count(F.lit(1)).cast("long").alias("n"), F.avg(win).alias("win_rate"), F.avg(F.col("_b") - F.col("_a")).alias("mean_diff"))
 
 
-def bootstrap(tasks: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(model, mean, low, high): 95 % percentile intervals of the mean metric; draws come from hashes of (seed, draw, place)."""
-    w = Window.partitionBy("model").orderBy("task")
-    numbered = tasks.where("metric IS NOT NULL").withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("model"))})
-    pick = F.pmod(F.xxhash64(F.lit(seed), "b", "i"), F.col("n")).cast("int")
-    drawn = numbered.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("model", "b", pick.alias("i"))
-    means = drawn.join(numbered.select("model", "i", "metric"), ["model", "i"]).groupBy("model", "b").agg(F.avg("metric").alias("m"))
-    q = means.groupBy("model").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return numbered.groupBy("model").agg(F.avg("metric").alias("mean")).join(q, "model").select("model", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+def _ratios(tasks: DataFrame, baseline: str) -> DataFrame:
+    """(statistic, model, other, task, num, den): every compared statistic as a ratio of sums over tasks. other is the second model of
+    a pair, else empty."""
+    known = tasks.where("metric IS NOT NULL").select("task", "model", "metric")
+    one, none = F.lit(1.0), F.lit("")
+    best = known.withColumn("_m", F.min("metric").over(Window.partitionBy("task")))
+    base = known.where(F.col("model") == baseline).select("task", F.col("metric").alias("_b"))
+    second = known.select("task", F.col("model").alias("other"), F.col("metric").alias("_b"))
+    rows = [
+        known.select(F.lit("mean").alias("statistic"), "model", none.alias("other"), "task", F.col("metric").alias("num"), one.alias("den")),
+        best.select(F.lit("win_rate"), "model", none, "task", (F.col("metric") == F.col("_m")).cast("double"), one),
+        known.join(base, "task").select(F.lit("skill"), "model", none, "task", "metric", "_b"),
+        known.join(second, "task").where("model <> other").select(F.lit("difference"), "model", "other", "task", F.col("_b") - F.col("metric"), one),
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def bootstrap(tasks: DataFrame, baseline: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(statistic, model, other, value, low, high): 95 % percentile intervals of the mean metric, the win rate, the skill against the
+    baseline and the mean difference of pairs (other's metric less model's).
+
+    A draw takes as many tasks of a group as it has, by hashes of (seed, draw, place), so that a task that runs again draws the
+    same. Groups of equal size share draws: how often a draw takes each place is counted once for each size and joined to the
+    rows, whose sums are combined before the shuffle. A skill without a baseline above zero is null."""
+    group = ["statistic", "model", "other"]
+    w = Window.partitionBy(*group)
+    rows = _ratios(tasks, baseline).withColumns({"i": F.row_number().over(w.orderBy("task")) - 1, "n": F.count(F.lit(1)).over(w)})
+    sizes = rows.select("n").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition("n", "b")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    times = sizes.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).groupBy("n", "b", place.cast("int").alias("i")).agg(F.count(F.lit(1)).alias("times"))
+    ratio = F.try_divide(F.sum(F.col("times") * F.col("num")), F.sum(F.col("times") * F.col("den")))
+    drawn = rows.join(times, ["n", "i"]).groupBy(*group, "b").agg(ratio.alias("r"))
+    whole = rows.groupBy(*group).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("r"))
+    value = F.when(F.col("statistic") == "skill", 1 - F.col("r")).otherwise(F.col("r"))
+    q = drawn.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return whole.join(q, group).select(*group, value.alias("value"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def violations(forecasts: DataFrame, horizon: int, allow_null: bool = False) -> DataFrame:
@@ -139,8 +166,14 @@ def exchange_outturns(stage_rows: DataFrame, variable: str = "y", metric: str =
     return stage_rows.select(quarter_end(F.col("quarter_ord")).alias("date"), quarter_end(q).alias("vintage_date"), F.concat_ws("_", F.lit(variable), "series_id").alias("variable"), F.lit("Q").alias("frequency"), (F.col("quarter_ord") - q).cast("long").alias("forecast_horizon"), "value", F.lit(metric).alias("metric"))
 
 
-def accuracy(forecasts: DataFrame, outturns: DataFrame, k: int = 0) -> DataFrame:
-    """Bias, MAE, RMSE and count by source and horizon against the outturn k vintages after the first."""
+def accuracy(forecasts: DataFrame, outturns: DataFrame, k: int = 0, same_dates: bool = False) -> DataFrame:
+    """Bias, MAE, RMSE and count by source and horizon against the outturn k vintages after the first; with same_dates only over the
+    range of dates, for each variable and horizon, that all its sources cover."""
+    if same_dates:
+        by = ["variable", "forecast_horizon"]
+        spans = forecasts.groupBy(*by, "source").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+        common = spans.groupBy(*by).agg(F.max("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
+        forecasts = forecasts.join(common, by).where(F.col("date").between(F.col("_lo"), F.col("_hi")))
     w = Window.partitionBy("variable", "date").orderBy("vintage_date")
     truth = outturns.withColumn("_k", F.dense_rank().over(w) - 1).where(F.col("_k") == k).groupBy("variable", "date").agg(F.max("value").alias("_t"))
     e = F.col("value") - F.col("_t")
@@ -215,8 +248,10 @@ def error_histogram(records: DataFrame, low: float, high: float, bins: int) -> D
     return records.where(e.isNotNull()).groupBy("model", bin_.alias("bin")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def top_models(board: DataFrame, k: int, by: str = "skill", exclude: list[str] | None = None) -> DataFrame:
-    """The k best models by skill (or win rate, then mean metric), some left out."""
+def top_models(board: DataFrame, k: int, by: str = "skill", exclude: list[str] | None = None, over: float | None = None) -> DataFrame:
+    """The k best models by skill (or win rate, then mean metric), some left out; with `over` only those of a greater skill."""
+    if over is not None:
+        board = board.where(F.col("skill") > over)
     order = [F.desc("skill"), F.asc("model")] if by == "skill" else [F.desc("win_rate"), F.asc("mean_metric"), F.asc("model")]
     return board.where(~F.col("model").isin(exclude or [""])).orderBy(*order).limit(k)
 
@@ -242,8 +277,10 @@ def timing_report(timings: DataFrame, k: int = 10) -> DataFrame:
 
 
 def runtime_medians(timings: DataFrame) -> DataFrame:
-    """Median preparation and inference times per model, and how many metrics are null."""
-    return timings.groupBy("model").agg(F.percentile("prep_s", 0.5).alias("prep_s"), F.percentile("infer_s", 0.5).alias("infer_s"), F.sum(F.col("metric").isNull().cast("long")).alias("failed"))
+    """Median preparation and inference times per model, how many metrics are null, and the share of tasks whose data the model was
+    trained on (a flag `overlap`, null where the rows have none)."""
+    overlap = F.avg(F.col("overlap").cast("double")) if "overlap" in timings.columns else F.lit(None).cast("double")
+    return timings.groupBy("model").agg(F.percentile("prep_s", 0.5).alias("prep_s"), F.percentile("infer_s", 0.5).alias("infer_s"), overlap.alias("overlap"), F.sum(F.col("metric").isNull().cast("long")).alias("failed"))
 
 
 def calibration(constructed: DataFrame, template: DataFrame, key: list[str], least: int = 8) -> DataFrame:

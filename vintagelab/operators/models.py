@@ -32,17 +32,6 @@ def _ols(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
 
-def ar(y: np.ndarray, horizon: int, p: int = 4) -> np.ndarray:
-    """AR(p) with constant by least squares, iterated."""
-    if len(y) < max(8, 2 * p):
-        return np.full(horizon, y[-1])
-    rows = np.column_stack([np.ones(len(y) - p), *(y[p - k : len(y) - k] for k in range(1, p + 1))])
-    b, past = _ols(rows, y[p:]), list(y)
-    for _ in range(horizon):
-        past.append(b[0] + sum(b[k] * past[-k] for k in range(1, p + 1)))
-    return np.array(past[len(y) :])
-
-
 def on_growth(model: Callable[[np.ndarray, int], np.ndarray]) -> Forecast:
     """A model of log differences, recomposed to levels."""
 
@@ -178,8 +167,6 @@ def factors(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray |
 
 
 for _name, _fn in {
-    "ar4": lambda y, h, x, fx: ar(y, h),
-    "ar4_growth": on_growth(ar),
     "auto_ets": lambda y, h, x, fx: exponential(y, h),
     "theta": lambda y, h, x, fx: theta(y, h),
     "auto_arima": lambda y, h, x, fx: auto_ar(y, h),

@@ -76,9 +76,20 @@ def export(growth: DataFrame) -> DataFrame:
 
 
 def valid_origins(wide: DataFrame, least: int = 60, most: int = 200) -> DataFrame:
-    """wide with lag_days and valid_origin: a first release with a value, least to most days after the quarter began."""
-    lag = F.datediff("first_date", F.col("obs_date")).cast("long")
-    return wide.withColumn("lag_days", lag).withColumn("valid_origin", F.coalesce(F.col("first_release").isNotNull() & lag.between(least, most), F.lit(False)))
+    """wide with lag_days (its own where it has them) and valid_origin: a first release with a value and a date, least to most days
+    after the quarter began."""
+    lag = F.col("lag_days").cast("long") if "lag_days" in wide.columns else F.datediff("first_date", F.col("obs_date")).cast("long")
+    known = F.col("first_release").isNotNull() & F.col("first_date").isNotNull()
+    return wide.withColumn("lag_days", lag).withColumn("valid_origin", F.coalesce(known & F.col("lag_days").between(least, most), F.lit(False)))
+
+
+def first_growth(wide: DataFrame, column: str = "first_saar") -> DataFrame:
+    """wide with first_growth, the annualised growth that the first release told: the column where the table has it, else, as a
+    makeshift that mixes vintages, that of the first release on the quarter before's."""
+    if column in wide.columns:
+        return wide.withColumn("first_growth", F.col(column).try_cast("double"))
+    w = Window.partitionBy("series_id").orderBy("quarter_ord")
+    return wide.withColumn("first_growth", saar_growth(F.col("first_release"), F.lag("first_release").over(w)))
 
 
 def quarterly_origins(wide: DataFrame) -> DataFrame:

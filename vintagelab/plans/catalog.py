@@ -70,7 +70,7 @@ def query(name: str, sql: str | None = None, digits: int = 4) -> Callable[[Query
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_asof, queries_evaluate, queries_models, queries_scalar  # noqa: F401  (they register theirs)
+    from . import queries_asof, queries_evaluate, queries_models, queries_scalar, queries_sources  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 

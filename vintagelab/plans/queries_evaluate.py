@@ -276,12 +276,12 @@ def r08(spark, d):
     return evaluate.error_histogram(records(spark, d), -0.5, 0.5, 10)
 
 
-TIMES = ", tm AS (SELECT event_type AS model, user_id % 7 AS windows, value AS prep_s, value * 2 AS infer_s, CASE WHEN event_id % 10 <> 0 THEN value END AS metric FROM events)"
+TIMES = ", tm AS (SELECT event_type AS model, user_id % 7 AS windows, value AS prep_s, value * 2 AS infer_s, CASE WHEN event_id % 10 <> 0 THEN value END AS metric, user_id % 3 = 0 AS overlap FROM events)"
 
 
 def _times(spark, d):
     e = views.table(spark, d, "events")
-    return e.select(F.col("event_type").alias("model"), (F.col("user_id") % 7).alias("windows"), F.col("value").alias("prep_s"), (F.col("value") * 2).alias("infer_s"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("metric"))
+    return e.select(F.col("event_type").alias("model"), (F.col("user_id") % 7).alias("windows"), F.col("value").alias("prep_s"), (F.col("value") * 2).alias("infer_s"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("metric"), (F.col("user_id") % 3 == 0).alias("overlap"))
 
 
 @query("a08_timing_report", V + TIMES + "SELECT model, max(windows) AS windows, round(avg(prep_s), 2) AS prep_s, round(sum(infer_s), 2) AS infer_s, round(sum(infer_s) / max(windows), 2) AS per_window_s FROM tm GROUP BY 1 ORDER BY sum(infer_s) DESC, 1 LIMIT 10", 2)
@@ -289,7 +289,7 @@ def a08(spark, d):
     return evaluate.timing_report(_times(spark, d))
 
 
-@query("a09_runtime_medians", V + TIMES + "SELECT model, round(quantile_cont(prep_s, 0.5), 3) AS prep_s, round(quantile_cont(infer_s, 0.5), 3) AS infer_s, CAST(sum(CAST(metric IS NULL AS INT)) AS BIGINT) AS failed FROM tm GROUP BY 1", 3)
+@query("a09_runtime_medians", V + TIMES + "SELECT model, round(quantile_cont(prep_s, 0.5), 3) AS prep_s, round(quantile_cont(infer_s, 0.5), 3) AS infer_s, round(avg(CAST(overlap AS INT)), 3) AS overlap, CAST(sum(CAST(metric IS NULL AS INT)) AS BIGINT) AS failed FROM tm GROUP BY 1", 3)
 def a09(spark, d):
     return evaluate.runtime_medians(_times(spark, d))
 
@@ -334,9 +334,37 @@ def k04(spark, d):
     return forecasts(spark, d).select("series_id", "origin_ord").distinct().withColumn("r", r).where("r <= 3").drop("r")
 
 
-@query("e07_bootstrap_intervals")
+DRAWS = """
+, best AS (SELECT *, min(metric) OVER (PARTITION BY task) AS best FROM tasks),
+stat AS (SELECT 'mean' AS statistic, model, '' AS other, task, metric AS num, 1.0::DOUBLE AS den FROM tasks UNION ALL SELECT 'win_rate', model, '', task, CASE WHEN metric = best THEN 1.0 ELSE 0.0 END, 1.0 FROM best
+  UNION ALL SELECT 'skill', t.model, '', t.task, t.metric, b.metric FROM tasks t JOIN tasks b ON b.task = t.task AND b.model = 'seasonal_naive' UNION ALL SELECT 'difference', t.model, b.model, t.task, b.metric - t.metric, 1.0 FROM tasks t JOIN tasks b ON b.task = t.task AND b.model <> t.model),
+placed AS (SELECT *, row_number() OVER (PARTITION BY statistic, model, other ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY statistic, model, other) AS n FROM stat),
+times AS (SELECT n, b, ('0x' || substr(md5('0|' || b || '|' || j), 1, 8))::BIGINT % n AS i, count(*) AS times FROM (SELECT n, b, unnest(range(1, n + 1)) AS j FROM (SELECT DISTINCT n FROM placed), (SELECT unnest(range(1, 2001)) AS b)) GROUP BY 1, 2, 3),
+drawn AS (SELECT statistic, model, other, b, sum(times * num) / sum(times * den) AS r FROM placed JOIN times USING (n, i) GROUP BY 1, 2, 3, 4),
+whole AS (SELECT statistic, model, other, sum(num) / sum(den) AS r FROM placed GROUP BY 1, 2, 3),
+ends AS (SELECT statistic, model, other, quantile_cont(CASE WHEN statistic = 'skill' THEN 1 - r ELSE r END, 0.025) AS low, quantile_cont(CASE WHEN statistic = 'skill' THEN 1 - r ELSE r END, 0.975) AS high FROM drawn GROUP BY 1, 2, 3)
+SELECT statistic, model, other, round(CASE WHEN statistic = 'skill' THEN 1 - r ELSE r END, 3) + 0.0 AS value, round(low, 3) + 0.0 AS low, round(high, 3) + 0.0 AS high FROM whole JOIN ends USING (statistic, model, other)"""
+
+
+@query("e07_bootstrap_intervals", V + TASKS + DRAWS, 3)
 def e07(spark, d):
-    return evaluate.bootstrap(tasks(spark, d), 500)
+    return evaluate.bootstrap(tasks(spark, d), "seasonal_naive")
+
+
+@query("k02_models_over_threshold", V + LB + "SELECT model, round(skill, 4) AS skill FROM lb WHERE skill > 0.0 AND model <> 'naive_last' ORDER BY lb.skill DESC, model LIMIT 5")
+def k02b(spark, d):
+    return evaluate.top_models(evaluate.leaderboard(tasks(spark, d), "seasonal_naive"), 5, exclude=["naive_last"], over=0.0).select("model", "skill")
+
+
+@query("e10_accuracy_same_dates", V + PREDS + EXF + EXO + """
+, late AS (SELECT * FROM exf WHERE source <> 'mean' OR date >= '1999-01-01'), span AS (SELECT variable, forecast_horizon, max(lo) AS lo, min(hi) AS hi FROM (SELECT variable, forecast_horizon, source, min(date) AS lo, max(date) AS hi FROM late GROUP BY 1, 2, 3) GROUP BY 1, 2),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY variable, date ORDER BY vintage_date) - 1 AS k FROM exo), t AS (SELECT variable, date, max(value) AS t FROM k WHERE k = 1 GROUP BY 1, 2)
+SELECT source, forecast_horizon, count(*) AS n, round(avg(value - t), 2) AS bias, round(avg(abs(value - t)), 2) AS mae, round(sqrt(avg(pow(value - t, 2))), 2) AS rmse FROM late JOIN span USING (variable, forecast_horizon) JOIN t USING (variable, date) WHERE date BETWEEN lo AND hi GROUP BY 1, 2""", 2)
+def e10b(spark, d):
+    """One source begins later than the others, which are cut to its range."""
+    out = evaluate.exchange_outturns(releases.stage_rows(releases.releases(views.versions(spark, d))))
+    late = evaluate.exchange_forecasts(records(spark, d)).where("source <> 'mean' OR date >= date'1999-01-01'")
+    return evaluate.accuracy(late, out, 1, same_dates=True)
 
 
 @query("e11_dm_p_values")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, models
+from ..operators import autoregression, evaluate, models
 from ..streaming import revisions
 from . import pipelines, registry, views
 from .catalog import query
@@ -29,12 +26,46 @@ def _fitted(name: str, covariates: bool = False):
 
 
 for _id, _name, _x in (
-    ("m08_ar4_growth", "ar4_growth", False), ("m09_ar4", "ar4", False), ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", False),
+    ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", False),
     ("m11_factor_pca_qd", "factor_pca_qd", True), ("m15_auto_ets", "auto_ets", False), ("m15_theta", "theta", False), ("m16_auto_arima", "auto_arima", False), ("m17_local_trend_ssm", "local_trend_ssm", False),
 ):
     query(_id)(_fitted(_name, _x))
 
 
+P = 4
+_X = ["1.0", *[f"l{k}" for k in range(1, P + 1)], "z"]
+_SUMS = "[" + ", ".join("[" + ", ".join(f"sum(CASE WHEN ok THEN {_X[i]} * {_X[j]} END) OVER w" for j in range(P + 2)) + "]" for i in range(P + 1)) + "]"
+#: Paths of an autoregression by normal equations and elimination.
+AR = """
+, base AS (SELECT series_id, quarter_ord, y, count(y) OVER w AS n, first_value(y) OVER w AS f, lag(y) OVER (PARTITION BY series_id ORDER BY quarter_ord) AS y1 FROM qpanel WINDOW w AS (PARTITION BY series_id ORDER BY quarter_ord ROWS UNBOUNDED PRECEDING)),
+scaled AS (SELECT *, {z} AS z FROM base),
+lagged AS (SELECT *, """ + ", ".join(f"lag(z, {k}) OVER o AS l{k}" for k in range(1, P + 1)) + """ FROM scaled WINDOW o AS (PARTITION BY series_id ORDER BY quarter_ord)),
+marked AS (SELECT *, z IS NOT NULL AND """ + " AND ".join(f"l{k} IS NOT NULL" for k in range(1, P + 1)) + """ AS ok FROM lagged),
+sums AS (SELECT *, """ + _SUMS + """ AS m FROM marked WINDOW w AS (PARTITION BY series_id ORDER BY quarter_ord ROWS UNBOUNDED PRECEDING)),
+solving AS (SELECT series_id, quarter_ord, 1 AS k, m FROM sums WHERE n >= 12
+  UNION ALL SELECT series_id, quarter_ord, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * (m[k][j] / m[k][k])) END) FROM solving WHERE k <= 5),
+solved AS (SELECT s.*, g.m[1][6] AS b0, g.m[2][6] AS b1, g.m[3][6] AS b2, g.m[4][6] AS b3, g.m[5][6] AS b4 FROM marked s JOIN solving g ON g.series_id = s.series_id AND g.quarter_ord = s.quarter_ord AND g.k = 6),
+p1 AS (SELECT *, b0 + b1 * z + b2 * l1 + b3 * l2 + b4 * l3 AS f1 FROM solved), p2 AS (SELECT *, b0 + b1 * f1 + b2 * z + b3 * l1 + b4 * l2 AS f2 FROM p1),
+p3 AS (SELECT *, b0 + b1 * f2 + b2 * f1 + b3 * z + b4 * l1 AS f3 FROM p2), p4 AS (SELECT *, b0 + b1 * f3 + b2 * f2 + b3 * f1 + b4 * z AS f4 FROM p3),
+path AS (SELECT *, unnest([1, 2, 3, 4]) AS h, unnest([f1, f2, f3, f4]) AS v, unnest([f1, f1 + f2, f1 + f2 + f3, f1 + f2 + f3 + f4]) AS total FROM p4)
+SELECT '{name}' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round({back}, 0) AS y_hat, round(y, 0) AS last_y FROM path"""
+RV = V.replace("WITH monthly", "WITH RECURSIVE monthly", 1)
+
+
+def _ar_sql(name: str, z: str, back: str) -> str:
+    return RV + AR.replace("{name}", name).replace("{z}", z).replace("{back}", back)
+
+
+@query("m08_ar4_growth", _ar_sql("ar4_growth", "ln(y / y1)", "y * exp(total)"), 0)
+def m08(spark, d):
+    return autoregression.ar_forecasts(views.qpanel(spark, d), 4, 12, ("ar4_growth",))
+
+
+@query("m09_ar4", _ar_sql("ar4", "y / f", "v * f"), 0)
+def m09(spark, d):
+    return autoregression.ar_forecasts(views.qpanel(spark, d), 4, 12, ("ar4",))
+
+
 @query("m07_random_models")
 def m07(spark, d):
     return registry.forecast(views.qpanel(spark, d), list(registry.RANDOM))
@@ -126,10 +157,21 @@ def e16(spark, d):
     return pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "drift", "ar4"])
 
 
-@query("e16_realtime_metrics")
+@query("e16_realtime_metrics", V + REL + """
+, dd AS (SELECT DISTINCT asof_date FROM versions),
+origins AS (SELECT series_id, quarter_ord AS target, first_date - 1 AS origin, (SELECT max(asof_date) FROM dd WHERE asof_date <= first_date - 1) AS vintage FROM rel),
+known AS (SELECT o.series_id, o.target, o.origin, (year(v.obs_date) - 1970) * 4 + quarter(v.obs_date) - 1 AS q, arg_max(v.value, v.asof_date) AS y FROM origins o JOIN versions v ON v.series_id = o.series_id AND v.asof_date <= o.vintage GROUP BY 1, 2, 3, 4),
+hist AS (SELECT series_id, target, origin, count(*) AS n, max(q) AS last, arg_max(y, q) AS y, arg_min(y, q) AS f, avg(y) AS a FROM known WHERE q < target GROUP BY 1, 2, 3 HAVING count(*) >= 8),
+steps AS (SELECT *, unnest([1, 2]) AS h FROM hist),
+made AS (SELECT 'naive_last' AS model, series_id, origin, h, last + h AS target_ord, y AS y_hat FROM steps UNION ALL SELECT 'drift', series_id, origin, h, last + h, y + h * (y - f) / (n - 1) FROM steps UNION ALL SELECT 'mean', series_id, origin, h, last + h, a FROM steps),
+scored AS (SELECT m.*, rel.first_release AS y_true, (year(first_date) - year(origin)) * 12 + month(first_date) - month(origin) AS months FROM made m JOIN rel ON rel.series_id = m.series_id AND rel.quarter_ord = m.target_ord),
+each_ AS (SELECT model, h, CASE WHEN months <= 0 THEN '<=0' WHEN months = 1 THEN '1' WHEN months <= 3 THEN '2-3' WHEN months <= 6 THEN '4-6' ELSE '7+' END AS bucket, series_id, target_ord, avg(y_hat - y_true) AS e, avg(CASE WHEN y_hat > 0 AND y_true > 0 THEN ln(y_hat / y_true) END) AS le FROM scored GROUP BY 1, 2, 3, 4, 5),
+m AS (SELECT model, h, bucket, count(e) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, sqrt(avg(le * le)) AS rmse_log FROM each_ GROUP BY 1, 2, 3)
+SELECT m.model, m.h, m.bucket, m.n, round(m.rmse, 2) AS rmse, round(m.mae, 2) AS mae, round(m.rmse_log, 4) AS rmse_log, round(CASE WHEN b.rmse > 0 THEN m.rmse / b.rmse END, 4) AS rel_rmse FROM m LEFT JOIN m b ON b.model = 'naive_last' AND b.h = m.h AND b.bucket = m.bucket""")
 def e16b(spark, d):
     r = pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "drift", "mean"])
-    return evaluate.relative_metrics(r.where("stage = 'first'"), "naive_last", "bucket")
+    out = evaluate.relative_metrics(r.where("stage = 'first'"), "naive_last", "bucket")
+    return out.withColumns({"rmse": F.round("rmse", 2), "mae": F.round("mae", 2)})
 
 
 @query("e14_extra_benchmarks")
@@ -141,36 +183,34 @@ def e14(spark, d):
 
 
 def _stream(spark, d):
-    """versions as files of a stream, a few of them, in the order in which they were published."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """versions as files of a stream; those of June come again later with another value."""
+    base = views.scratch(spark, "stream")
     v = views.versions(spark, d).select("series_id", "obs_date", "asof_date", "value", F.col("asof_date").cast("timestamp").alias("arrival"))
-    twice = v.unionByName(v.where("month(asof_date) = 6").withColumn("value", F.col("value") * 2))
-    twice.repartitionByRange(4, "asof_date").write.parquet(f"{base}/in")
-    return revisions.read_stream(spark, f"{base}/in", 2), base
+    again = v.where("month(asof_date) = 6").withColumns({"value": F.col("value") * 2, "arrival": F.col("arrival") + F.expr("INTERVAL 1 DAY")})
+    for rows in (v, again):
+        rows.repartitionByRange(2, "asof_date").write.mode("append").parquet(f"{base}/in")
+    return revisions.read_stream(spark, f"{base}/in", 1), base
 
 
-@query("st1_streaming_ingest", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(asof_date AS VARCHAR) AS asof_date FROM versions")
+@query("st1_streaming_ingest", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(asof_date AS VARCHAR) AS asof_date, round(value, 4) AS value FROM versions")
 def st1(spark, d):
     stream, base = _stream(spark, d)
     revisions.ingest_stream(stream, f"{base}/store", f"{base}/checkpoint", "3650 days").awaitTermination()
-    return revisions.stored(spark, f"{base}/store").select("series_id", "obs_date", "asof_date")
+    return revisions.stored(spark, f"{base}/store").select("series_id", "obs_date", "asof_date", "value")
 
 
 @query("st2_high_water", V + "SELECT series_id, CAST(max(asof_date) AS VARCHAR) AS max_asof, count(*) + count(CASE WHEN month(asof_date) = 6 THEN 1 END) AS n FROM versions GROUP BY 1")
 def st2(spark, d):
     stream, base = _stream(spark, d)
-    name = f"marks_{uuid.uuid4().hex}"
-    revisions.high_water_stream(stream, name, f"{base}/checkpoint").awaitTermination()
-    return spark.table(name)
+    revisions.high_water_stream(stream, f"{base}/marks", f"{base}/checkpoint").awaitTermination()
+    return revisions.high_water_marks(spark, f"{base}/marks")
 
 
-@query("st3_latest_snapshot", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(max(asof_date) AS VARCHAR) AS asof_used FROM versions GROUP BY 1, 2")
+@query("st3_latest_snapshot", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(max(asof_date) AS VARCHAR) AS asof_used, round(arg_max(value, asof_date), 4) AS value FROM versions GROUP BY 1, 2")
 def st3(spark, d):
     stream, base = _stream(spark, d)
-    name = f"snap_{uuid.uuid4().hex}"
-    revisions.latest_snapshot_stream(stream, name, f"{base}/checkpoint").awaitTermination()
-    return spark.table(name).select("series_id", "obs_date", "asof_used")
+    revisions.latest_snapshot_stream(stream, f"{base}/snapshot", f"{base}/checkpoint").awaitTermination()
+    return revisions.latest_snapshot(spark, f"{base}/snapshot")
 
 
 @query("st4_day_delta", V + """

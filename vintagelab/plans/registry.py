@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import levels_from_growth
-from ..operators import baselines, models
+from ..operators import autoregression, baselines, models
 
 RANDOM = ("random_normal", "random_uniform", "random_permutation")
 TREES = ("random_forest", "xgboost")
@@ -18,14 +18,14 @@ SETS = {
     "smoke": ["naive_last", "drift", "seasonal_naive"],
     "fast": [*baselines.MODELS, "ar4", "ar4_growth", "theta"],
     "standard": [*baselines.MODELS, "ar4", "ar4_growth", "auto_ets", "theta", "auto_arima", "local_trend_ssm", "bvar_minnesota", "factor_pca_qd"],
-    "full": [*baselines.MODELS, *RANDOM, *models.REGISTRY, *TREES],
+    "full": [*baselines.MODELS, *RANDOM, *autoregression.MODELS, *models.REGISTRY, *TREES],
 }
 
 
 def canonical(names: list[str]) -> list[str]:
     """Names without aliases and repeats, in order; an unknown one is an error."""
     out = list(dict.fromkeys(ALIASES.get(n.lower(), n.lower()) for n in names))
-    known = {*baselines.MODELS, *RANDOM, *TREES, *models.REGISTRY}
+    known = {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY}
     if unknown := [n for n in out if n not in known]:
         raise ValueError(f"unknown models: {unknown}")
     return out
@@ -39,6 +39,8 @@ def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int =
         parts.append(baselines.baseline_forecasts(panel, horizon, least, base, origins))
     if any(n in RANDOM for n in names):
         parts.append(baselines.random_forecasts(panel, horizon, least, origins=origins).where(F.col("model").isin(names)))
+    if own := tuple(n for n in names if n in autoregression.MODELS):
+        parts.append(autoregression.ar_forecasts(panel, horizon, max(least, 8), own, origins=origins))
     if fitted := [n for n in names if n in models.REGISTRY]:
         parts.append(models.fitted_forecasts(panel, fitted, horizon, max(least, 8), covariates, origins).drop("error"))
     for n in names:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import KEY, new_versions
+from ..operators.ingest import KEY, keep_last, new_versions
 
 SCHEMA = "series_id string, obs_date date, asof_date date, value double, arrival timestamp"
 
@@ -15,36 +15,58 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> D
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """What the ingest has committed, an empty table at first."""
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The table in a folder, an empty one at first."""
     try:
-        return spark.read.schema(SCHEMA + ", batch_id long").parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], SCHEMA + ", batch_id long")
+            return spark.createDataFrame([], schema)
         raise
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ingest has committed, an empty table at first."""
+    return _read(spark, folder, SCHEMA + ", batch_id long, asof_year int")
+
+
 def ingest_stream(stream: DataFrame, folder: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
-    """Appends each key's first row to the folder, a partition per batch.
+    """Appends each key's first row to the folder, partitioned by batch and by the year of the as-of date.
 
-    Within the watermark repeats are dropped by state; older ones by the anti-join on what is committed. A batch that runs again
-    replaces its own partition, so it is written once."""
+    Within the watermark repeats are dropped by state; older ones by the anti-join on what is committed of the batch's years, which
+    is all that a batch reads of the store. A batch that runs again replaces its own partition, so it is written once."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = stored(spark, folder).where(F.col("batch_id") != batch_id)
-        fresh = new_versions(before, batch).select(*KEY, "value", "arrival")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        years = [r[0] for r in batch.select(F.year("asof_date")).distinct().toLocalIterator()]
+        before = stored(spark, folder).where((F.col("batch_id") != batch_id) & F.col("asof_year").isin(years or [-1]))
+        fresh = new_versions(before, batch).select(*KEY, "value", "arrival", F.year("asof_date").alias("asof_year"))
+        fresh.write.mode("overwrite").partitionBy("asof_year").parquet(f"{folder}/batch_id={batch_id}")
 
     once = stream.withWatermark("arrival", late).dropDuplicatesWithinWatermark(KEY)
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def high_water_stream(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """A table in memory of each series' last as-of date and rows seen."""
-    marks = stream.groupBy("series_id").agg(F.max("asof_date").alias("max_asof"), F.count(F.lit(1)).alias("n"))
-    return marks.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+MARKS = "series_id string, max_asof date, n long, batch_id long"
+SNAPSHOT = "series_id string, obs_date date, value double, asof_used date, batch_id long"
+
+
+def _keep_up(changed: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that each batch changes, a partition per batch; a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def high_water_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps each series' last as-of date and rows seen, to be read by high_water_marks()."""
+    return _keep_up(stream.groupBy("series_id").agg(F.max("asof_date").alias("max_asof"), F.count(F.lit(1)).alias("n")), folder, checkpoint)
+
+
+def high_water_marks(spark: SparkSession, folder: str) -> DataFrame:
+    return keep_last(_read(spark, folder, MARKS), ["series_id"], ["batch_id"]).drop("batch_id")
 
 
 def late_rows(batch: DataFrame, marks: DataFrame, lookback_days: int = 7) -> DataFrame:
@@ -53,11 +75,15 @@ def late_rows(batch: DataFrame, marks: DataFrame, lookback_days: int = 7) -> Dat
     return joined.where(F.col("asof_date") <= F.date_sub("max_asof", lookback_days)).drop("max_asof", "n")
 
 
-def latest_snapshot_stream(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """A table in memory of the last non-null value of each observation, kept up as revisions arrive."""
-    value = F.expr("max_by(value, asof_date) FILTER (WHERE value IS NOT NULL)")
-    snap = stream.groupBy("series_id", "obs_date").agg(value.alias("value"), F.max("asof_date").alias("asof_used"))
-    return snap.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_snapshot_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last non-null value of each observation as revisions arrive, to be read by latest_snapshot(). Of rows with one
+    as-of date the first to arrive counts, as in the store; of those that arrive together the greatest value."""
+    value = F.expr("max_by(value, struct(asof_date, -unix_micros(arrival), value)) FILTER (WHERE value IS NOT NULL)")
+    return _keep_up(stream.groupBy("series_id", "obs_date").agg(value.alias("value"), F.max("asof_date").alias("asof_used")), folder, checkpoint)
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return keep_last(_read(spark, folder, SNAPSHOT), ["series_id", "obs_date"], ["batch_id"]).drop("batch_id")
 
 
 def day_delta(versions: DataFrame, day: str) -> DataFrame:
