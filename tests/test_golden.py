@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,3 +412,32 @@ def test_streams_keep_marks_and_snapshots(spark, tmp_path):
         revisions.latest_snapshot_stream(stream(), str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
     assert sorted((r.series_id, r.max_asof, r.n) for r in revisions.high_water_marks(spark, str(tmp_path / "m")).collect()) == [("A", D("2021-03-01"), 3), ("B", D("2021-02-01"), 1)]
     assert sorted((r.series_id, r.value, r.asof_used) for r in revisions.latest_snapshot(spark, str(tmp_path / "s")).collect()) == [("A", 1.0, D("2021-03-01")), ("B", 2.0, D("2021-02-01"))]
+
+
+def test_users_models_run_by_origin_or_as_frames(spark):
+    p = spark.createDataFrame([(s, q, float(q)) for s in "AB" for q in range(1, 15)] + [("A", 15, None)], "series_id string, quarter_ord long, y double")
+    registry.register_model("mean_of_two", lambda pdf: pd.DataFrame({"h": [1, 2], "y_hat": [pdf.y.tail(2).mean()] * 2}))
+    registry.register_model("twice", lambda df, horizon, origins: baselines.baseline_forecasts(df, horizon, 8, ("naive_last",), origins).withColumns({"model": F.lit("twice"), "y_hat": F.col("y_hat") * 2}), "frame")
+    try:
+        got = registry.forecast(p, ["mean_of_two", "twice"], 2).collect()
+        assert sum(r.model == "mean_of_two" for r in got) == 2 * 2 * 7 and {r.y_hat - r.last_y for r in got if r.model == "mean_of_two"} == {-0.5}
+        assert {r.y_hat / r.last_y for r in got if r.model == "twice" and r.last_y} == {2.0}
+        some = spark.createDataFrame([("B", 10)], "series_id string, origin_ord long")
+        assert {(r.series_id, r.origin_ord) for r in registry.forecast(p, ["mean_of_two"], 2, origins=some).collect()} == {("B", 10)}
+        for name in ("twice", "drift", "naive"):
+            with pytest.raises(ValueError):
+                registry.register_model(name, None)
+    finally:
+        registry.OWN.clear()
+
+
+def test_minnesota_penalty_by_hand():
+    rng = np.random.default_rng(2)
+    y = np.cumsum(rng.normal(size=30))
+    z = (y - y.mean()) / (y.std() + 1e-9)
+    x, target = np.column_stack([np.ones(28), z[1:-1], z[:-2]]), z[2:]
+    d = 6.0 * np.diag([0.2**2, 0.3**2, (2**1.5) ** 2])
+    b = np.linalg.solve(x.T @ x + d, x.T @ target + d @ np.array([0.0, 1.0, 0.0]))
+    assert models.minnesota(y, 1, None, None)[0] == pytest.approx(b @ np.array([1.0, z[-1], z[-2]]) * (y.std() + 1e-9) + y.mean())
+    more = rng.normal(size=(30, 9))
+    assert np.allclose(models.minnesota(y, 2, more, more[:2]), models.minnesota(y, 2, more[:, :7], more[:2, :7]))

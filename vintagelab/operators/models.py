@@ -32,13 +32,14 @@ def _ols(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
 
-def on_growth(model: Callable[[np.ndarray, int], np.ndarray]) -> Forecast:
-    """A model of log differences, recomposed to levels."""
+def on_growth(model: Callable[..., np.ndarray], covariates: bool = False) -> Forecast:
+    """A model of log differences, recomposed to levels; with covariates it gets these too."""
 
     def run(y, horizon, x=None, fx=None):
         if (y <= 0).any() or len(y) < 9:
             return np.full(horizon, y[-1])
-        return y[-1] * np.exp(np.cumsum(model(np.diff(np.log(y)), horizon)))
+        more = (x[1:] if x is not None else None, fx) if covariates else ()
+        return y[-1] * np.exp(np.cumsum(model(np.diff(np.log(y)), horizon, *more)))
 
     return run
 
@@ -116,9 +117,11 @@ def local_trend(y: np.ndarray, horizon: int) -> np.ndarray:
     return a[0] + a[1] * np.arange(horizon)
 
 
-def minnesota(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray | None, tightness: float = 0.2, own: float = 1.0) -> np.ndarray:
-    """A VAR(2) of the target and covariates, each equation a ridge regression to a Minnesota prior; known future covariates are
-    used as they are."""
+def minnesota(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray | None, most: int = 7, strength: float = 6.0, own: float = 1.0) -> np.ndarray:
+    """A VAR(2) of the target and its first `most` covariates, each equation a ridge regression to a Minnesota prior whose penalty
+    is strength times the squared weight of a coefficient; known future covariates are used as they are."""
+    if x is not None:
+        x, fx = x[:, :most], fx[:, :most] if fx is not None else None
     z = np.column_stack([y, x]) if x is not None and x.size else y[:, None]
     mean, sd = z.mean(axis=0), z.std(axis=0) + 1e-9
     z = (z - mean) / sd
@@ -134,7 +137,7 @@ def minnesota(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray
             for j in range(k):
                 w.append((0.3 if lag == 1 else 1.0) * decay if i == j else 2.0 * decay)
                 prior.append(own if i == j and lag == 1 else 0.0)
-        lam, prior = np.array(w) / tightness, np.array(prior)
+        lam, prior = strength * np.array(w) ** 2, np.array(prior)
         coefficients.append(np.linalg.solve(rows.T @ rows + np.diag(lam), rows.T @ z[2:, i] + lam * prior))
     b, past = np.array(coefficients), [z[-2], z[-1]]
     for h in range(horizon):
@@ -174,7 +177,9 @@ for _name, _fn in {
     "local_trend_ssm": lambda y, h, x, fx: local_trend(y, h),
     "local_trend_ssm_growth": on_growth(local_trend),
     "bvar_minnesota": minnesota,
-    "bvar_minnesota_growth": on_growth(lambda g, h: minnesota(g, h, None, None, own=0.0)),
+    "bvar_minnesota_20": lambda y, h, x, fx: minnesota(y, h, x, fx, 19, 7.0),
+    "bvar_minnesota_growth": on_growth(lambda g, h, x, fx: minnesota(g, h, x, fx, own=0.0), covariates=True),
+    "bvar_minnesota_growth_20": on_growth(lambda g, h, x, fx: minnesota(g, h, x, fx, 19, 7.0, 0.0), covariates=True),
     "factor_pca_qd": factors,
 }.items():
     register(_name, _fn)

@@ -26,7 +26,8 @@ def _fitted(name: str, covariates: bool = False):
 
 
 for _id, _name, _x in (
-    ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", False),
+    ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", True), ("m10_bvar_minnesota_20", "bvar_minnesota_20", True),
+    ("m10_bvar_minnesota_growth_20", "bvar_minnesota_growth_20", True),
     ("m11_factor_pca_qd", "factor_pca_qd", True), ("m15_auto_ets", "auto_ets", False), ("m15_theta", "theta", False), ("m16_auto_arima", "auto_arima", False), ("m17_local_trend_ssm", "local_trend_ssm", False),
 ):
     query(_id)(_fitted(_name, _x))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import levels_from_growth
@@ -13,7 +15,7 @@ from ..operators import autoregression, baselines, models
 RANDOM = ("random_normal", "random_uniform", "random_permutation")
 TREES = ("random_forest", "xgboost")
 #: Other names of a model.
-ALIASES = {"naive": "naive_last", "last": "naive_last", "snaive": "seasonal_naive", "rw_drift": "rw_drift_log", "gbt": "xgboost", "rf": "random_forest", "ets": "auto_ets", "arima": "auto_arima"}
+ALIASES = {"naive": "naive_last", "last": "naive_last", "snaive": "seasonal_naive", "rw_drift": "rw_drift_log", "gbt": "xgboost", "rf": "random_forest", "ets": "auto_ets", "arima": "auto_arima", "bvar_minnesota_8": "bvar_minnesota", "bvar_minnesota_growth_8": "bvar_minnesota_growth"}
 SETS = {
     "smoke": ["naive_last", "drift", "seasonal_naive"],
     "fast": [*baselines.MODELS, "ar4", "ar4_growth", "theta"],
@@ -22,10 +24,45 @@ SETS = {
 }
 
 
+#: Models of users by name: ("frame" or "pandas", function).
+OWN: dict[str, tuple[str, Callable]] = {}
+
+
+def register_model(name: str, fn: Callable, kind: str = "pandas") -> None:
+    """Adds a model under a name that isn't taken.
+
+    "pandas": fn(history) gets the rows (series_id, quarter_ord, y and covariates) up to one origin in order and returns rows
+    (h, y_hat); Spark runs it for each series and origin. "frame": fn(panel, horizon, origins) returns the columns of forecast() by
+    DataFrame operations alone; origins is None for all."""
+    if kind not in ("pandas", "frame"):
+        raise ValueError(f"no such kind of model: {kind}")
+    if name != name.lower() or name in ALIASES or name in {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY, *OWN}:
+        raise ValueError(f"the name is taken, or isn't in lower case: {name}")
+    OWN[name] = (kind, fn)
+
+
+def _by_origin(panel: DataFrame, name: str, fn: Callable, horizon: int, least: int, origins: DataFrame | None) -> DataFrame:
+    """Forecasts of a function of each origin's history."""
+    known = panel.where("y IS NOT NULL")
+    counted = known.select("series_id", F.col("quarter_ord").alias("origin_ord"), F.count("y").over(Window.partitionBy("series_id").orderBy("quarter_ord")).alias("_n"))
+    asked = baselines.at_origins(counted.where(F.col("_n") >= least), origins, "origin_ord").drop("_n")
+    rows = known.join(asked, "series_id").where("quarter_ord <= origin_ord")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="origin_ord").sort_values("quarter_ord", ignore_index=True)
+        made = fn(pdf)
+        h = made["h"].to_numpy()
+        if sorted(h) != list(range(1, horizon + 1)):
+            raise ValueError(f"{name} must give the steps 1 to {horizon}, and gave {sorted(h)}")
+        return pd.DataFrame({"model": name, "series_id": key[0], "origin_ord": key[1], "h": h, "target_ord": key[1] + h, "y_hat": made["y_hat"].to_numpy(float), "last_y": pdf["y"].iloc[-1]})
+
+    return rows.groupBy("series_id", "origin_ord").applyInPandas(run, "model string, series_id string, origin_ord long, h long, target_ord long, y_hat double, last_y double")
+
+
 def canonical(names: list[str]) -> list[str]:
     """Names without aliases and repeats, in order; an unknown one is an error."""
     out = list(dict.fromkeys(ALIASES.get(n.lower(), n.lower()) for n in names))
-    known = {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY}
+    known = {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY, *OWN}
     if unknown := [n for n in out if n not in known]:
         raise ValueError(f"unknown models: {unknown}")
     return out
@@ -44,6 +81,9 @@ def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int =
     if fitted := [n for n in names if n in models.REGISTRY]:
         parts.append(models.fitted_forecasts(panel, fitted, horizon, max(least, 8), covariates, origins).drop("error"))
     for n in names:
+        if n in OWN:
+            kind, fn = OWN[n]
+            parts.append(fn(panel, horizon, origins) if kind == "frame" else _by_origin(panel, n, fn, horizon, least, origins))
         if n in TREES:
             parts.append(models.tree_forecasts(panel, n, horizon, max(least, 8), origins=origins))
     columns = ["model", "series_id", "origin_ord", "h", "target_ord", "y_hat", "last_y"]
@@ -53,8 +93,6 @@ def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int =
 def on_growth(panel: DataFrame, names: list[str], horizon: int = 4, least: int = 8) -> DataFrame:
     """Any models on annualised growth instead of levels, recomposed: a path that is null is the last growth compounded, and
     without one the last level."""
-    from pyspark.sql import Window
-
     from ..functions.scalars import saar_growth
 
     w = Window.partitionBy("series_id").orderBy("quarter_ord")
