@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -136,3 +137,27 @@ def test_one_id_in_many_rows_is_dealt_to_several_tasks(spark):
     assert manifest.count() > 1
     got = token_files.read_token_files(manifest).orderBy("start").collect()
     assert [r.start for r in got] == list(range(0, 4000 * got[0].n_tokens, got[0].n_tokens))
+
+
+def test_ids_equal_the_library_where_marks_follow_capitals(spark):
+    """A ring above y composes with the small letter alone, so composing and lower-casing don't commute."""
+    rng = random.Random(23)
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    enc = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [*"HJTWYaehjtwyZΑΗΙΥΩΡαυσΣ", "Ϊ", "ΐ", "É", "İ", "ŷ"]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = ["Y̊", "T̈ H̱", "W̊ord J̌", "J̣̌.", "Ϊ́", *("Y" + m for m in marks)]
+    for _ in range(6000):
+        texts.append("".join(rng.choice([*letters, rng.choice(marks), rng.choice(marks), " ", "\n", ".", "x9"]) for _ in range(rng.randint(1, 12))))
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode_ids(texts) == want and enc.encode(texts) == want
+
+
+def test_packing_pads_little_with_short_documents(spark):
+    rng = random.Random(29)
+    for low, high in ((1, 5), (4, 24), (1, 25)):
+        docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(low, high)))) for i in range(5000)], "doc_id long, text string").repartition(3)
+        pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).groupBy("sequence_id").agg({"length": "sum", "doc_id": "count"}).collect()
+        used = [r["sum(length)"] for r in pieces]
+        padded = [n if n & (n - 1) == 0 else 2048 for n in used]
+        assert sum(padded) < 1.02 * sum(used) and max(r["count(doc_id)"] for r in pieces) <= 64

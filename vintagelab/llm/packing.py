@@ -141,11 +141,13 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, segments: int = 6
     Returns a row per piece: id, start and length (its place among the document's ids), doc_tokens, sequence_id, offset (its
     place in the sequence, gapless from 0), loss_tokens and ids (little-endian unsigned 32-bit). loss_from names a column with
     the number of leading ids that bear no loss (a prompt); without it all but a segment's first id do. With cut=False no
-    document is cut and one larger than a sequence is an error. Where cuts are allowed, a partition's last bins are cut to
-    powers of two, so only gaps under LEAST_GAP ids, or those that the segment and loss limits leave, are padded.
+    document is cut and one larger than a sequence is an error. Where cuts are allowed, a bin that leaves LEAST_GAP ids or more (the
+    last of a partition, or one that the limit on segments or loss-bearing tokens ends) is cut to powers of two, which gives no
+    bin a further segment; only smaller gaps are padded.
 
-    A null text is empty and gives its end id; null or repeated ids and repeated rows are packed like others (a sequence never
-    depends on ids); an empty table gives no rows; other columns are not read. Sequence ids are the partition's number and a
+    A null text is empty and gives its end id; a text of any length is encoded whole and cut to sequences; null or repeated ids
+    and repeated rows are packed like others (a sequence never depends on ids); an empty table gives no rows; other columns are
+    not read. Sequence ids are the partition's number and a
     running number in it, so a task that runs again gives the same ones.
     """
     limits = (capacity, segments, loss_tokens or capacity)
@@ -165,7 +167,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, segments: int = 6
             number = 0
             for pieces in pack_ids(encoded(), limits, cut):
                 full = sum(len(p[2]) for p in pieces)
-                for one in power_of_two_bins(pieces, capacity) if cut and capacity - full >= LEAST_GAP and len(pieces) < segments else [pieces]:
+                for one in power_of_two_bins(pieces, capacity) if cut and capacity - full >= LEAST_GAP else [pieces]:
                     offset = 0
                     for p in one:
                         yield p[0], p[1], len(p[2]), p[4], base + number, offset, bearing(p), p[2].tobytes()

@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ def n_bytes(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-8"))
 
 
+def composed(text: str) -> bool:
+    """Whether a text is in composed form (NFC) and stays so in lower case; some marks join small letters alone (a ring above y), so
+    that the order in which the library composes and lower-cases matters."""
+    return text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", text.lower())
+
+
 class PieceEncoder:
     """Ids (as little-endian 32-bit bytes) or token counts of texts, piece by piece."""
 
@@ -127,7 +134,7 @@ class PieceEncoder:
         if not self.safe or any(s in text for s in self.special):
             return [text] if text else []
         if self.drops_space:
-            if "Σ" not in text:  # whose lower case depends on its place in Python, not in the library
+            if "Σ" not in text and composed(text):  # the lower case of Σ depends on its place in Python, not in the library
                 text = text.lower()
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         cut = text.split(" ")
@@ -169,7 +176,7 @@ class PieceEncoder:
         """encode() for ids, vectorised: the batch's distinct pieces are looked up once, and their ids gathered by NumPy."""
         if not self.drops_space or self.counts:
             return self.encode(texts)
-        special = {i: t for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        special = {i: t for i, t in enumerate(texts) if any(s in t for s in self.special) or not composed(t)}
         low = pc.ascii_lower(pa.array(["" if i in special else t for i, t in enumerate(texts)], pa.large_string()))
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(low, MARK_AFTER_LETTER, r"\1 \2"))
         flat = words.flatten().dictionary_encode()
@@ -246,7 +253,8 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text; no shuffle.
 
     Rows keep their number: a null text counts as empty (0 bytes, 0 tokens), null or repeated ids and repeated rows each give
-    a row, an empty table gives none, and columns besides the two are not read.
+    a row, an empty table gives none, and columns besides the two are not read. A text of any length is read whole by one task,
+    and goes to the library in pieces that no token crosses.
     """
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
