@@ -167,3 +167,20 @@ def test_op4_equals_brute_force(spark, tmp_path):
         crossings = sum((a < 0) != (b < 0) for a, b in zip(signed, signed[1:]))
         want = f"streams={len({p[0] for p in pages})};pages={len(mine)};packets={len(full) // 576};rate=8000;bits=8;seconds={len(full) / 8000:.6f};mean={sum(signed) / len(full):.4f};power={sum(x * x for x in signed) / len(full):.4f};crossings={crossings}"
         assert r.feature == want
+
+
+def test_a_file_with_many_gaps_is_read_at_most_twice():
+    class Counting(_File):
+        read = 0
+
+        def read_at(self, n, at):
+            data = super().read_at(n, at)
+            Counting.read += len(data)
+            return data
+
+    good = [warc.record(i, f"u{i}", b"payload %d" % i, None, False, "2024-01-01T00:00:00Z") for i in range(4)]
+    bad = good[0].replace(b"payload 0", b"damaged 0")
+    data = good[1] + bad * 10_000 + good[2]
+    got = list(warc.salvage(Counting(data)))
+    assert [x[0] for x in got] == ["record", "gap", "record"] and got[1][1:3] == (len(good[1]), len(good[1]) + len(bad) * 10_000)
+    assert len(data) > 3_000_000 and Counting.read <= 2 * len(data) + (4 << 20)

@@ -230,3 +230,68 @@ def test_op10_equals_brute_force(spark, tmp_path):
         assert [x for x in all_spans if x[0] != "literal"] == [x.split(":") for x in base.split(",") if x]
         if want is not None:
             assert {t[int(a) : int(b)] for k, a, b in all_spans if k == "literal"} == want, t
+
+
+def test_cleaning_equals_rounds_over_the_whole_text():
+    rng = random.Random(31)
+
+    def rounds(text, machine, min_span):
+        while now := [(a, b) for a, b in decontaminate.merged(machine.scan(decontaminate.words_of(text))[0]) if b - a >= min_span]:
+            text = decontaminate.without(text, now)
+        return text
+
+    again = 0
+    for _ in range(1500):
+        alphabet = "abcd"[: rng.randint(2, 4)]
+        window = rng.randint(2, 5)
+        items = [(str(k), " ".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8)))) for k in range(rng.randint(1, 4))]
+        machine = decontaminate.ItemAutomaton(items, window)
+        text = "".join(rng.choice(alphabet + "éz") + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randint(0, 30)))
+        for _ in range(rng.randint(0, 3)):  # an item's words within those of another
+            at = rng.randint(0, len(text))
+            text = text[:at] + " " + rng.choice(items)[1] + " " + text[at:]
+        min_span = rng.randint(1, 2 * window)
+        words = decontaminate.words_of(text)
+        spans = decontaminate.merged(machine.scan(words)[0])
+        want = rounds(text, machine, min_span)
+        assert decontaminate.cleaned(text, words, spans, machine, min_span) == want
+        again += want != decontaminate.without(text, [x for x in spans if x[1] - x[0] >= min_span])
+    assert again > 20
+
+
+def test_nested_passages_are_cleaned_in_a_time_that_grows_with_the_text():
+    import time
+
+    words = [f"w{i}" for i in range(20)]
+    machine = decontaminate.ItemAutomaton([("1", " ".join(words))], 10)
+    depth = 12_000
+    text = " ".join(["before", *(" ".join(words[:9]) for _ in range(depth)), " ".join(words), *(" ".join(words[9:18]) for _ in range(depth)), "after"])
+    began = time.perf_counter()
+    found = decontaminate.words_of(text)
+    out = decontaminate.cleaned(text, found, decontaminate.merged(machine.scan(found)[0]), machine, 1)
+    assert len(text) > 600_000 and out.split() == ["before", "after"] and time.perf_counter() - began < 20
+
+
+def test_doubling_constants_and_long_chains_take_little_time():
+    import time
+
+    began = time.perf_counter()
+    doubled = "a0 = 'Ab1-'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "secret = a60\n"
+    assert secrets.literal_spans(doubled) == [(6, 10, "literal")]
+    grown = "secret_0 = 'Ab1-xyz9Q'\n" + "".join(f"secret_{i + 1} = secret_{i} + 'p{i}'\n" for i in range(3000))
+    assert len(secrets.literal_spans(grown)) == 3001
+    chain = "secret = " + '"a1Z-" + ' * 110_000
+    assert len(chain) > 900_000 and len(secrets.literal_spans(chain)) == 110_000
+    assert time.perf_counter() - began < 15
+
+
+def test_scores_of_joined_values_are_those_of_their_text():
+    rng = random.Random(8)
+    bits = ["x", "X", "*", ".", "<", ">", "${", "}", "{{", "}}", "%", "your_", "MY-", "todo", "null", "Ab1", "-9Zq", " ", "\n", "-----BEGIN KEY-----\nMIIB+a9", "é", "0123456789abcdef"]
+    for _ in range(4000):
+        parts = [rng.choice(bits) * rng.choice([1, 1, 9]) for _ in range(rng.randint(0, 5))]
+        text = "".join(parts)
+        flat = "".join(text.split()) if text.startswith("-----BEGIN ") else text
+        zero = len(flat) < 6 or bool(secrets.PLACEHOLDERS.match(flat)) or any(c.isspace() for c in flat)
+        joined = secrets.Value([secrets.Value([], p) for p in parts]).score()
+        assert abs(joined - secrets.literal_score(text)) < 1e-12 and (joined == 0.0) == zero

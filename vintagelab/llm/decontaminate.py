@@ -22,6 +22,7 @@ from .common import drop_staged, in_rows, no_clash, out_batches, positional, sta
 
 #: Bytes of items' words in one automaton (some 250 MB as Python objects); a larger benchmark is taken in blocks.
 BLOCK_CHARS = 2_000_000
+_BLANKS = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 _SEPARATORS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -137,15 +138,85 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where the words of words_of() are, in bytes."""
+    return [m.span() for m in re.finditer(rb"[^ ]+", text.encode("utf-8").translate(_SEPARATORS).translate(_BLANKS))]
+
+
+def _without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text without ranges of its bytes, which may lie in each other."""
+    raw, out, last = text.encode("utf-8"), [], 0
+    for a, b in sorted(ranges):
+        if a > last or not out:
+            out.append(raw[last:a])
+        last = max(last, b)
+    return b"".join([*out, raw[last:]]).decode("utf-8")
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between them."""
-    raw = text.encode("utf-8")
-    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_SEPARATORS).translate(bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))))]
-    out, last = [], 0
+    at = _places(text)
+    return _without(text, [(at[a][0], at[b - 1][1]) for a, b in spans])
+
+
+def cleaned(text: str, words: list[bytes], spans: list[tuple[int, int]], machine: ItemAutomaton, min_span: int) -> str:
+    """The text without hit spans of min_span words or more, again until none is left; spans are what machine finds in the words.
+
+    Where words have gone, only a match over the seam is new, so window - 1 words at either side are scanned; the words left are a
+    chain. The time grows with the text, however deeply passages are nested."""
+    if not any(b - a >= min_span for a, b in spans):
+        return text
+    n, at, ranges = len(words), _places(text), []
+    before, after, hit = [*range(-1, n)], [*range(1, n + 1), n], bytearray(n + 1)  # n stands for the end
     for a, b in spans:
-        out.append(raw[last : at[a][0]])
-        last = at[b - 1][1]
-    return b"".join([*out, raw[last:]]).decode("utf-8")
+        hit[a:b] = b"\1" * (b - a)
+    gone = [(a, b - 1) for a, b in spans if b - a >= min_span]
+    while gone:
+        seams = []
+        for a, b in gone:
+            ranges.append((at[a][0], at[b][1]))
+            left, right = before[a], after[b]
+            if left >= 0:
+                after[left] = right
+            before[right] = left
+            seams.append((left, right))
+        runs, seen = set(), set()
+        for left, right in seams:
+            near = [right] if right < n else []
+            for _ in range(machine.window - 2):
+                if near and after[near[-1]] < n:
+                    near.append(after[near[-1]])
+            k = left
+            for _ in range(machine.window - 1):
+                if k < 0:
+                    break
+                near.insert(0, k)
+                k = before[k]
+            if tuple(near[:1] + near[-1:]) in seen:
+                continue
+            seen.add(tuple(near[:1] + near[-1:]))
+            for a, b in machine.scan([words[i] for i in near])[0]:
+                for i in near[a:b]:
+                    hit[i] = 1
+            runs.update(i for i in near if hit[i])
+        gone, done = [], set()
+        for i in sorted(runs):
+            if i in done:
+                continue
+            a = b = i
+            while before[a] >= 0 and hit[before[a]]:
+                a = before[a]
+            while after[b] < n and hit[after[b]]:
+                b = after[b]
+            size, k = 1, a
+            done.add(a)
+            while k != b:
+                k = after[k]
+                done.add(k)
+                size += 1
+            if size >= min_span:
+                gone.append((a, b))
+    return _without(text, ranges)
 
 
 def item_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -185,6 +256,8 @@ def machine_of(items: DataFrame, block: int, window: int):
     return items.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in items.where(F.col("block") == block).toLocalIterator()], window))
 
 
+#: A min_span that no span has.
+KEEP_ALL = 1 << 62
 _RESULT = "n_words long, n_hit long, n_items long, items array<string>, longest long, clean_text string, drop boolean"
 OWN = ["n_words", "n_hit", "n_items", "items", "longest", "clean_text", "drop"]
 
@@ -202,11 +275,8 @@ def _scanned(kept: DataFrame, benchmark: DataFrame, window: int, min_span: int,
         for *held, text in in_rows(batches):
             words = words_of(text or "")
             spans, found, longest = machine.value.scan(words)
-            spans = now = merged(spans)
-            hit, clean = sum(b - a for a, b in spans), text
-            while now := [(a, b) for a, b in now if b - a >= min_span]:
-                clean = without(clean, now)
-                now = merged(machine.value.scan(words_of(clean))[0])
+            spans = merged(spans)
+            hit, clean = sum(b - a for a, b in spans), cleaned(text or "", words, spans, machine.value, min_span) if text and min_span < KEEP_ALL else text
             yield (*held, len(words), hit, len(found), sorted(i for i in found if i is not None), longest, clean, hit > max_coverage * len(words))
 
     return kept.mapInArrow(lambda batches: out_batches(rows(batches), schema), kind)
@@ -266,7 +336,7 @@ def _in_blocks(kept: DataFrame, items: DataFrame, n: int, window: int, min_span:
     return out.select(*kept.columns[:-2], *OWN)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, clean: bool = True) -> DataFrame:
     """Every document with what it shares with the benchmark, and its text without that.
 
     Returns the columns `keep` (by default the id), n_words, n_hit, n_items, items (their ids as strings, sorted), longest (words of
@@ -276,17 +346,21 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, min_spa
     place in items; an empty benchmark hits nothing; an empty table gives none. A kept column with the name of a result's column
     is an error that says so. Texts of any length are read whole, by one task each.
     A benchmark larger than BLOCK_CHARS is taken a block at a time, each over all documents, with the same result, except that
-    `longest` may be smaller where the match crosses a cut of an item of over a quarter of a block.
+    `longest` may be smaller where the match crosses a cut of an item of over a quarter of a block. Without `clean` no text is
+    cleaned and clean_text isn't returned.
     """
-    keep = keep or [id_col]
-    no_clash(keep, OWN)
+    keep, own = keep or [id_col], [c for c in OWN if clean or c != "clean_text"]
+    no_clash(keep, own)
     kept = positional(df.select(*[F.col(c) for c in keep], F.col(text_col))).withColumnRenamed(f"_k{len(keep)}", "_text")
-    out = _scanned(kept, benchmark, window, min_span, max_coverage, item_col, item_text_col)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *OWN)
+    out = _scanned(kept, benchmark, window, min_span if clean else KEEP_ALL, max_coverage, item_col, item_text_col)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *own)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """df's columns, whatever their names, without the rows that contamination() drops, and with clean texts in the others."""
+    """df's columns, whatever their names, without the rows that contamination() drops, and with clean texts in the others.
+
+    Null texts stay null; null and repeated ids and repeated rows are rows like others; texts of any length are cleaned whole; an
+    empty table gives none, and an empty benchmark changes nothing."""
     at = df.columns.index(text_col)
     kept = positional(df).withColumn("_text", F.col(f"_k{at}"))
     out = _scanned(kept, benchmark, window, min_span, max_coverage, item_col, item_text_col)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,10 @@ _HEX_RUN = bytes(120 if b in b"0123456789abcdef" else 32 for b in range(256))
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "private_key": 1.0, "privatekey": 1.0, "access_key": 1.0, "accesskey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signing_key": 0.9, "encryption_key": 0.9, "client_secret": 1.0, "connection_string": 0.7, "dsn": 0.6}
 #: Words that stand for a value rather than being one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|null|none|true|false|undefined|todo|changeme|change_me|example|sample|test|dummy|placeholder|your[_-].*|my[_-].*|redacted)$")
+#: The same for values longer than a word of that pattern can be: how they begin and end.
+OPENED = [("<", ">"), ("${", "}"), ("{{", "}}"), ("%", "%"), ("your_", ""), ("your-", ""), ("my_", ""), ("my-", "")]
+#: Characters kept of a value's ends; no word among the placeholders is longer.
+_ENDS = 16
 #: What can only be there if a name that tells of a secret is.
 SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|connection|dsn")
 #: The lexer's states: comments, strings, elements with text alone, and names with an assignment after them.
@@ -74,16 +79,60 @@ def name_score(name: str) -> float:
     return max((NAME_WEIGHTS[g] for g in grams if g in NAME_WEIGHTS), default=0.0)
 
 
+class Value:
+    """What a name stands for: a literal at a place, or several values joined. Others share it rather than copy it; what its score
+    depends on (length, characters, both ends) is known without the joined text, which can double with each assignment."""
+
+    __slots__ = ("parts", "place", "size", "counts", "head", "tail", "told")
+
+    def __init__(self, parts: list["Value"], text: str = "", place: tuple[int, int] | None = None):
+        self.parts, self.place, self.told = parts, place, False
+        self.size, self.counts, self.head, self.tail = len(text), Counter(text), text[:_ENDS], text[-_ENDS:]
+        for p in parts:
+            self.size += p.size
+            for c, n in p.counts.items():
+                self.counts[c] += n
+            if len(self.head) < _ENDS:
+                self.head = (self.head + p.head)[:_ENDS]
+            self.tail = (self.tail + p.tail)[-_ENDS:]
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        """The places of its literals that haven't been told of yet."""
+        left = [self]
+        while left:
+            v = left.pop()
+            if not v.told:
+                v.told = True
+                if v.place:
+                    yield v.place
+                left += v.parts
+
+    def score(self) -> float:
+        """How much it looks like a secret: entropy per character, length and kinds of characters, from 0 to 1. A PEM block counts
+        without its white space; any other white space, and what stands for a value rather than being one, gives 0."""
+        counts, size = self.counts, self.size
+        if self.head.startswith("-----BEGIN "):
+            counts = {c: n for c, n in counts.items() if not c.isspace()}
+            size = sum(counts.values())
+        elif any(c.isspace() for c in counts) or self._placeholder():
+            return 0.0
+        if size < 6:
+            return 0.0
+        entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+        kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(1.0, entropy / 4) * 0.6 + min(1.0, size / 16) * 0.2 + (kinds - 1) / 3 * 0.2
+
+    def _placeholder(self) -> bool:
+        if self.size <= _ENDS:
+            return bool(PLACEHOLDERS.match(self.head))
+        if len({c.lower() for c in self.counts}) == 1:
+            return self.head[0] in "xX*.%"
+        return any(self.head.lower().startswith(a) and self.tail.endswith(b) for a, b in OPENED)
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: entropy per character, length and kinds of characters, from 0 to 1.
-    A PEM block counts without its white space."""
-    if value.startswith("-----BEGIN "):
-        value = "".join(value.split())
-    if len(value) < 6 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 4) * 0.6 + min(1.0, len(value) / 16) * 0.2 + (kinds - 1) / 3 * 0.2
+    """Value.score() of one literal."""
+    return Value([], value).score()
 
 
 def looks_random(word: str) -> bool:
@@ -113,9 +162,13 @@ def _block(text: str, name_at: int, at: int) -> tuple[int, int]:
     return start, end
 
 
-def _value(text: str, name_at: int, at: int, op: str, constants: dict) -> tuple[list[tuple[str, int, int]], int]:
-    """(the literals that the value at a place stands for, where lexing goes on); calls and indexes stand for none."""
-    parts: list[tuple[str, int, int]] = []
+def _value(text: str, name_at: int, at: int, op: str, constants: dict[str, Value]) -> tuple[list[Value], int]:
+    """(the values that are joined at a place, where lexing goes on); calls and indexes stand for none."""
+    parts: list[Value] = []
+
+    def literal(a: int, b: int) -> None:
+        parts.append(Value([], text[a:b], (a, b)))
+
     if op == ":":
         if block := BLOCK.match(text, at):
             a, b = _block(text, name_at, block.end())
@@ -125,7 +178,7 @@ def _value(text: str, name_at: int, at: int, op: str, constants: dict) -> tuple[
             a, b = a + len(body) - len(body.lstrip()), b - (len(body) - len(body.rstrip()))
             words = [x for x in held.split("\n") if x]
             held = "".join(words) if all(" " not in x for x in words) else held
-            return ([(held, a, b)] if b > a else []), max(a, b)
+            return ([Value([], held, (a, b))] if b > a else []), max(a, b)
         if typed := ANNOTATION.match(text, at):
             at = typed.end()
     while True:
@@ -135,25 +188,26 @@ def _value(text: str, name_at: int, at: int, op: str, constants: dict) -> tuple[
             if "{" in text[a:b] and ("f" in quoted["prefix"].lower() or text[a - 1] == "`"):
                 for hole in HOLE.finditer(text, a, b):
                     if hole.start() > a:
-                        parts.append((text[a : hole.start()], a, hole.start()))
-                    parts += constants.get(hole[1], [])
+                        literal(a, hole.start())
+                    if hole[1] in constants:
+                        parts.append(constants[hole[1]])
                     a = hole.end()
             if b > a:
-                parts.append((text[a:b], a, b))
+                literal(a, b)
             at = quoted.end()
         else:
             raw, name = UNQUOTED.match(text, at), NAME.match(text, at)
             if not raw:
                 return parts, at
             if name and name[1] in constants and name.end() >= raw.end() - (1 if raw[0].endswith("+") else 0):
-                parts += constants[name[1]]
+                parts.append(constants[name[1]])
                 at = name.end()
             elif "(" in raw[0] or text[raw.end() : raw.end() + 1] == "(" or name and text[name.end() : name.end() + 1] in ("[", "("):
                 return [], name.end() if name else raw.end()
             elif name and name.end() == raw.end() and not looks_random(raw[0]):
                 at = name.end()  # a name of something unknown
             else:
-                parts.append((raw[0], at, raw.end()))
+                literal(at, raw.end())
                 at = raw.end()
         plus = PLUS.match(text, at)
         if not plus:
@@ -161,15 +215,14 @@ def _value(text: str, name_at: int, at: int, op: str, constants: dict) -> tuple[
         at = plus.end()
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """(name, literals that it stands for) of each assignment outside comments and strings, in order; a literal is (value, start,
-    end).
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value that it stands for) of each assignment outside comments and strings, in order.
 
     Assignments are x = v, x: v, x := v, x => v, "x": v, y["x"] = v, x: type = v and <x>v</x>; v is a string of any quotes, a block
     of deeper lines after | or >, or a bare word that isn't a name. A name on the right stands for what it was given last before
     that place; what is joined by + or by place, and what stands in the braces of a formatted string, counts with all its parts.
     """
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Value] = {}
     out, at = [], 0
     while m := LEXEME.search(text, at):
         if m["comment"] is not None:
@@ -179,7 +232,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
             body = m["body"].strip()
             if body:
                 start = m.start("body") + m["body"].index(body)
-                out.append((m["tag"], [(body, start, start + len(body))]))
+                out.append((m["tag"], Value([], body, (start, start + len(body)))))
             at = m.start("attributes") if m["attributes"] else m.end()
             continue
         if m["quoted"] is not None:
@@ -194,8 +247,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
         parts, at = _value(text, begin, op.end(), op["op"], constants)
         at = max(at, op.end())
         if parts:
-            constants[name] = parts
-            out.append((name, parts))
+            constants[name] = parts[0] if len(parts) == 1 else Value(parts)
+            out.append((name, constants[name]))
         else:
             constants.pop(name, None)
     return out
@@ -204,10 +257,10 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that sensitive names stand for and that look like secrets."""
     found = set()
-    for name, parts in pairs(text):
+    for name, value in pairs(text):
         if weight := name_score(name):
-            if weight * literal_score("".join(p[0] for p in parts)) >= LEAST_SCORE * 0.9:
-                found.update((a, b, "literal") for v, a, b in parts if v)
+            if weight * value.score() >= LEAST_SCORE * 0.9:
+                found.update((a, b, "literal") for a, b in value.places())
     return sorted(found, key=_order)
 
 
@@ -220,7 +273,8 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Code points, end exclusive, by start and then kind as listed. A null text is empty and has no spans; null and repeated ids
     and repeated rows each give a row; an empty table gives none; other columns are not read. Texts are lexed whole, by one task
-    each, in a time that grows with their length. No shuffle.
+    each; values that names stand for are shared, not copied, so time and memory grow with the text's length (and, for joined values,
+    with their distinct characters). No shuffle.
     """
     schema = pa.schema([("id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("spans", pa.string())])
 

@@ -143,9 +143,11 @@ def inflate(window: Window, at: int) -> tuple[bytes, int]:
 def salvage(file) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, (fields, block)) and ("gap", start, end, reason), in order of place.
 
-    Gaps cover every byte that no sound record covers."""
+    Gaps cover every byte that no sound record covers. The next place of each mark is remembered until it is passed, so that a file
+    is searched for a mark once, however many gaps it has."""
     window, at, gap, reason = Window(file), 0, -1, ""
     packed = window.get(0, 3) == _MEMBER
+    ahead = dict.fromkeys([_MEMBER] if packed else [_MEMBER, b"WARC/1."], -1)
     while at < window.size:
         window.forget(at) if at > window.base else None
         try:
@@ -162,14 +164,16 @@ def salvage(file) -> Iterator[tuple[str, int, int, object]]:
         except ValueError as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            marks, places = [_MEMBER] if packed else [b"WARC/1.", _MEMBER], []
-            for mark in marks:
-                base, held = window.base, window.held
-                if (k := window.find(mark, at + 1)) >= 0:
-                    places.append(k)
-                if len(marks) > 1:
-                    window.base, window.held = base, held
-            at = min(places, default=window.size)
+            base, held = window.base, window.held
+            for mark, place in ahead.items():
+                if place <= at:
+                    if window.base > at + 1:
+                        window.base, window.held = base, held
+                    k = window.find(mark, at + 1)
+                    ahead[mark] = k if k >= 0 else window.size
+            at = min(ahead.values())
+            if at < window.base:
+                window.base, window.held = base, held
             continue
         if gap >= 0:
             yield "gap", gap, at, reason
@@ -215,7 +219,7 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     copies = staged(rows.where(long).groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-copies")
     least = max(HOT_SHARES, (copies.agg(F.sum("n")).first()[0] or 0) // HOT_SHARES)
     hot = copies.where(F.col("n") > least).select("digest", F.col("keeper").alias("hot"), F.lit(True).alias("is_hot"))
-    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("at", F.when(F.col("is_hot"), F.concat(F.lit("hot "), F.xxhash64("page", "url").cast("string"))).otherwise(F.col("digest")))
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("at", F.when(F.col("is_hot"), F.concat(F.lit("hot "), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("digest")))
     rows = rows.join(copies.where(F.col("n") <= least).select(F.col("digest").alias("at"), "keeper"), "at", "left").withColumn("keeper", F.coalesce("hot", "keeper"))
     decided = rows.select("page", "url", "payload", F.when(F.col("keeper") != F.col("page"), F.col("keeper")).when(F.col("page").isNull(), F.col("keeper")).alias("refers_to"))
     schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -245,13 +249,14 @@ def write_archives(df: DataFrame, folder: str | None = None, id_col: str = "page
     return staged(decided.mapInArrow(write, "archive string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, archive_col: str = "archive", strict: bool = False) -> DataFrame:
+def read_archives(manifest: DataFrame, archive_col: str = "archive", strict: bool = False, payloads: bool = True) -> DataFrame:
     """A row per sound record and per quarantined gap of the archives, read in parallel, one task an archive at most; a strict
     reading ends with an error at the first gap. Headers and payloads of any length that a row can hold are read; records whose
     id or target is missing have nulls there; an empty manifest gives no rows; the same archive named twice is read twice.
 
     Columns: archive, start, end, kind (record or gap), record_type, page_id, url, payload_bytes and payload_digest (bare
-    hexadecimal SHA-1) of the full payload, refers_to, payload (null for revisits) and reason (of a gap)."""
+    hexadecimal SHA-1) of the full payload, refers_to, payload (null for revisits, and for all without `payloads`) and reason (of
+    a gap)."""
     columns = "archive string, start long, end long, kind string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
@@ -276,7 +281,7 @@ def read_archives(manifest: DataFrame, archive_col: str = "archive", strict: boo
                     digest = fields.get("warc-payload-digest", "").partition(":")[2]
                     digest = base64.b32decode(digest).hex() if len(digest) == 32 else digest.lower() or None
                     response = fields.get("warc-type") == "response"
-                    yield uri, start, end, kind, fields.get("warc-type"), number(fields.get("warc-record-id")), fields.get("warc-target-uri"), int(size[1]) if size else len(payload), hashlib.sha1(payload).hexdigest() if response else digest, number(fields.get("warc-refers-to")), payload if response else None, None
+                    yield uri, start, end, kind, fields.get("warc-type"), number(fields.get("warc-record-id")), fields.get("warc-target-uri"), int(size[1]) if size else len(payload), hashlib.sha1(payload).hexdigest() if response else digest, number(fields.get("warc-refers-to")), payload if response and payloads else None, None
 
     spark = manifest.sparkSession
     shards = manifest.select(archive_col).repartition(max(1, spark.sparkContext.defaultParallelism * 4), archive_col)
