@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _versions_upto(versions: DataFrame, cutoff: str | Column | None, series: Sequence[str] | DataFrame | None, start: str | None, end: str | None) -> DataFrame:
@@ -43,35 +44,68 @@ def intervals(versions: DataFrame) -> DataFrame:
     return versions.withColumns({"value": F.last("value", True).over(w), "valid_to": F.lead("asof_date").over(w)})
 
 
+def _month(c: Column) -> Column:
+    return (F.year(c) * 12 + F.month(c) - 1).cast("int")
+
+
+def _indexed(days: DataFrame) -> DataFrame:
+    """A calendar's row _days with its first and last month, and how many days lie before each month from the first to the one after
+    the last."""
+    days = days.select("_days", _month(F.array_min("_days")).alias("_first"), _month(F.array_max("_days")).alias("_last"))
+    return days.withColumn("_before", F.transform(F.sequence("_first", F.col("_last") + 1), lambda m: F.size(F.filter("_days", lambda d: _month(d) < m))))
+
+
 def snapshots(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """(cutoff, series_id, obs_date, value, asof_used) for many cutoffs (column cutoff) at once: for each what snapshot_long() gives.
 
     The distinct cutoffs, days of a calendar, are one row: a sorted array, and how many of them lie before each month. A version
     takes from it the slice of the months in which it is valid and makes rows of the cutoffs inside alone, so nothing is joined
     and the work is that of the result."""
-    month = lambda c: (F.year(c) * 12 + F.month(c) - 1).cast("int")
     days = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).agg(F.array_sort(F.collect_set("cutoff")).alias("_days")).where(F.size("_days") > 0)
-    days = days.select("_days", month(F.array_min("_days")).alias("_first"), month(F.array_max("_days")).alias("_last"))
-    before = F.transform(F.sequence("_first", F.col("_last") + 1), lambda m: F.size(F.filter("_days", lambda d: month(d) < m)))
-    held = intervals(versions).crossJoin(F.broadcast(days.withColumn("_before", before)))
-    held = held.withColumn("_from", F.greatest(month(F.col("asof_date")), F.col("_first")))
-    held = held.withColumn("_to", F.least(F.coalesce(month(F.col("valid_to")), F.col("_last")), F.col("_last"))).where("_from <= _to")
+    held = intervals(versions).crossJoin(F.broadcast(_indexed(days)))
+    held = held.withColumn("_from", F.greatest(_month(F.col("asof_date")), F.col("_first")))
+    held = held.withColumn("_to", F.least(F.coalesce(_month(F.col("valid_to")), F.col("_last")), F.col("_last"))).where("_from <= _to")
     at, end = F.get("_before", F.col("_from") - F.col("_first")), F.get("_before", F.col("_to") - F.col("_first") + 1)
     inside = F.filter(F.slice("_days", at + 1, end - at), lambda d: (d >= F.col("asof_date")) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
     return held.select(F.explode(inside).alias("cutoff"), "series_id", "obs_date", "value", F.col("asof_date").alias("asof_used"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: str, direction: str = "backward") -> DataFrame:
+def _bucket(df: DataFrame, ts: str, width: int) -> Column:
+    """The run of `width` units in which a time is: days of a date or timestamp, else units of a number."""
+    kind = df.schema[ts].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(ts) / width).cast("long")
+    day = F.unix_date(F.col(ts).cast("date"))
+    return F.floor(day / width).cast("long")
+
+
+def _number(df: DataFrame, ts: str) -> Column:
+    """A right row's time as a number, by which times can be ordered the other way."""
+    at = F.col("_r.ts")
+    return at if isinstance(df.schema[ts].dataType, T.NumericType) else F.unix_micros(at.cast("timestamp"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: str, direction: str = "backward", width: int = 92) -> DataFrame:
     """left with `matched_ts` and `matched`: right's nearest row at or before left_ts (backward), or at or after it (forward).
 
-    Both sides are put in one stream per key and the last (next) right row is carried along: one shuffle, no range join."""
+    A key's time is cut into buckets of `width` days (units, where times are numbers), and a bucket is what a task sorts, so a key
+    with any number of rows spreads over its buckets. A small table has the last (forward: the first) right row of each bucket; a
+    window over it carries that row to the key's next buckets, where it enters the stream of both sides ahead of (behind) all
+    others. Right rows without a time match nothing and left rows without one get none; of right rows at one time that with the
+    greatest value counts; null keys are equal."""
     back = direction == "backward"
-    r = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0 if back else 1).alias("_side"), F.struct(F.col(right_ts).alias("ts"), F.col(value).alias("v")).alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
-    l = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1 if back else 0).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))  # noqa: E741
-    w = Window.partitionBy(*by).orderBy("_ts", "_side")
-    frame = w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last("_r", True) if back else F.first("_r", True)
-    return l.unionByName(r).withColumn("_m", pick.over(frame)).where(F.col("_l").isNotNull()).select("_l.*", F.col("_m.ts").alias("matched_ts"), F.col("_m.v").alias("matched"))
+    r = right.where(F.col(right_ts).isNotNull()).select(*by, _bucket(right, right_ts, width).alias("_b"), F.col(right_ts).alias("_ts"), F.struct(F.col(right_ts).alias("ts"), F.col(value).alias("v")).alias("_r"))
+    l = left.select(*by, _bucket(left, left_ts, width).alias("_b"), F.col(left_ts).alias("_ts"), F.struct("*").alias("_l"))  # noqa: E741
+    nearest = F.max("_r") if back else F.max_by("_r", F.struct(-_number(right, right_ts), F.col("_r")))
+    both = r.select(*by, "_b", "_r").unionByName(l.where("_b IS NOT NULL").select(*by, "_b", F.lit(None).cast(r.schema["_r"].dataType).alias("_r")))
+    known = both.groupBy(*by, "_b").agg(nearest.alias("_r"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    carried = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_r", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    far = known.select(*by, "_b", carried.alias("_r")).where("_r IS NOT NULL").withColumns({"_ts": F.col("_r.ts"), "_side": F.lit(0 if back else 2)})
+    stream = r.withColumn("_side", F.lit(0 if back else 2)).unionByName(far).unionByName(l.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    within = Window.partitionBy(*by, "_b").orderBy("_ts", "_side", F.col("_r.v") if back else F.col("_r.v").desc())
+    picked = F.last("_r", True).over(within.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_r", True).over(within.rowsBetween(0, Window.unboundedFollowing))
+    return stream.withColumn("_m", picked).where("_l IS NOT NULL").select("_l.*", F.col("_m.ts").alias("matched_ts"), F.col("_m.v").alias("matched"))
 
 
 def _days(vintages: DataFrame) -> DataFrame:
@@ -86,14 +120,24 @@ def calendar(vintages: DataFrame) -> DataFrame:
     return days.crossJoin(F.broadcast(_days(vintages))).select("vintage", "asof_date", after.alias("next_asof_date"))
 
 
-def select_vintage(origins: DataFrame, vintages: DataFrame, origin: str = "origin", direction: str = "backward", fallback: bool = False) -> DataFrame:
+def select_vintage(origins: DataFrame, vintages: DataFrame, origin: str = "origin", direction: str = "backward", fallback: bool = False, strict: bool = False) -> DataFrame:
     """origins with vintage_date: the last vintage at or before the origin (or the next at or after it).
 
-    fallback: the earliest vintage where none is early enough, and used_fallback; otherwise null, for the caller to count.
-    The calendar is one row, so origins aren't shuffled."""
-    days = F.col("_days")
-    found = F.array_max(F.filter(days, lambda d: d <= F.col(origin))) if direction == "backward" else F.array_min(F.filter(days, lambda d: d >= F.col(origin)))
-    out = origins.crossJoin(F.broadcast(_days(vintages))).withColumn("vintage_date", found)
+    fallback: the earliest vintage where none is early enough, and used_fallback; otherwise null, for the caller to count, or with
+    strict an error as the job reads that origin. The calendar is one row, so origins aren't shuffled; with it goes how many of its
+    days lie before each month, so that an origin looks at its own month's days alone."""
+    days, at = F.col("_days"), F.col(origin).cast("date")
+    place = F.least(F.greatest(_month(at) - F.col("_first"), F.lit(0)), F.size("_before") - 1)
+    early = F.get("_before", place)
+    near = F.slice(days, early + 1, F.coalesce(F.get("_before", place + 1), F.size(days)) - early)
+    if direction == "backward":
+        found = F.coalesce(F.array_max(F.filter(near, lambda d: d <= at)), F.when(_month(at) >= F.col("_first"), F.get(days, early - 1)))
+    else:
+        found = F.coalesce(F.array_min(F.filter(near, lambda d: d >= at)), F.get(days, early + F.size(near)))
+    out = origins.crossJoin(F.broadcast(_indexed(_days(vintages)))).withColumn("vintage_date", F.when(at.isNotNull(), found)).drop("_first", "_last", "_before")
+    if strict:
+        missing = F.concat(F.lit("no vintage for the origin "), F.coalesce(F.col(origin).cast("string"), F.lit("null")))
+        out = out.withColumn("vintage_date", F.coalesce("vintage_date", F.raise_error(missing).cast("date")))
     if fallback:
         out = out.withColumns({"used_fallback": F.col("vintage_date").isNull(), "vintage_date": F.coalesce("vintage_date", F.array_min(days))})
     return out.drop("_days")

@@ -40,8 +40,8 @@ def ar_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, names: tupl
 
     Rows without y don't count; a growth needs two positive levels. Where lags are collinear, as in a constant or a straight series,
     the path is drift (of logs for ar4_growth); with fewer than p rows to learn from, or a path that isn't finite, the last value
-    is carried on. Levels are taken relative to the series' first one, which changes no
-    forecast and keeps the sums well scaled."""
+    is carried on. Levels are taken relative to the series' first one, and they and growth less their first value, which changes no
+    forecast and keeps the sums well scaled where a series varies little about a high level."""
     o = Window.partitionBy("series_id").orderBy("quarter_ord")
     past = o.rowsBetween(Window.unboundedPreceding, 0)
     y, before = F.col("y"), F.lag("y").over(o)
@@ -51,7 +51,8 @@ def ar_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, names: tupl
     for name in names:
         growth = name.endswith("_growth")
         z = F.when((y > 0) & (F.col("_before") > 0), F.log(y / F.col("_before"))) if growth else y / F.col("_unit")
-        lags = base.withColumn("z", z).withColumns({f"_l{k}": F.lag("z", k).over(o) for k in range(1, p + 1)})
+        lags = base.withColumn("z", z).withColumn("_shift", F.first("z", True).over(past)).withColumn("z", F.col("z") - F.col("_shift"))
+        lags = lags.withColumns({f"_l{k}": F.lag("z", k).over(o) for k in range(1, p + 1)})
         whole = F.col("z").isNotNull()
         for k in range(1, p + 1):
             whole = whole & F.col(f"_l{k}").isNotNull()
@@ -64,7 +65,7 @@ def ar_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, names: tupl
         weights = F.slice("_b", 2, p)
         after = lambda state, _: F.concat(F.array(F.aggregate(F.zip_with(weights, F.slice(state, 1, p), lambda b, v: b * v), F.get("_b", F.lit(0)), lambda s, v: s + v)), state)  # noqa: B023, E731
         made = made.withColumn("_path", F.slice(F.reverse(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_recent"), after)), p + 1, horizon))
-        rows = made.select("series_id", F.col("quarter_ord").alias("origin_ord"), y.alias("last_y"), "n", "_rows", "_first", "_unit", "_path", F.posexplode(F.coalesce("_path", F.array_repeat(F.lit(None).cast("double"), horizon))).alias("_at", "_v"))
+        rows = made.select("series_id", F.col("quarter_ord").alias("origin_ord"), y.alias("last_y"), "n", "_rows", "_first", "_unit", "_shift", "_path", F.posexplode(F.coalesce("_path", F.array_repeat(F.lit(None).cast("double"), horizon))).alias("_at", "_v"))
         h = (F.col("_at") + 1).cast("long")
         level = F.when(F.col("_rows") >= p, F.coalesce(_level(growth), _drift(growth, h)))
         level = F.when(~F.isnan(level) & (F.abs(level) < float("inf")), level)
@@ -78,8 +79,8 @@ def ar_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, names: tupl
 def _level(growth: bool) -> Column:
     """The level at a step of a path: of growth, the last level times the exponential of the growth so far."""
     if not growth:
-        return F.col("_v") * F.col("_unit")
-    so_far = F.aggregate(F.slice("_path", F.lit(1), F.col("_at") + 1), F.lit(0.0), lambda s, v: s + v)
+        return (F.col("_v") + F.col("_shift")) * F.col("_unit")
+    so_far = F.aggregate(F.slice("_path", F.lit(1), F.col("_at") + 1), F.lit(0.0), lambda s, v: s + v + F.col("_shift"))
     return F.col("last_y") * F.exp(so_far)
 
 

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import quarter_end, quarter_start, saar_growth
+from ..functions.scalars import quarter_end, saar_growth
 
 
 
@@ -194,45 +194,95 @@ def loss_differences(records: DataFrame, benchmark: str) -> DataFrame:
     return e.where(F.col("model") != benchmark).join(base, ["series_id", "origin_ord", "h"]).groupBy("model", "h", "origin_ord").agg(F.avg(F.col("_b") - F.col("e2")).alias("d"))
 
 
-def diebold_mariano(differences: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(model, h, n, mean_d, dm, p_value): Diebold-Mariano with the small-sample correction; the long-run variance takes
-    autocovariances up to h - 1."""
-    by = by or ["model", "h"]
-    g, w = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("origin_ord")
-    c = differences.withColumns({"n": F.count(F.lit(1)).over(g), "c": F.col("d") - F.avg("d").over(g), "mean_d": F.avg("d").over(g)})
-    c = c.withColumn("_past", F.collect_list("c").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_k", F.least(F.col("h") - 1, F.size("_past")).cast("int"))
-    last = F.slice("_past", F.size("_past") - F.col("_k") + 1, F.col("_k"))
-    terms = c.withColumn("_s", F.col("c") * F.col("c") + 2 * F.col("c") * F.aggregate(last, F.lit(0.0), lambda a, x: a + x))
-    m = terms.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean_d").alias("mean_d"), F.avg("_s").alias("lrv"))
+#: Lags that the tests below keep; a step with more of them ends with an error that says so.
+LAGS = 12
+
+
+def _centred(differences: DataFrame, lags: int) -> DataFrame:
+    """differences with n, i (the place by origin, from 1), mean_d and c (d less it) of their model and step, and c1, c2, ... the c of
+    so many origins before."""
+    g = Window.partitionBy("model", "h")
+    w = g.orderBy("origin_ord")
+    c = differences.withColumns({"n": F.count(F.lit(1)).over(g), "i": F.row_number().over(w), "mean_d": F.avg("d").over(g)}).withColumn("c", F.col("d") - F.col("mean_d"))
+    return c.withColumns({f"c{k}": F.lag("c", k).over(w) for k in range(1, lags + 1)})
+
+
+def _known(lags: int) -> Column:
+    """True, or an error where a step needs more lags."""
+    return F.when(F.col("h") - 1 > lags, F.raise_error(F.concat(F.lit(f"steps of up to {lags + 1} can be tested, here is one of "), F.col("h").cast("string"))).cast("boolean")).otherwise(True)
+
+
+def _tested(m: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mean_d, dm, p_value) from n, mean_d and lrv, with the small-sample correction."""
     n, h = F.col("n"), F.col("h")
     small = F.sqrt(F.greatest(F.lit(0.0), (n + 1 - 2 * h + h * (h - 1) / n) / n))
     dm = F.when((F.col("lrv") > 0) & (n > 1), F.col("mean_d") / F.sqrt(F.col("lrv") / n) * small)
     return m.withColumn("dm", dm).select(*by, "n", "mean_d", "dm", _normal_tail(F.col("dm")).alias("p_value"))
 
 
-def _windows(differences: DataFrame, window: int) -> DataFrame:
-    """Each difference once for each run of origins that holds it: columns window_end (the run's last place) and width, which is
-    `window`, or one less than the origins of a model and step that has fewer."""
-    w = Window.partitionBy("model", "h").orderBy("origin_ord")
-    numbered = differences.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("model", "h"))})
-    numbered = numbered.withColumn("width", F.least(F.lit(window), F.col("_n") - 1).cast("int")).where("width > 0")
-    first, last = F.greatest(F.col("_i"), F.col("width")), F.least(F.col("_n"), F.col("_i") + F.col("width") - 1)
-    return numbered.where(first <= last).withColumn("window_end", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("_i", "_n")
-
-
-def rolling_diebold_mariano(differences: DataFrame, window: int = 40) -> DataFrame:
-    """The statistic over each run of `window` origins, of fewer where there are fewer: each difference is dealt to the runs that
-    hold it, then tested."""
-    return diebold_mariano(_windows(differences, window).select("model", "h", "window_end", "origin_ord", "d"), ["model", "h", "window_end"])
+def diebold_mariano(differences: DataFrame, lags: int = LAGS) -> DataFrame:
+    """(model, h, n, mean_d, dm, p_value): Diebold-Mariano with the small-sample correction; the long-run variance takes
+    autocovariances up to h - 1, each from one lag of a window."""
+    terms = F.col("c") * F.col("c")
+    for k in range(1, lags + 1):
+        terms = terms + F.when(F.col("h") > k, 2 * F.col("c") * F.coalesce(f"c{k}", F.lit(0.0))).otherwise(0.0)
+    m = _centred(differences, lags).where(_known(lags)).groupBy("model", "h").agg(F.max("n").alias("n"), F.max("mean_d").alias("mean_d"), F.avg(terms).alias("lrv"))
+    return _tested(m, ["model", "h"])
+
+
+#: A long-run variance below this share of a run's mean square is what running sums leave of zero.
+NOTHING = 1e-10
+
+
+def _runs(differences: DataFrame, window: int, lags: int) -> DataFrame:
+    """A row per run of `window` origins (of one less than there are, where a model and step has fewer), at its last origin: n (its
+    width), window_end (its last place), mean_d, square (mean of c * c) and lrv.
+
+    Sums of a run are differences of sums up to its ends: of c, and of c times its k-th lag. So each origin is one row, whatever
+    the window; sums at places that the window fixes are lags, the others are the first few of a model and step."""
+    g = Window.partitionBy("model", "h")
+    w = g.orderBy("origin_ord")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = _centred(differences, lags).withColumn("_p0", F.sum(F.col("c") * F.col("c")).over(upto))
+    c = c.withColumns({"_s": F.sum("c").over(upto), **{f"_p{k}": F.sum(F.coalesce(F.col("c") * F.col(f"c{k}"), F.lit(0.0))).over(upto) for k in range(1, lags + 1)}})
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    i, n = F.col("i"), F.col("n")
+    width = F.least(F.lit(window), n - 1)
+
+    def start(name: str, k: int) -> Column:
+        """The sum up to the place k after the one before the run."""
+        far = F.coalesce(F.lag(name, window - k).over(w), F.lit(0.0)) if k < window else F.col(name)
+        at = lambda j: F.nth_value(name, j).over(whole) if j else F.lit(0.0)
+        return F.when(n > window, far).otherwise(F.when(i == n, at(k + 1)).otherwise(at(k)))
+
+    before = {"_s": start("_s", 0), "_q": start("_p0", 0)}
+    for k in range(1, lags + 1):
+        before |= {f"_a{k}": start(f"_p{k}", k), f"_b{k}": start("_s", k), f"_e{k}": F.lag("_s", k).over(w)}
+    r = c.withColumns({f"{name}_0": x for name, x in before.items()}).withColumn("width", width).where((F.col("width") > 0) & (i >= F.col("width")))
+    mean = (F.col("_s") - F.col("_s_0")) / F.col("width")
+    square = (F.col("_p0") - F.col("_q_0")) / F.col("width")
+    lrv = square - mean * mean
+    for k in range(1, lags + 1):
+        # The products of deviations from the run's mean, over the pairs that lie in the run.
+        pairs = F.col("width") - k
+        cross = F.col(f"_p{k}") - F.col(f"_a{k}_0") - mean * (F.col("_s") - F.col(f"_b{k}_0") + F.coalesce(f"_e{k}_0", F.lit(0.0)) - F.col("_s_0")) + pairs * mean * mean
+        lrv = lrv + F.when((F.col("h") > k) & (pairs > 0), 2 * cross / F.col("width")).otherwise(0.0)
+    r = r.select("model", "h", i.cast("long").alias("window_end"), "origin_ord", F.col("width").cast("long").alias("n"), (F.col("mean_d") + mean).alias("mean_d"), square.alias("square"), lrv.alias("lrv"))
+    return r.withColumn("lrv", F.when(F.abs("lrv") > NOTHING * F.col("square"), F.col("lrv")).otherwise(0.0))
+
+
+def rolling_diebold_mariano(differences: DataFrame, window: int = 40, lags: int = LAGS) -> DataFrame:
+    """(model, h, window_end, n, mean_d, dm, p_value): the statistic over each run of `window` origins, of fewer where there are fewer,
+    from running sums."""
+    return _tested(_runs(differences.where(_known(lags)), window, lags), ["model", "h", "window_end"])
 
 
 def fluctuation(differences: DataFrame, window: int = 40, critical: float = 2.77) -> DataFrame:
     """(model, h, max_stat, rejects): the largest standardised mean over runs as in rolling_diebold_mariano() against a critical
     value; scaled by the whole sample's variance."""
     whole = differences.groupBy("model", "h").agg(F.stddev_pop("d").alias("sd"))
-    runs = _windows(differences, window).groupBy("model", "h", "window_end").agg(F.avg("d").alias("m"), F.max("width").alias("width"))
-    stat = F.when(F.col("sd") > 0, F.abs(F.col("m")) * F.sqrt("width") / F.col("sd"))
-    return runs.join(whole, ["model", "h"]).groupBy("model", "h").agg(F.max(stat).alias("max_stat")).withColumn("rejects", F.col("max_stat") > critical)
+    stat = F.when(F.col("sd") > 0, F.abs("mean_d") * F.sqrt("n") / F.col("sd"))
+    return _runs(differences, window, 0).join(whole, ["model", "h"]).groupBy("model", "h").agg(F.max(stat).alias("max_stat")).withColumn("rejects", F.col("max_stat") > critical)
 
 
 def moving_error(records: DataFrame, k: int = 4) -> DataFrame:
@@ -322,10 +372,6 @@ def changed_cells(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
     return both.agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum((~F.col("_a").eqNullSafe(F.col("_b"))).cast("long")).alias("changed"))
 
 
-def quarter_starts(c: str) -> Column:
-    return quarter_start(F.col(c))
-
-
 def hedgehog(records: DataFrame, panel: DataFrame) -> DataFrame:
     """(model, series_id, origin_ord, quarter_ord, value, actual): each forecast path, begun at its last observed value, beside what
     came (the table behind a hedgehog chart)."""
