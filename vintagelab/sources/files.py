@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,36 +27,54 @@ def discover(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame
     return files.withColumn("vintage", vintage_of(F.col("path"))).where("vintage IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("vintage", "path")
 
 
-def read_vintage_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw rows of files, as text, with the path and the vintage of each. Files may have different headers: those of one header
-    are read together, and columns are matched by name, a column that a file doesn't have being null in its rows."""
-    files = spark.read.format("binaryFile").load(paths)
-    head = F.substring_index(F.substring_index(F.decode("content", "UTF-8"), "\n", 1), "\r", 1)
-    groups: dict[str, list[str]] = {}
-    for row in files.select("path", head.alias("head")).orderBy("path").toLocalIterator():
-        groups.setdefault(row.head, []).append(row.path)
-    path, parts = F.col("_metadata.file_path"), []
-    for same in groups.values():
-        raw = spark.read.option("header", "true").option("inferSchema", "false").csv(same)
-        parts.append(raw.select("*", path.alias("_path"), vintage_of(path).alias("vintage")))
-    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
+def _cells(line: Column) -> Column:
+    """The cells of a line of CSV, blank ones as null; quotes around a cell go, doubled ones in it are single."""
+    quoted = F.regexp_extract_all(line, F.lit('("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1))
+    bare = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.when(line.contains('"'), F.transform(quoted, bare)).otherwise(F.split(line, ","))
+    return F.transform(cells, lambda c: F.nullif(c, F.lit("")))
+
+
+def read_vintage_csv(spark: SparkSession, paths: list[str], date: str = "sasdate") -> DataFrame:
+    """The lines of files with any headers, in one scan: `date` (the first cell), _path, vintage and cells, an array of (series_id,
+    value) with an entry for each column that any of the files has, null where the line's file hasn't.
+
+    A file's header is its line that begins with `date`; it never comes to the driver. The headers are a table of a row per file,
+    with the place in it of each name of the one row of all names, and each line is joined with its file's. A file without a
+    header is an error that names it. Cells can be quoted, but hold no line break."""
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_path"), F.regexp_replace("value", "^\\ufeff", "").alias("line")).where("line != ''")
+    lines = text.select("_path", _cells(F.col("line")).alias("all"))
+    heads = lines.where(F.get("all", F.lit(0)) == date).groupBy("_path").agg(F.max("all").alias("head"))
+    names = heads.select(F.explode(F.slice("head", 2, F.size("head"))).alias("name")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    placed = heads.crossJoin(F.broadcast(names)).select("_path", F.transform("names", lambda n: (F.array_position("head", n) - 1).cast("int")).alias("places"))
+    body = lines.where(F.coalesce(F.get("all", F.lit(0)) != date, F.lit(True))).join(placed, "_path", "left").crossJoin(F.broadcast(names))
+    missing = F.raise_error(F.concat(F.lit(f"no line of this file begins with {date}: "), "_path")).cast("array<int>")
+    places = F.coalesce("places", missing)
+    cells = F.zip_with("names", places, lambda n, k: F.struct(n.alias("series_id"), F.when(k > 0, F.get("all", k)).alias("value")))
+    return body.select(F.get("all", F.lit(0)).alias(date), "_path", vintage_of(F.col("_path")).alias("vintage"), cells.alias("cells"))
+
+
+def _long(raw: DataFrame, date: str, keys: list[str], value: str) -> DataFrame:
+    """raw by (keys, series_id, value): of lines with cells, or of a frame with a column per series."""
+    if "cells" in raw.columns:
+        return raw.select(*keys, F.inline("cells").alias("series_id", value))
+    names = [c for c in raw.columns if c not in (date, "_path", "vintage", *keys)]
+    return raw.unpivot(keys, names, "series_id", value)
 
 
 def data_rows(raw: DataFrame, date: str = "sasdate") -> DataFrame:
-    """(vintage, obs_date, series_id, value) of the rows whose first column is a date M/d/yyyy; numbers are tried, not trusted."""
-    names = [c for c in raw.columns if c not in (date, "_path", "vintage")]
-    dated = raw.withColumn("obs_date", F.try_to_timestamp(F.col(date), F.lit("M/d/yyyy")).cast("date")).where("obs_date IS NOT NULL")
-    long = dated.unpivot(["vintage", "obs_date"], names, "series_id", "value")
+    """(vintage, obs_date, series_id, value) of the rows whose first column is a date M/d/yyyy; numbers are tried, not trusted. raw is
+    what read_vintage_csv() gives, or a frame with `date`, vintage and a column of text per series."""
     from ..functions.scalars import finite
 
-    return long.withColumn("value", finite(F.col("value")))
+    dated = raw.withColumn("obs_date", F.try_to_timestamp(F.col(date), F.lit("M/d/yyyy")).cast("date")).where("obs_date IS NOT NULL")
+    return _long(dated, date, ["vintage", "obs_date"], "value").withColumn("value", finite(F.col("value")))
 
 
 def transform_code_rows(raw: DataFrame, date: str = "sasdate") -> DataFrame:
     """(vintage, series_id, tcode): codes 1 to 7 of the row whose key is one of TCODE_KEYS."""
-    names = [c for c in raw.columns if c not in (date, "_path", "vintage")]
     key = F.regexp_replace(F.lower(F.trim(F.col(date))), r":$", "")
-    long = raw.where(key.isin(*TCODE_KEYS)).unpivot(["vintage"], names, "series_id", "tcode")
+    long = _long(raw.where(key.isin(*TCODE_KEYS)), date, ["vintage"], "tcode")
     code = F.col("tcode").try_cast("double")
     return long.withColumn("tcode", F.when(code == F.floor(code), code.cast("int"))).where(F.col("tcode").between(1, 7))
 
