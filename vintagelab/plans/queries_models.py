@@ -207,6 +207,34 @@ def st2(spark, d):
     return revisions.high_water_marks(spark, f"{base}/marks")
 
 
+LATE = """
+, again AS (SELECT series_id, obs_date, asof_date, value * 2 AS value FROM versions WHERE month(asof_date) = 6),
+marks AS (SELECT series_id, max(asof_date) AS mark FROM versions GROUP BY 1),
+late AS (SELECT a.*, mark FROM again a JOIN marks USING (series_id) WHERE a.asof_date <= mark - 7)"""
+
+
+def _late(spark, d) -> str:
+    """A folder with what a stream of three arrivals leaves: versions up to 1997, the later ones, and those of June once more."""
+    base = views.scratch(spark, "late")
+    v = views.versions(spark, d).select("series_id", "obs_date", "asof_date", "value", F.col("asof_date").cast("timestamp").alias("arrival"))
+    for rows in (v.where("asof_date < '1998-01-01'"), v.where("asof_date >= '1998-01-01'"), v.where("month(asof_date) = 6").withColumn("value", F.col("value") * 2)):
+        rows.write.mode("append").parquet(f"{base}/in")
+        revisions.late_rows_stream(revisions.read_stream(spark, f"{base}/in", 1000), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
+
+
+@query("st2_late_rows", V + LATE + " SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(asof_date AS VARCHAR) AS asof_date, round(value, 4) AS value, CAST(mark AS VARCHAR) AS mark FROM late")
+def st2b(spark, d):
+    return revisions.late_table(spark, _late(spark, d)).select("series_id", "obs_date", "asof_date", "value", "mark")
+
+
+@query("st2_late_marks", V + LATE + """
+, n AS (SELECT series_id, CAST(sum(k) AS BIGINT) AS n FROM (SELECT series_id, count(*) AS k FROM versions GROUP BY 1 UNION ALL SELECT series_id, count(*) FROM again GROUP BY 1) GROUP BY 1)
+SELECT series_id, CAST(mark AS VARCHAR) AS max_asof, n, coalesce(k, 0) AS late FROM marks JOIN n USING (series_id) LEFT JOIN (SELECT series_id, count(*) AS k FROM late GROUP BY 1) USING (series_id)""")
+def st2c(spark, d):
+    return revisions.late_marks(spark, _late(spark, d))
+
+
 @query("st3_latest_snapshot", V + "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(max(asof_date) AS VARCHAR) AS asof_used, round(arg_max(value, asof_date), 4) AS value FROM versions GROUP BY 1, 2")
 def st3(spark, d):
     stream, base = _stream(spark, d)
