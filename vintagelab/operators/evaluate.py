@@ -79,33 +79,38 @@ def window_means(records: DataFrame) -> DataFrame:
     return each.groupBy("model").agg(F.count("rmse").cast("long").alias("windows"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
 
-def task_metrics(records: DataFrame) -> DataFrame:
-    """(task, model, metric): a task is a series and a horizon, the metric its RMSE."""
-    e = _finite(error())
-    return records.groupBy(F.concat_ws("_h", "series_id", "h").alias("task"), "model").agg(F.sqrt(F.avg(e * e)).alias("metric"))
+def task_metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, task, model, metric): a task is a series and a horizon (of a stage, or whatever `by` names), the metric its RMSE."""
+    e, by = _finite(error()), by or []
+    task = F.concat_ws("_h", F.concat_ws("__", "series_id", *by), "h").alias("task")
+    return records.groupBy(*by, task, "model").agg(F.sqrt(F.avg(e * e)).alias("metric"))
 
 
-def win_rates(tasks: DataFrame) -> DataFrame:
+def win_rates(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of tasks in which the model's metric is the least; all ties win, null metrics don't count."""
     best = tasks.where("metric IS NOT NULL").withColumn("_m", F.min("metric").over(Window.partitionBy("task")))
-    return best.groupBy("model").agg(F.count(F.lit(1)).cast("long").alias("n_tasks"), F.avg((F.col("metric") == F.col("_m")).cast("double")).alias("win_rate"))
+    return best.groupBy(*(by or []), "model").agg(F.count(F.lit(1)).cast("long").alias("n_tasks"), F.avg((F.col("metric") == F.col("_m")).cast("double")).alias("win_rate"))
 
 
-def leaderboard(tasks: DataFrame, baseline: str) -> DataFrame:
-    """n_tasks, mean metric, win rate, and skill = 1 - mean / baseline's mean on the tasks that both have."""
+def leaderboard(tasks: DataFrame, baseline: str, by: list[str] | None = None) -> DataFrame:
+    """n_tasks, mean metric, win rate, and skill = 1 - mean / baseline's mean on the tasks that both have; with `by` (columns that the
+    task determines, such as its stage) a board for each."""
+    by = by or []
     base = tasks.where((F.col("model") == baseline) & F.col("metric").isNotNull()).select("task", F.col("metric").alias("_b"))
     both = tasks.join(base, "task", "left")
     has = F.col("metric").isNotNull() & F.col("_b").isNotNull()
-    mean = both.groupBy("model").agg(F.avg("metric").alias("mean_metric"), (1 - F.avg(F.when(has, F.col("metric"))) / F.avg(F.when(has, F.col("_b")))).alias("skill"))
-    return mean.join(win_rates(tasks), "model")
+    mean = both.groupBy(*by, "model").agg(F.avg("metric").alias("mean_metric"), (1 - F.avg(F.when(has, F.col("metric"))) / F.avg(F.when(has, F.col("_b")))).alias("skill"))
+    return mean.join(win_rates(tasks, by), [*by, "model"])
 
 
-def pairwise(tasks: DataFrame) -> DataFrame:
-    """Ordered pairs of models: win rate (ties half) and mean difference b - a over common tasks."""
-    a = tasks.where("metric IS NOT NULL").select("task", F.col("model").alias("model_a"), F.col("metric").alias("_a"))
+def pairwise(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Ordered pairs of models: win rate (ties half) and mean difference b - a over common tasks; with `by` (columns that the task
+    determines) for each."""
+    by = by or []
+    a = tasks.where("metric IS NOT NULL").select(*by, "task", F.col("model").alias("model_a"), F.col("metric").alias("_a"))
     b = tasks.where("metric IS NOT NULL").select("task", F.col("model").alias("model_b"), F.col("metric").alias("_b"))
     win = F.when(F.col("_a") < F.col("_b"), 1.0).when(F.col("_a") == F.col("_b"), 0.5).otherwise(0.0)
-    return a.join(b, "task").where("model_a <> model_b").groupBy("model_a", "model_b").agg(F.count(F.lit(1)).cast("long").alias("n"), F.avg(win).alias("win_rate"), F.avg(F.col("_b") - F.col("_a")).alias("mean_diff"))
+    return a.join(b, "task").where("model_a <> model_b").groupBy(*by, "model_a", "model_b").agg(F.count(F.lit(1)).cast("long").alias("n"), F.avg(win).alias("win_rate"), F.avg(F.col("_b") - F.col("_a")).alias("mean_diff"))
 
 
 def _ratios(tasks: DataFrame, baseline: str) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import quarter_end, quarter_ord, release_bucket, saar_growth
 from ..operators import asof, baselines, evaluate, releases
-from .registry import forecast
-
-
-class StrictError(ValueError):
-    """A guard of a pipeline failed."""
+from . import views
+from .evaluation import StrictError
+from .registry import canonical, forecast
 
 
 def provenance(windows: DataFrame, vintages: DataFrame, strict: bool = False) -> DataFrame:
@@ -54,11 +52,43 @@ def factor_panel(monthly: DataFrame, cutoff_ord: int, years: list[int] | None =
     return fill_both_ways(grid.join(q, ["variable", "quarter_ord"], "left"), ["variable"], "quarter_ord", ["x"], zero=True).select("variable", "quarter_ord", "x")
 
 
-def realtime_backtest(versions: DataFrame, names: list[str], horizon: int = 2, least: int = 8, stages: tuple[str, ...] = ("first", "third")) -> DataFrame:
+#: The model that the realtime job runs in place of one of the evaluation, where it has a form of its own in growth.
+REALTIME = {"drift": "rw_drift_log", "mean": "mean_growth", "ar4": "ar4_growth", "bvar_minnesota": "bvar_minnesota_growth", "bvar_minnesota_20": "bvar_minnesota_growth_20"}
+ENSEMBLES = {"ensemble_top3": 3, "ensemble_top5": 5}
+
+
+def leaderboard_members(board: DataFrame, threshold: float = 0.0, exclude: tuple[str, ...] = ("naive_last",)) -> DataFrame:
+    """(ensemble, model): of a board (model, skill) the models of a skill over the threshold, the best 3 and the best 5, under their
+    realtime names, each once. Ensembles and the models to exclude have no place."""
+    fit = board.where((F.col("skill") > threshold) & ~F.lower("model").isin([x.lower() for x in exclude]) & ~F.lower("model").startswith("ensemble"))
+    best = fit.orderBy(F.desc("skill"), "model").limit(max(ENSEMBLES.values())).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("skill"), "model")))
+    named = F.col("model")
+    for own, realtime in REALTIME.items():
+        named = F.when(F.col("model") == own, realtime).otherwise(named)
+    of = F.explode(F.array(*[F.struct(F.lit(e).alias("ensemble"), F.lit(k).alias("k")) for e, k in ENSEMBLES.items()]))
+    return best.select(named.alias("model"), "_r", of.alias("e")).where("_r <= e.k").select("e.ensemble", "model").distinct()
+
+
+def with_ensembles(rows: DataFrame, members: DataFrame, key: list[str]) -> DataFrame:
+    """rows of a backtest with those of ensembles: over the members (ensemble, model) that a key has, the mean growth, on the mean level
+    before it; other columns are the same for all models of a key."""
+    own = ["model", "y_hat", "level_before", "g_hat"]
+    held = rows.join(F.broadcast(members), "model")
+    rest = [F.first(c).alias(c) for c in rows.columns if c not in (*own, *key)]
+    made = held.groupBy("ensemble", *key).agg(F.avg("g_hat").alias("g_hat"), F.avg("level_before").alias("level_before"), *rest)
+    level = F.when((F.col("level_before") > 0) & (F.col("g_hat") > -100), F.col("level_before") * F.pow(1 + F.col("g_hat") / 100, 0.25))
+    return rows.unionByName(made.withColumnRenamed("ensemble", "model").withColumn("y_hat", level).select(rows.columns))
+
+
+def realtime_backtest(versions: DataFrame, names: list[str], horizon: int = 2, least: int = 8, stages: tuple[str, ...] = ("first", "third"), members: DataFrame | None = None) -> DataFrame:
     """(model, series_id, origin, vintage_date, target_ord, h, stage, y_hat, level_before, g_hat, y_true, months, bucket).
 
     Each first release has an origin the day before it; models see the last vintage then and quarters before the target only.
-    All origins are keys of one job; truth comes from releases, of which no model sees any."""
+    All origins are keys of one job; truth comes from releases, of which no model sees any. members (ensemble, model), as
+    leaderboard_members() gives them, add ensembles in growth. The versions, and with members the scored rows, are written to the
+    shared folder once, as several parts of the job read them."""
+    names = canonical(names)
+    versions = views.staged(versions.select("series_id", "obs_date", "asof_date", "value"), "backtest-versions")
     wide = releases.releases(versions)
     v = versions.withColumn("asof_date", F.last_day("asof_date"))
     days = v.select("asof_date").distinct()
@@ -70,12 +100,15 @@ def realtime_backtest(versions: DataFrame, names: list[str], horizon: int = 2, l
     last = train.groupBy(key.alias("series_id")).agg(F.max("quarter_ord").alias("origin_ord"))
     made = forecast(keyed, names, horizon, least, origins=last)
     made = evaluate.level_kpi(made.withColumn("y_true", F.lit(None).cast("double")))
-    made = made.withColumns({"first_target": F.split_part("series_id", F.lit("|"), F.lit(2)).cast("long"), "series_id": F.split_part("series_id", F.lit("|"), F.lit(1))})
+    made = made.withColumns({"first_target": F.split_part("series_id", F.lit("|"), F.lit(-1)).cast("long"), "series_id": F.regexp_replace("series_id", "\\|[^|]*$", "")})
     origin = origins.select("series_id", F.col("target_ord").alias("first_target"), "origin", "vintage_date")
     truth = releases.stage_rows(wide).where(F.col("stage").isin(list(stages))).select("series_id", F.col("quarter_ord").alias("target_ord"), "stage", F.col("value").alias("truth"), "release_date")
     out = made.drop("y_true", "g_true").join(origin, ["series_id", "first_target"]).join(truth, ["series_id", "target_ord"])
     months = ((F.year("release_date") - F.year("origin")) * 12 + F.month("release_date") - F.month("origin")).cast("long")
-    return out.select("model", "series_id", "origin", "vintage_date", "origin_ord", "target_ord", "h", "stage", "y_hat", "level_before", "g_hat", F.col("truth").alias("y_true"), months.alias("months"), release_bucket(months).alias("bucket"))
+    out = out.select("model", "series_id", "origin", "vintage_date", "origin_ord", "target_ord", "h", "stage", "y_hat", "level_before", "g_hat", F.col("truth").alias("y_true"), months.alias("months"), release_bucket(months).alias("bucket"))
+    if members is None:
+        return out
+    return with_ensembles(views.staged(out, "backtest-scored"), members, ["series_id", "origin", "h", "target_ord", "stage"])
 
 
 def window_evaluation(panel: DataFrame, names: list[str], baseline: str, shock: tuple[int, int], windows: int = 8, horizon: int = 4, least: int = 8, snapshot: bool = False, allow_snapshot: bool = False) -> dict[str, DataFrame]:

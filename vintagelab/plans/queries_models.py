@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import autoregression, evaluate, models
 from ..streaming import revisions
-from . import pipelines, registry, views
-from .catalog import query
+from . import evaluation, pipelines, registry, views
+from .catalog import places, places_sql, query, wide, wide_sql
 from .queries_asof import REL
-from .queries_evaluate import KPI, SHOCK
+from .queries_evaluate import KPI, LB, SHOCK, tasks
 from .views import VIEWS_SQL as V
 
 
@@ -148,14 +148,90 @@ def v12(spark, d):
     return pipelines.nowcast_trace(views.versions(spark, d), 115, ["drift"], "1998-01-31", "1998-12-31")
 
 
-@query("e15_evaluation_pipeline")
+#: Records of the evaluation on two stages, whose windows train on what was known by each cutoff.
+E15 = REL + """
+, tr AS (SELECT series_id, stage, quarter_ord AS q, value AS y FROM stages WHERE stage IN ('first', 'third')),
+nn AS (SELECT *, row_number() OVER (PARTITION BY series_id, stage ORDER BY q) AS i, count(*) OVER (PARTITION BY series_id, stage) AS n FROM tr),
+cut AS (SELECT series_id, stage, i - n + 4 + 8 - 1 AS window_idx, q AS origin, CAST(last_day(make_date(1970 + q // 4, (q % 4) * 3 + 3, 1)) AS DATE) AS cutoff FROM nn WHERE i - n + 4 + 8 - 1 BETWEEN 0 AND 7),
+dd AS (SELECT DISTINCT asof_date FROM versions),
+cho AS (SELECT *, (SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff) IS NULL AS early, coalesce((SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff), (SELECT min(asof_date) FROM dd)) AS vint FROM cut),
+known AS (SELECT vint, series_id, (year(obs_date) - 1970) * 4 + quarter(obs_date) - 1 AS q, arg_max(value, asof_date) AS value FROM versions JOIN (SELECT DISTINCT vint FROM cho) ON asof_date <= vint GROUP BY 1, 2, 3),
+hist15 AS (SELECT c.series_id, c.stage, c.window_idx, c.origin, t.q, coalesce(k.value, t.y) AS y FROM cho c JOIN tr t ON t.series_id = c.series_id AND t.stage = c.stage AND t.q <= c.origin LEFT JOIN known k ON k.vint = c.vint AND k.series_id = c.series_id AND k.q = t.q),
+ag AS (SELECT series_id, stage, window_idx, origin, count(*) AS n, arg_min(y, q) AS f, avg(y) AS a, list(y ORDER BY q DESC) AS l FROM hist15 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 8),
+st AS (SELECT *, l[1] AS y, unnest([1, 2, 3, 4]) AS h FROM ag),
+made AS (SELECT 'naive_last' AS model, *, y AS y_hat FROM st UNION ALL SELECT 'drift', *, y + h * (y - f) / (n - 1) FROM st UNION ALL SELECT 'mean', *, a FROM st UNION ALL SELECT 'seasonal_naive', *, l[5 - h] FROM st),
+rec AS (SELECT m.model, m.series_id, m.stage, m.window_idx, m.origin, m.h, m.origin + m.h AS target, m.y_hat, t.y AS y_true, m.y AS last_y, m.y_hat - t.y AS e FROM made m JOIN tr t ON t.series_id = m.series_id AND t.stage = m.stage AND t.q = m.origin + m.h),
+tk AS (SELECT stage, series_id || '__' || stage || '_h' || h AS task, model, sqrt(avg(e * e)) AS metric FROM rec GROUP BY 1, 2, 3)
+"""
+
+
+def _evaluated(spark, d) -> dict:
+    return evaluation.run(views.versions(spark, d), ["naive_last", "drift", "mean", "seasonal_naive"], "naive_last", ["first", "third"], shock=SHOCK)
+
+
+@query("e15_evaluation_pipeline", V + E15 + """
+, wr AS (SELECT stage, model, count(*) AS n_tasks, avg(CASE WHEN metric = best THEN 1.0 ELSE 0.0 END) AS win_rate FROM (SELECT *, min(metric) OVER (PARTITION BY task) AS best FROM tk) GROUP BY 1, 2),
+mm AS (SELECT t.stage, t.model, avg(t.metric) AS mean_metric, 1 - avg(t.metric) / avg(b.metric) AS skill FROM tk t JOIN tk b ON b.task = t.task AND b.model = 'naive_last' GROUP BY 1, 2)
+SELECT mm.stage, mm.model, round(mean_metric, 2) AS mean_metric, round(skill, 4) AS skill, n_tasks, round(win_rate, 4) AS win_rate FROM mm JOIN wr USING (stage, model)""")
 def e15(spark, d):
-    return pipelines.window_evaluation(views.qpanel(spark, d), ["naive_last", "drift", "mean", "seasonal_naive", "ar4"], "naive_last", SHOCK)["leaderboard"]
+    return _evaluated(spark, d)["leaderboard"].withColumn("mean_metric", F.round("mean_metric", 2))
+
+
+@query("e15_records", V + E15 + "SELECT model, series_id, stage, window_idx, origin AS origin_ord, h, target AS target_ord, round(y_hat, 6) AS y_hat, round(y_true, 6) AS y_true, round(last_y, 6) AS last_y, CAST(vint AS VARCHAR) AS vintage_date, CASE WHEN early THEN 'earliest' ELSE 'panel' END AS source FROM rec JOIN (SELECT series_id, stage, window_idx, vint, early FROM cho) USING (series_id, stage, window_idx)", 6)
+def e15b(spark, d):
+    return _evaluated(spark, d)["records"]
+
+
+@query("e15_window_vintages", V + E15 + "SELECT series_id, stage, window_idx, origin AS origin_ord, CAST(cutoff AS VARCHAR) AS cutoff, CAST(vint AS VARCHAR) AS vintage_date, CASE WHEN early THEN 'earliest' ELSE 'panel' END AS source FROM cho")
+def e15c(spark, d):
+    return _evaluated(spark, d)["window_vintages"]
 
 
-@query("e16_realtime_backtest")
+_END = "CAST(last_day(make_date(1970 + CAST({0} AS BIGINT) // 4, (CAST({0} AS BIGINT) % 4) * 3 + 3, 1)) AS VARCHAR)"
+
+
+@query("e15_exchange", V + E15 + f"""
+SELECT {_END.format("target")} AS date, {_END.format("(origin + 1)")} AS vintage_date, 'y_' || series_id || '__' || stage AS variable, 'Q' AS frequency, h - 1 AS forecast_horizon, round(y_hat, 6) AS value, model AS source, 'levels' AS metric FROM rec
+UNION ALL SELECT {_END.format("quarter_ord")}, {_END.format("rq")}, 'y_' || series_id || '__' || stage, 'Q', quarter_ord - rq, round(value, 6), 'outturn', 'levels' FROM (SELECT *, (year(release_date) - 1970) * 4 + quarter(release_date) - 1 AS rq FROM stages WHERE stage IN ('first', 'third'))""", 6)
+def e15d(spark, d):
+    """Forecasts and outturns in the exchange schema, the latter with the source "outturn"."""
+    out = _evaluated(spark, d)
+    return out["forecasts"].unionByName(out["outturns"].withColumn("source", F.lit("outturn")))
+
+
+REALTIME_MODELS = ["naive_last", "mean", "drift", "seasonal_naive", "rw_drift_log", "mean_growth"]
+
+
+@query("e16_realtime_backtest", V + LB + REL + """
+, picked AS (SELECT CASE model WHEN 'drift' THEN 'rw_drift_log' WHEN 'mean' THEN 'mean_growth' ELSE model END AS model, row_number() OVER (ORDER BY skill DESC, model) AS r FROM lb WHERE skill > 0.0 AND model <> 'naive_last'),
+members AS (SELECT DISTINCT ensemble, model FROM picked, (SELECT unnest(['ensemble_top3', 'ensemble_top5']) AS ensemble, unnest([3, 5]) AS k) WHERE r <= k),
+dd AS (SELECT DISTINCT asof_date FROM versions),
+og AS (SELECT series_id, quarter_ord AS target, first_date - 1 AS origin, (SELECT max(asof_date) FROM dd WHERE asof_date <= first_date - 1) AS vint FROM rel),
+known AS (SELECT o.series_id, o.target, o.origin, o.vint, (year(v.obs_date) - 1970) * 4 + quarter(v.obs_date) - 1 AS q, arg_max(v.value, v.asof_date) AS y FROM og o JOIN versions v ON v.series_id = o.series_id AND v.asof_date <= o.vint GROUP BY 1, 2, 3, 4, 5),
+kl AS (SELECT *, lag(y) OVER (PARTITION BY series_id, target ORDER BY q) AS y1 FROM known WHERE q < target),
+ag AS (SELECT series_id, target, origin, vint, count(*) AS n, max(q) AS lastq, arg_min(y, q) AS f, avg(y) AS a, avg(CASE WHEN y > 0 AND y1 > 0 THEN 100 * (pow(y / y1, 4) - 1) END) AS ga, list(y ORDER BY q DESC) AS l FROM kl GROUP BY 1, 2, 3, 4 HAVING count(*) >= 8),
+st AS (SELECT *, l[1] AS y, unnest([1, 2]) AS h FROM ag),
+made AS (SELECT 'naive_last' AS model, *, y AS y_hat FROM st UNION ALL SELECT 'mean', *, a FROM st UNION ALL SELECT 'drift', *, y + h * (y - f) / (n - 1) FROM st UNION ALL SELECT 'seasonal_naive', *, l[5 - h] FROM st
+  UNION ALL SELECT 'rw_drift_log', *, CASE WHEN y > 0 AND f > 0 THEN exp(ln(y) + h * (ln(y) - ln(f)) / (n - 1)) ELSE y END FROM st UNION ALL SELECT 'mean_growth', *, coalesce(y * pow(CASE WHEN ga > -100 THEN 1 + ga / 100 END, h / 4.0), y) FROM st),
+lev AS (SELECT *, coalesce(lag(y_hat) OVER (PARTITION BY model, series_id, target ORDER BY h), y) AS level_before FROM made),
+gr AS (SELECT *, CASE WHEN y_hat > 0 AND level_before > 0 THEN 100 * (pow(y_hat / level_before, 4) - 1) END AS g_hat FROM lev),
+sc AS (SELECT g.model, g.series_id, g.origin, g.vint, g.lastq AS origin_ord, g.lastq + g.h AS target_ord, g.h, s.stage, g.y_hat, g.level_before, g.g_hat, s.value AS y_true, (year(s.release_date) - year(g.origin)) * 12 + month(s.release_date) - month(g.origin) AS months
+  FROM gr g JOIN stages s ON s.series_id = g.series_id AND s.quarter_ord = g.lastq + g.h AND s.stage IN ('first', 'third')),
+en AS (SELECT m.ensemble AS model, series_id, origin, any_value(vint) AS vint, any_value(origin_ord) AS origin_ord, target_ord, h, stage, avg(level_before) AS level_before, avg(g_hat) AS g_hat, any_value(y_true) AS y_true, any_value(months) AS months FROM sc JOIN members m USING (model) GROUP BY ALL),
+al AS (SELECT model, series_id, origin, vint, origin_ord, target_ord, h, stage, y_hat, level_before, g_hat, y_true, months FROM sc UNION ALL
+  SELECT model, series_id, origin, vint, origin_ord, target_ord, h, stage, CASE WHEN level_before > 0 AND g_hat > -100 THEN level_before * pow(1 + g_hat / 100, 0.25) END, level_before, g_hat, y_true, months FROM en)
+SELECT model, series_id, CAST(origin AS VARCHAR) AS origin, CAST(vint AS VARCHAR) AS vintage_date, origin_ord, target_ord, h, stage, """ + places_sql("y_hat") + " AS y_hat, " + places_sql("level_before") + " AS level_before, " + wide_sql("g_hat") + """ AS g_hat, round(y_true, 6) AS y_true, months,
+  CASE WHEN months <= 0 THEN '<=0' WHEN months = 1 THEN '1' WHEN months <= 3 THEN '2-3' WHEN months <= 6 THEN '4-6' ELSE '7+' END AS bucket FROM al""", 6)
 def e16(spark, d):
-    return pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "drift", "ar4"])
+    """The models, and the means in growth of the best three and five of the evaluation's leaderboard."""
+    board = evaluate.leaderboard(tasks(spark, d), "seasonal_naive")
+    r = pipelines.realtime_backtest(views.versions(spark, d), REALTIME_MODELS, members=pipelines.leaderboard_members(board))
+    return r.withColumns({"y_hat": places("y_hat"), "level_before": places("level_before"), "g_hat": wide(F.col("g_hat"))})
+
+
+@query("e16_realtime_autoregressions")
+def e16c(spark, d):
+    return pipelines.realtime_backtest(views.versions(spark, d), ["naive_last", "ar4", "ar4_growth"])
 
 
 @query("e16_realtime_metrics", V + REL + """
