@@ -223,33 +223,3 @@ def fitted_forecasts(panel: DataFrame, names: list[str], horizon: int = 4, least
         some = origins.select("series_id", F.col("origin_ord").alias("quarter_ord"), F.lit(True).alias("asked")).distinct()
         rows = rows.join(some, ["series_id", "quarter_ord"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     return rows.groupBy("series_id").applyInPandas(run, "model string, series_id string, origin_ord long, h long, target_ord long, y_hat double, last_y double, error string")
-
-
-def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int = 4, least: int = 12, refits: int = 4, lags: int = 4, seed: int = 7, origins: DataFrame | None = None) -> DataFrame:
-    """Pooled trees over all series: growth on lagged growth, refitted at a few cutoffs, each fit on rows up to its cutoff and
-    scoring origins up to the next; the path is `horizon` passes, each feeding the next one's lags."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-    from pyspark.sql import Window
-
-    from .baselines import at_origins
-
-    w = Window.partitionBy("series_id").orderBy("quarter_ord")
-    g = panel.select("series_id", "quarter_ord", "y").withColumn("g", F.when((F.col("y") > 0) & (F.lag("y").over(w) > 0), F.log(F.col("y") / F.lag("y").over(w))))
-    g = g.withColumns({"n": F.row_number().over(w), **{f"l{k}": F.lag("g", k - 1).over(w) for k in range(1, lags + 1)}, "next": F.lead("g").over(w)}).where(F.col(f"l{lags}").isNotNull())
-    names = [f"l{k}" for k in range(1, lags + 1)]
-    pack = VectorAssembler(inputCols=names, outputCol="features")
-    lo, hi = g.where(F.col("n") >= least).agg(F.min("quarter_ord"), F.max("quarter_ord")).first()
-    cuts = sorted({lo + (hi - lo) * k // refits for k in range(refits)}) if lo is not None else []
-    out = None
-    for at, cut in enumerate(cuts):
-        learner = (RandomForestRegressor if kind == "random_forest" else GBTRegressor)(featuresCol="features", labelCol="next", predictionCol="p", seed=seed, maxDepth=4)
-        model = learner.fit(pack.transform(g.where((F.col("quarter_ord") < cut) & F.col("next").isNotNull())))
-        now = g.where((F.col("n") >= least) & (F.col("quarter_ord") >= cut) & (F.col("quarter_ord") < (cuts[at + 1] if at + 1 < len(cuts) else hi + 1)))
-        now = at_origins(now, origins).select("series_id", F.col("quarter_ord").alias("origin_ord"), F.col("y").alias("last_y"), *names, F.lit(0.0).alias("sum"))
-        for h in range(1, horizon + 1):
-            scored = model.transform(pack.transform(now)).drop("features")
-            now = scored.withColumn("sum", F.col("sum") + F.col("p")).select("series_id", "origin_ord", "last_y", "sum", F.col("p").alias("l1"), *[F.col(f"l{k - 1}").alias(f"l{k}") for k in range(2, lags + 1)])
-            step = now.select(F.lit(kind).alias("model"), "series_id", "origin_ord", F.lit(h).cast("long").alias("h"), (F.col("origin_ord") + h).alias("target_ord"), (F.col("last_y") * F.exp("sum")).alias("y_hat"), "last_y")
-            out = step if out is None else out.unionByName(step)
-    return out

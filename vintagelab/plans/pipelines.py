@@ -53,7 +53,7 @@ def factor_panel(monthly: DataFrame, cutoff_ord: int, years: list[int] | None =
 
 
 #: The model that the realtime job runs in place of one of the evaluation, where it has a form of its own in growth.
-REALTIME = {"drift": "rw_drift_log", "mean": "mean_growth", "ar4": "ar4_growth", "bvar_minnesota": "bvar_minnesota_growth", "bvar_minnesota_20": "bvar_minnesota_growth_20"}
+REALTIME = {"drift": "rw_drift_log", "mean": "mean_growth", "ar4": "ar4_growth", "random_forest": "random_forest_growth", "xgboost": "xgboost_growth", "bvar_minnesota": "bvar_minnesota_growth", "bvar_minnesota_20": "bvar_minnesota_growth_20"}
 ENSEMBLES = {"ensemble_top3": 3, "ensemble_top5": 5}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import autoregression, evaluate, models
+from ..operators import asof, autoregression, evaluate, models, trees
 from ..streaming import revisions
 from . import evaluation, pipelines, registry, views
 from .catalog import places, places_sql, query, wide, wide_sql
@@ -83,14 +83,20 @@ def m12(spark, d):
     return models.fitted_forecasts(q, ["factor_pca_qd"], 4, 12, names)
 
 
-@query("m13_random_forest")
-def m13(spark, d):
-    return models.tree_forecasts(views.qpanel(spark, d), "random_forest", 2)
+def _trees(kind: str):
+    """Trees over all series with the monthly quantities as covariates and the quarter of the year as what is known ahead."""
+
+    def run(spark, d):
+        q = views.qpanel(spark, d)
+        wide = asof.quarterly_mean(views.mpanel(spark, d), ["variable"], "month_date", "x").groupBy("quarter_ord").pivot("variable", ["A_F", "N_O", "R_F"]).agg(F.first("x"))
+        q = q.join(F.broadcast(wide), "quarter_ord", "left").withColumn("season", (F.col("quarter_ord") % 4).cast("double"))
+        return trees.tree_forecasts(q, kind, covariates=["A_F", "N_O", "R_F"], known=["season"])
+
+    return run
 
 
-@query("m14_boosted_trees")
-def m14(spark, d):
-    return models.tree_forecasts(views.qpanel(spark, d), "xgboost", 2)
+for _id, _kind in (("m13_random_forest", "random_forest"), ("m13_random_forest_growth", "random_forest_growth"), ("m14_boosted_trees", "xgboost"), ("m14_boosted_trees_growth", "xgboost_growth")):
+    query(_id)(_trees(_kind))
 
 
 @query("m21_growth_wrapper")

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import levels_from_growth
-from ..operators import autoregression, baselines, models
+from ..operators import autoregression, baselines, models, trees
 
 RANDOM = ("random_normal", "random_uniform", "random_permutation")
-TREES = ("random_forest", "xgboost")
+TREES = trees.KINDS
 #: Other names of a model.
 ALIASES = {"naive": "naive_last", "last": "naive_last", "snaive": "seasonal_naive", "rw_drift": "rw_drift_log", "gbt": "xgboost", "rf": "random_forest", "ets": "auto_ets", "arima": "auto_arima", "bvar_minnesota_8": "bvar_minnesota", "bvar_minnesota_growth_8": "bvar_minnesota_growth"}
 SETS = {
@@ -85,7 +85,7 @@ def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int =
             kind, fn = OWN[n]
             parts.append(fn(panel, horizon, origins) if kind == "frame" else _by_origin(panel, n, fn, horizon, least, origins))
         if n in TREES:
-            parts.append(models.tree_forecasts(panel, n, horizon, max(least, 8), origins=origins))
+            parts.append(trees.tree_forecasts(panel, n, horizon, max(least, 8), origins=origins, covariates=covariates))
     columns = ["model", "series_id", "origin_ord", "h", "target_ord", "y_hat", "last_y"]
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
 
