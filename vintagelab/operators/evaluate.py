@@ -4,8 +4,13 @@ Records are (model, series_id, origin_ord, h, target_ord, y_hat, y_true, last_y)
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,21 +135,63 @@ def _ratios(tasks: DataFrame, baseline: str) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
+#: Draws that one task makes of a group at a time, and bytes of their counts that it remembers for the next group of that size.
+BLOCK, KEPT = 250, 64 << 20
+
+
+def _times(n: int, draws: range, seed: int) -> Iterator[np.ndarray]:
+    """For each draw how often it takes each of n places: the j-th pick of draw b is a hash of (seed, b, j)."""
+    for b in draws:
+        picks = [int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) for j in range(1, n + 1)]
+        yield np.bincount(np.array(picks, np.int64) % n, minlength=n)
+
+
 def bootstrap(tasks: DataFrame, baseline: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """(statistic, model, other, value, low, high): 95 % percentile intervals of the mean metric, the win rate, the skill against the
     baseline and the mean difference of pairs (other's metric less model's).
 
     A draw takes as many tasks of a group as it has, by hashes of (seed, draw, place), so that a task that runs again draws the
-    same. Groups of equal size share draws: how often a draw takes each place is counted once for each size and joined to the
-    rows, whose sums are combined before the shuffle. A skill without a baseline above zero is null."""
+    same. Draws are made where they are used: a group's rows go, in the order of their places, to a task for each BLOCK of draws,
+    which counts how often each place is taken and sums with those counts; groups of one size follow each other and share the
+    counts. Rows are the tasks' times the blocks. A skill without a baseline above zero is null."""
     group = ["statistic", "model", "other"]
     w = Window.partitionBy(*group)
     rows = _ratios(tasks, baseline).withColumns({"i": F.row_number().over(w.orderBy("task")) - 1, "n": F.count(F.lit(1)).over(w)})
-    sizes = rows.select("n").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition("n", "b")
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    times = sizes.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).groupBy("n", "b", place.cast("int").alias("i")).agg(F.count(F.lit(1)).alias("times"))
-    ratio = F.try_divide(F.sum(F.col("times") * F.col("num")), F.sum(F.col("times") * F.col("den")))
-    drawn = rows.join(times, ["n", "i"]).groupBy(*group, "b").agg(ratio.alias("r"))
+    blocks = -(-draws // BLOCK)
+    dealt = rows.select("n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *group, "i", F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    dealt = dealt.repartition("n", "block", *group).sortWithinPartitions("n", "block", *group, "i")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, held, key = (None, None), [], None
+
+        def sums() -> Iterator[tuple]:
+            nonlocal shared
+            n, block = key[:2]
+            span = range(block * BLOCK + 1, min(draws, (block + 1) * BLOCK) + 1)
+            if shared[0] != (n, block):
+                counts = _times(n, span, seed)
+                shared = ((n, block), np.stack(list(counts)) if n * len(span) * 8 <= KEPT else None)
+            values = np.array(held)
+            each = shared[1] if shared[1] is not None else _times(n, span, seed)
+            yield from ((*key[2:], *(times @ values).tolist()) for times in each)
+
+        def ratios() -> Iterator[tuple]:
+            nonlocal key, held
+            for batch in batches:
+                for *k, _, num, den in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if k != key:
+                        if held:
+                            yield from sums()
+                        key, held = k, []
+                    held.append((num, den))
+            if held:
+                yield from sums()
+
+        rows, schema = ratios(), pa.schema([("statistic", pa.string()), ("model", pa.string()), ("other", pa.string()), ("num", pa.float64()), ("den", pa.float64())])
+        while some := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    drawn = dealt.mapInArrow(made, "statistic string, model string, other string, num double, den double").withColumn("r", F.try_divide("num", "den"))
     whole = rows.groupBy(*group).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("r"))
     value = F.when(F.col("statistic") == "skill", 1 - F.col("r")).otherwise(F.col("r"))
     q = drawn.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))

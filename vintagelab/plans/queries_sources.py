@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import item_id, normalised_stage
-from ..operators import asof, releases
+from ..operators import asof, baselines, evaluate, releases
 from ..sources import files
-from . import views
+from . import queries_evaluate, views
 from .catalog import query
 from .queries_asof import REL
+from .queries_evaluate import LB
 from .views import VIEWS_SQL as V
 
 ALL = "SELECT series_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(asof_date AS VARCHAR) AS asof_date, round(value, 4) AS value FROM versions"
@@ -115,6 +116,39 @@ def s11(spark, d):
     return files.load(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
+@query("s08_wide_versions", V + ALL)
+def s08(spark, d):
+    """A wide table of a series a file with a column per vintage, written as CSV and turned into versions again."""
+    v = views.versions(spark, d)
+    vintages = [r[0] for r in v.select(F.date_format("asof_date", "yyyyMMdd")).distinct().orderBy(F.col("date_format(asof_date, yyyyMMdd)")).collect()]
+    wide = v.withColumn("vintage", F.date_format("asof_date", "yyyyMMdd")).groupBy("series_id", F.col("obs_date").alias("observation_date")).pivot("vintage", vintages).agg(F.first("value"))
+    folder = views.scratch(spark, "wide") + ".csv"
+    named = wide.select("series_id", "observation_date", *[F.col(x).alias(f"VALUE_{x}") for x in vintages])
+    files.save(named, folder, ["series_id"])
+    back = files.load(spark, folder)
+    return files.wide_to_versions(back, "observation_date", ["series_id"])
+
+
+@query("s13_result_bundle", V + LB + """
+SELECT 'leaderboard' AS name, 'csv' AS kind, (SELECT count(*) FROM lb) AS n_rows, 0 AS differing UNION ALL SELECT 'pairwise', 'json', (SELECT count(*) FROM (SELECT DISTINCT a.model AS x, b.model AS y FROM tasks a JOIN tasks b ON a.task = b.task AND a.model <> b.model)), 0
+UNION ALL SELECT 'records', 'parquet', (SELECT count(*) FROM records), 0""")
+def s13(spark, d):
+    """A bundle of an evaluation's tables, written, read again and compared with what was written."""
+    r = queries_evaluate.records(spark, d)
+    t = evaluate.task_metrics(r)
+    tables = {"records": r, "leaderboard": evaluate.leaderboard(t, "seasonal_naive"), "pairwise": evaluate.pairwise(t)}
+    folder = views.scratch(spark, "bundle")
+    files.save_bundle(tables, folder, {"baseline": "seasonal_naive", "models": list(baselines.MODELS)}, {"leaderboard": "csv", "pairwise": "json"})
+    told, read = files.load_bundle(spark, folder)
+    out = []
+    for name, one in tables.items():
+        rounded = lambda df: df.select(*[F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+        apart = rounded(one).exceptAll(rounded(read[name])).union(rounded(read[name]).exceptAll(rounded(one)))
+        kind = told["tables"][name]["path"].rsplit(".", 1)[-1]
+        out.append(apart.agg(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(told["tables"][name]["rows"]).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("differing")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("s12_first_growth", V + REL + ", b AS (SELECT *, lag(first_release) OVER (PARTITION BY series_id ORDER BY quarter_ord) AS p FROM rel) SELECT series_id, quarter_ord, round(first_release / p, 6) AS ratio, first_release > 0 AND p > 0 AS known FROM b WHERE p IS NOT NULL", 6)
 def s12b(spark, d):
     """Growth is compared as the ratio of the levels that it stands for."""

@@ -2,8 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+def store(spark: SparkSession, path: str):
+    """(the Hadoop path, its file system), for the few small files that Spark's writers don't make."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none where it isn't there."""
+    at, fs = store(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at, fs = store(spark, path)
+    fs.delete(at, True)
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file as a whole or not at all, under a name of its own that is then changed; an error if the path is taken."""
+    draft, fs = store(spark, f"{path.rsplit('/', 1)[0]}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    at, _ = store(spark, path)
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(f"{path} is there already, or its store renames no files")
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
 
 #: File names that tell of a vintage: 2024-01, 2024_1, 2024m1 or 202401 before the ending.
 PERIODS = (r"(\d{4})-(\d{1,2})", r"(\d{4})_(\d{1,2})", r"(\d{4})[mM](\d{1,2})", r"(\d{4})(\d{2})")
@@ -103,14 +141,17 @@ def build_panel(raw: DataFrame, target: str | None = None, transform: bool = Tru
     return transform_codes(coded.withColumn("tcode", code), ["vintage", "series_id"], "obs_date", "value").drop("tcode")
 
 
-def wide_to_versions(wide: DataFrame, date: str = "observation_date") -> DataFrame:
-    """(series_id, obs_date, asof_date, value) of columns SERIES_YYYYMMDD."""
+def wide_to_versions(wide: DataFrame, date: str = "observation_date", keys: list[str] | None = None) -> DataFrame:
+    """(series_id, obs_date, asof_date, value) of columns SERIES_YYYYMMDD; with `keys` (series_id) the table names its series itself,
+    and what stands before the date in a column's name doesn't matter."""
     from ..functions.scalars import finite
 
-    names = [c for c in wide.columns if c != date]
-    long = wide.select(F.col(date).cast("date").alias("obs_date"), *[F.col(c).cast("string").alias(c) for c in names]).unpivot(["obs_date"], names, "name", "value")
+    keys = keys or []
+    names = [c for c in wide.columns if c not in (date, *keys)]
+    long = wide.select(*keys, F.col(date).cast("date").alias("obs_date"), *[F.col(c).cast("string").alias(c) for c in names]).unpivot([*keys, "obs_date"], names, "name", "value")
     asof = F.try_to_timestamp(F.regexp_extract("name", r"_(\d{8})$", 1), F.lit("yyyyMMdd")).cast("date")
-    return long.select(F.regexp_extract("name", r"^(.*)_\d{8}$", 1).alias("series_id"), "obs_date", asof.alias("asof_date"), finite(F.col("value")).alias("value")).where("asof_date IS NOT NULL AND value IS NOT NULL")
+    series = F.col("series_id") if "series_id" in keys else F.regexp_extract("name", r"^(.*)_\d{8}$", 1).alias("series_id")
+    return long.select(series, "obs_date", asof.alias("asof_date"), finite(F.col("value")).alias("value")).where("asof_date IS NOT NULL AND value IS NOT NULL")
 
 
 PAYLOAD = "series_id string, vintage_date string, observations array<map<string,string>>"
@@ -150,3 +191,40 @@ def save(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "err
         w.json(path)
     else:
         w.parquet(path)
+
+
+def save_bundle(tables: dict[str, DataFrame], folder: str, metadata: dict | None = None, formats: dict[str, str] | None = None) -> dict:
+    """Writes several tables as one bundle with the run's metadata, and returns its manifest.
+
+    Each table (Parquet, or csv or json by `formats`) goes to a folder of the run; a manifest, renamed to its place as the last step,
+    names them with their rows, which the writing jobs count, and their schemas. A run that fails leaves no manifest, and what it
+    wrote is deleted; a later bundle in the folder takes the place of the ones before, whole."""
+    spark = next(iter(tables.values())).sparkSession
+    run = uuid.uuid4().hex
+    what: dict = {"run": run, "written": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "metadata": metadata or {}, "tables": {}}
+    try:
+        for name, df in tables.items():
+            kind = (formats or {}).get(name, "parquet")
+            seen, path = Observation(f"bundle-{run}-{name}"), f"{folder}/runs/{run}/{name}.{kind}"
+            save(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+            what["tables"][name] = {"path": f"runs/{run}/{name}.{kind}", "rows": seen.get["rows"], "schema": df.schema.jsonValue()}
+        number = len([n for n in names_in(spark, f"{folder}/manifests") if n.endswith(".json")])
+        commit_text(spark, f"{folder}/manifests/{number:06d}.json", json.dumps(what, sort_keys=True, default=str))
+    except BaseException:
+        removed(spark, f"{folder}/runs/{run}")
+        raise
+    return what
+
+
+def load_bundle(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataFrame]]:
+    """(manifest, tables by name) of the last whole bundle in a folder; an error where there is none."""
+    names = [n for n in names_in(spark, f"{folder}/manifests") if n.endswith(".json") and not n.startswith(".")]
+    if not names:
+        raise FileNotFoundError(f"no bundle in {folder}")
+    what, tables = json.loads(text_of(spark, f"{folder}/manifests/{names[-1]}")), {}
+    for name, t in what["tables"].items():
+        schema, path = T.StructType.fromJson(t["schema"]), f"{folder}/{t['path']}"
+        kind = path.rsplit(".", 1)[-1]
+        reader = spark.read.schema(schema)
+        tables[name] = reader.option("header", "true").csv(path) if kind == "csv" else reader.json(path) if kind == "json" else reader.parquet(path)
+    return what, tables

@@ -15,37 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ingest import keep_last
+from ..sources import files
 
 #: Parts of a level that are merged.
 FAN = 8
 
 
-def _fs(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def manifest(spark: SparkSession, folder: str) -> dict:
     """The last committed manifest: upto (the last batch), parts (path, level) and dropped (paths that it no longer names)."""
-    path, fs = _fs(spark, folder)
-    at = path(f"{folder}/manifests")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-    names = [n for n in names if n.endswith(".json")]
-    if not names:
-        return {"upto": -1, "parts": [], "dropped": []}
-    text = spark.read.text(f"{folder}/manifests/{names[-1]}", wholetext=True).first()
-    return json.loads(text[0])
+    names = [n for n in files.names_in(spark, f"{folder}/manifests") if n.endswith(".json")]
+    return json.loads(files.text_of(spark, f"{folder}/manifests/{names[-1]}")) if names else {"upto": -1, "parts": [], "dropped": []}
 
 
 def _commit(spark: SparkSession, folder: str, batch_id: int, what: dict) -> None:
-    path, fs = _fs(spark, folder)
-    draft = path(f"{folder}/drafts/{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(what).encode()))
-    out.close()
-    fs.mkdirs(path(f"{folder}/manifests"))
-    if not fs.rename(draft, path(f"{folder}/manifests/{batch_id:012d}.json")):
-        raise OSError(f"batch {batch_id} was committed by another run, or {folder} takes no renames")
+    files.commit_text(spark, f"{folder}/manifests/{batch_id:012d}.json", json.dumps(what))
 
 
 def _read(spark: SparkSession, parts: list[dict], schema: str | StructType) -> DataFrame:
@@ -72,9 +55,8 @@ def append(batch: DataFrame, batch_id: int, folder: str, key: list[str], fan: in
         parts = [*(p for p in parts if p["level"] != level), {"path": merged, "level": level + 1}]
         level += 1
     _commit(spark, folder, batch_id, {"upto": batch_id, "parts": parts, "dropped": dropped})
-    path, fs = _fs(spark, folder)
     for old in before["dropped"]:
-        fs.delete(path(old), True)
+        files.removed(spark, old)
 
 
 def current(spark: SparkSession, folder: str, schema: str, key: list[str]) -> DataFrame:
