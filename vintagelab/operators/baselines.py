@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODELS = ("naive_last", "mean", "drift", "seasonal_naive", "naive_last_growth", "mean_growth", "rw_drift_log")
@@ -42,17 +42,25 @@ def baseline_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, model
     return _steps(df, horizon).select("series_id", F.col("quarter_ord").alias("origin_ord"), "h", (F.col("quarter_ord") + h).alias("target_ord"), y.alias("last_y"), rows.alias("r")).select("r.model", "series_id", "origin_ord", "h", "target_ord", "r.y_hat", "last_y")
 
 
+def _unit(seed: int, k: int) -> Column:
+    """A number between 0 and 1 from the hash of (seed, k, series, origin, step)."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), "series_id", F.col("quarter_ord").cast("string"), F.col("h").cast("string"))
+    return (F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
+
+
 def random_forecasts(panel: DataFrame, horizon: int = 4, least: int = 8, seed: int = 0, origins: DataFrame | None = None) -> DataFrame:
-    """random_normal, random_uniform and random_permutation: draws from hashes of (seed, item, origin, step), so that a task
-    that runs again draws the same."""
+    """random_normal, random_uniform and random_permutation: draws from hashes of (seed, series, origin, step), so that a task
+    that runs again draws the same. A permutation takes a value of the history by its place, which is joined, so that no row
+    carries its history."""
     w = Window.partitionBy("series_id").orderBy("quarter_ord").rowsBetween(Window.unboundedPreceding, 0)
-    df = panel.select("series_id", "quarter_ord", "y").withColumns({"n": F.count("y").over(w), "avg": F.avg("y").over(w), "sd": F.stddev_pop("y").over(w), "lo": F.min("y").over(w), "hi": F.max("y").over(w), "past": F.collect_list("y").over(w)}).where(F.col("n") >= least)
-    df = at_origins(df, origins)
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "series_id", "quarter_ord", "h"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
-    shuffled = F.element_at(F.col("past"), (F.floor(unit(3) * F.col("n")) + 1).cast("int"))
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), v.alias("y_hat")) for m, v in (("random_normal", F.col("avg") + F.col("sd") * normal), ("random_uniform", F.col("lo") + (F.col("hi") - F.col("lo")) * unit(4)), ("random_permutation", shuffled))]))
-    return _steps(df, horizon).select("series_id", F.col("quarter_ord").alias("origin_ord"), "h", (F.col("quarter_ord") + F.col("h")).alias("target_ord"), F.col("y").alias("last_y"), rows.alias("r")).select("r.model", "series_id", "origin_ord", "h", "target_ord", "r.y_hat", "last_y")
+    known = panel.where("y IS NOT NULL").select("series_id", "quarter_ord", "y")
+    df = known.withColumns({"n": F.count("y").over(w), "avg": F.avg("y").over(w), "sd": F.stddev_pop("y").over(w), "lo": F.min("y").over(w), "hi": F.max("y").over(w)})
+    places = df.select("series_id", F.col("n").alias("at"), F.col("y").alias("picked"))
+    normal = F.sqrt(-2 * F.log(_unit(seed, 1))) * F.cos(2 * 3.141592653589793 * _unit(seed, 2))
+    made = _steps(at_origins(df.where(F.col("n") >= least), origins), horizon).withColumns({"normal": F.col("avg") + F.col("sd") * normal, "uniform": F.col("lo") + (F.col("hi") - F.col("lo")) * _unit(seed, 4), "at": F.floor(_unit(seed, 3) * F.col("n")) + 1})
+    made = made.join(places, ["series_id", "at"])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(v).alias("y_hat")) for m, v in (("random_normal", "normal"), ("random_uniform", "uniform"), ("random_permutation", "picked"))]))
+    return made.select("series_id", F.col("quarter_ord").alias("origin_ord"), "h", (F.col("quarter_ord") + F.col("h")).alias("target_ord"), F.col("y").alias("last_y"), rows.alias("r")).select("r.model", "series_id", "origin_ord", "h", "target_ord", "r.y_hat", "last_y")
 
 
 def with_truth(forecasts: DataFrame, panel: DataFrame) -> DataFrame:

@@ -84,9 +84,10 @@ def e03(spark, d):
     return k.select("model", "series_id", "origin_ord", "h", "level_before", wide(F.col("g_hat")).alias("g_hat"), wide(F.col("g_true")).alias("g_true"))
 
 
-@query("a04_point_errors", V + PREDS + "SELECT model, count(e) AS n, round(avg(abs(e)), 2) AS mae, round(sqrt(avg(e * e)), 2) AS rmse, count(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e END) AS n_ex, round(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN abs(e) END), 2) AS mae_ex, round(sqrt(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e * e END)), 2) AS rmse_ex FROM records GROUP BY 1", 2)
+@query("a04_point_errors", V + PREDS + "SELECT model, count(e) AS n, round(avg(abs(e)), 2) AS mae, round(avg(e * e) / 1e9, 2) AS mse, round(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e * e END) / 1e9, 2) AS mse_ex, round(sqrt(avg(e * e)), 2) AS rmse, count(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e END) AS n_ex, round(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN abs(e) END), 2) AS mae_ex, round(sqrt(avg(CASE WHEN target_ord NOT BETWEEN 113 AND 114 THEN e * e END)), 2) AS rmse_ex FROM records GROUP BY 1", 2)
 def a04(spark, d):
-    return evaluate.point_errors(records(spark, d), ["model"], SHOCK).drop("mse", "mse_ex")
+    """Mean squares are shown in units of 1e9."""
+    return evaluate.point_errors(records(spark, d), ["model"], SHOCK).withColumns({c: F.col(c) / 1e9 for c in ("mse", "mse_ex")})
 
 
 @query("e08_leaderboard_ex_shock", V + PREDS + """

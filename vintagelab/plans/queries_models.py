@@ -9,7 +9,7 @@ from ..streaming import revisions
 from . import evaluation, pipelines, registry, views
 from .catalog import places, places_sql, query, wide, wide_sql
 from .queries_asof import REL
-from .queries_evaluate import KPI, LB, SHOCK, tasks
+from .queries_evaluate import EXF, KPI, LB, PREDS, SHOCK, tasks
 from .views import VIEWS_SQL as V
 
 
@@ -49,12 +49,13 @@ solved AS (SELECT s.*, g.m[1][6] AS b0, g.m[2][6] AS b1, g.m[3][6] AS b2, g.m[4]
 p1 AS (SELECT *, b0 + b1 * z + b2 * l1 + b3 * l2 + b4 * l3 AS f1 FROM solved), p2 AS (SELECT *, b0 + b1 * f1 + b2 * z + b3 * l1 + b4 * l2 AS f2 FROM p1),
 p3 AS (SELECT *, b0 + b1 * f2 + b2 * f1 + b3 * z + b4 * l1 AS f3 FROM p2), p4 AS (SELECT *, b0 + b1 * f3 + b2 * f2 + b3 * f1 + b4 * z AS f4 FROM p3),
 path AS (SELECT *, unnest([1, 2, 3, 4]) AS h, unnest([f1, f2, f3, f4]) AS v, unnest([f1, f1 + f2, f1 + f2 + f3, f1 + f2 + f3 + f4]) AS total FROM p4)
-SELECT '{name}' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round({back}, 0) AS y_hat, round(y, 0) AS last_y FROM path"""
+"""
+AR_ROWS = """SELECT '{name}' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round({back}, 0) AS y_hat, round(y, 0) AS last_y FROM path"""
 RV = V.replace("WITH monthly", "WITH RECURSIVE monthly", 1)
 
 
 def _ar_sql(name: str, z: str, back: str) -> str:
-    return RV + AR.replace("{name}", name).replace("{z}", z).replace("{back}", back)
+    return RV + (AR + AR_ROWS).replace("{name}", name).replace("{z}", z).replace("{back}", back)
 
 
 @query("m08_ar4_growth", _ar_sql("ar4_growth", "ln(y / y1)", "y * exp(total)"), 0)
@@ -67,7 +68,15 @@ def m09(spark, d):
     return autoregression.ar_forecasts(views.qpanel(spark, d), 4, 12, ("ar4",))
 
 
-@query("m07_random_models")
+_UNIT = "((('0x' || substr(md5('0|{0}|' || series_id || '|' || quarter_ord || '|' || h), 1, 10))::BIGINT + 0.5) / 1099511627776.0)"
+
+
+@query("m07_random_models", V + f"""
+, b AS (SELECT series_id, quarter_ord, y, count(y) OVER w AS n, avg(y) OVER w AS a, stddev_pop(y) OVER w AS sd, min(y) OVER w AS lo, max(y) OVER w AS hi FROM qpanel WINDOW w AS (PARTITION BY series_id ORDER BY quarter_ord ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, unnest([1, 2, 3, 4]) AS h FROM b WHERE n >= 8),
+d AS (SELECT s.*, p.y AS picked FROM (SELECT *, CAST(floor({_UNIT.format(3)} * n) AS BIGINT) + 1 AS place FROM s) s JOIN b p ON p.series_id = s.series_id AND p.n = s.place)
+SELECT 'random_normal' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round(a + sd * sqrt(-2 * ln({_UNIT.format(1)})) * cos(2 * pi() * {_UNIT.format(2)}), 1) AS y_hat, round(y, 1) AS last_y FROM d
+UNION ALL SELECT 'random_uniform', series_id, quarter_ord, h, quarter_ord + h, round(lo + (hi - lo) * {_UNIT.format(4)}, 1), round(y, 1) FROM d UNION ALL SELECT 'random_permutation', series_id, quarter_ord, h, quarter_ord + h, round(picked, 1), round(y, 1) FROM d""", 1)
 def m07(spark, d):
     return registry.forecast(views.qpanel(spark, d), list(registry.RANDOM))
 
@@ -99,9 +108,59 @@ for _id, _kind in (("m13_random_forest", "random_forest"), ("m13_random_forest_g
     query(_id)(_trees(_kind))
 
 
-@query("m21_growth_wrapper")
+@query("m21_growth_wrapper", V + """
+, g0 AS (SELECT series_id, quarter_ord, y, lag(y) OVER (PARTITION BY series_id ORDER BY quarter_ord) AS y1 FROM qpanel),
+g1 AS (SELECT *, 100 * (pow(y / y1, 4) - 1) AS g FROM g0 WHERE y > 0 AND y1 > 0),
+g2 AS (SELECT *, count(g) OVER w AS n, first_value(g) OVER w AS f, avg(g) OVER w AS a FROM g1 WINDOW w AS (PARTITION BY series_id ORDER BY quarter_ord ROWS UNBOUNDED PRECEDING)),
+st AS (SELECT *, unnest([1, 2, 3, 4]) AS h FROM g2 WHERE n >= 8),
+pt AS (SELECT 'drift' AS model, *, g + h * (g - f) / (n - 1) AS v FROM st UNION ALL SELECT 'mean', *, a FROM st),
+lv AS (SELECT *, CASE WHEN v > -100 THEN y * exp(sum(CASE WHEN v > -100 THEN ln(1 + v / 100) / 4 END) OVER (PARTITION BY model, series_id, quarter_ord ORDER BY h)) END AS level FROM pt)
+SELECT model || '_on_growth' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round(coalesce(level, y), 2) AS y_hat, round(y, 2) AS last_y FROM lv""", 2)
 def m21(spark, d):
-    return registry.on_growth(views.qpanel(spark, d), ["drift", "ar4"])
+    return registry.on_growth(views.qpanel(spark, d), ["drift", "mean"])
+
+
+@query("m21_growth_wrapper_ar4")
+def m21b(spark, d):
+    return registry.on_growth(views.qpanel(spark, d), ["ar4"])
+
+
+@query("m20_model_registry", V + PREDS + "SELECT model, series_id, origin_ord, h, target_ord, round(y_hat, 6) AS y_hat, round(last_y, 6) AS last_y FROM preds WHERE model IN ('naive_last', 'drift', 'seasonal_naive')", 6)
+def m20(spark, d):
+    """Models by other names and twice, as the registry finds them."""
+    return registry.forecast(views.qpanel(spark, d), ["naive", "Last", "drift", "snaive", "drift"])
+
+
+def _half_way(panel, horizon, origins):
+    """A model of a user by DataFrame operations: half-way between the last two values."""
+    from pyspark.sql import Window
+
+    from ..operators import baselines
+
+    before = F.lag("y").over(Window.partitionBy("series_id").orderBy("quarter_ord"))
+    at = baselines.at_origins(panel.withColumn("b", before).where("b IS NOT NULL"), origins)
+    h = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizon).cast("long")))
+    rows = at.select("series_id", F.col("quarter_ord").alias("origin_ord"), "y", "b", h.alias("h"))
+    return rows.select(F.lit("half_way").alias("model"), "series_id", "origin_ord", "h", (F.col("origin_ord") + F.col("h")).alias("target_ord"), ((F.col("y") + F.col("b")) / 2).alias("y_hat"), F.col("y").alias("last_y"))
+
+
+def _plus_steps(history):
+    """A model of a user of one origin's history: the last value and the step."""
+    import pandas as pd
+
+    return pd.DataFrame({"h": [1, 2], "y_hat": [history["y"].iloc[-1] + h for h in (1, 2)]})
+
+
+@query("u01_register_model", V + """
+, o AS (SELECT series_id, quarter_ord, y, lag(y) OVER w AS b, count(y) OVER w AS n FROM qpanel WINDOW w AS (PARTITION BY series_id ORDER BY quarter_ord)), st AS (SELECT *, unnest([1, 2]) AS h FROM o)
+SELECT 'half_way' AS model, series_id, quarter_ord AS origin_ord, h, quarter_ord + h AS target_ord, round((y + b) / 2, 3) AS y_hat, round(y, 3) AS last_y FROM st WHERE b IS NOT NULL
+UNION ALL SELECT 'plus_steps', series_id, quarter_ord, h, quarter_ord + h, round(y + h, 3), round(y, 3) FROM st WHERE n >= 8""", 3)
+def u01(spark, d):
+    """Two models of a user, one by DataFrame operations and one by a function of each history."""
+    for name, fn, kind in (("half_way", _half_way, "frame"), ("plus_steps", _plus_steps, "pandas")):
+        if name not in registry.OWN:
+            registry.register_model(name, fn, kind)
+    return registry.forecast(views.qpanel(spark, d), ["half_way", "plus_steps"], 2)
 
 
 @query("f08_factor_panel", V + """
@@ -114,13 +173,13 @@ def f08(spark, d):
 
 
 @query("j15_window_provenance", V + """
-, w AS (SELECT DISTINCT series_id AS task, quarter_ord - 100 AS window_idx, obs_date AS cutoff FROM qpanel WHERE quarter_ord BETWEEN 100 AND 110),
-dd AS (SELECT DISTINCT asof_date FROM versions WHERE asof_date >= DATE '1995-09-01' AND month(asof_date) % 2 = 1)
+, w AS (SELECT DISTINCT series_id AS task, quarter_ord - 100 AS window_idx, obs_date AS cutoff FROM qpanel),
+dd AS (SELECT DISTINCT asof_date FROM versions)
 SELECT task, window_idx, CAST(cutoff AS VARCHAR) AS cutoff, CAST(coalesce((SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff), (SELECT min(asof_date) FROM dd)) AS VARCHAR) AS vintage_date,
   (SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff) IS NULL AS used_fallback, CASE WHEN (SELECT max(asof_date) FROM dd WHERE asof_date <= cutoff) IS NULL THEN 'earliest' ELSE 'panel' END AS source FROM w""")
 def j15(spark, d):
-    w = views.qpanel(spark, d).where("quarter_ord BETWEEN 100 AND 110").select(F.col("series_id").alias("task"), (F.col("quarter_ord") - 100).alias("window_idx"), F.col("obs_date").alias("cutoff"))
-    days = views.versions(spark, d).where("asof_date >= date'1995-09-01' AND month(asof_date) % 2 = 1").select("asof_date").distinct()
+    w = views.qpanel(spark, d).select(F.col("series_id").alias("task"), (F.col("quarter_ord") - 100).alias("window_idx"), F.col("obs_date").alias("cutoff"))
+    days = views.versions(spark, d).select("asof_date").distinct()
     return pipelines.provenance(w, days)
 
 
@@ -257,12 +316,19 @@ def e16b(spark, d):
     return out.withColumns({"rmse": F.round("rmse", 2), "mae": F.round("mae", 2)})
 
 
-@query("e14_extra_benchmarks")
+_QEND = "CAST(last_day(make_date(1970 + CAST({0} AS BIGINT) // 4, (CAST({0} AS BIGINT) % 4) * 3 + 3, 1)) AS VARCHAR)"
+
+
+@query("e14_extra_benchmarks", RV + PREDS + AR.replace("{z}", "y / f") + f"""
+SELECT {_QEND.format("target_ord")} AS date, {_QEND.format("(origin_ord + 1)")} AS vintage_date, 'y_' || series_id AS variable, 'Q' AS frequency, h - 1 AS forecast_horizon, round(y_hat, 0) AS value, model AS source, 'levels' AS metric FROM records WHERE model = 'naive_last'
+UNION ALL SELECT {_QEND.format("(p.quarter_ord + h)")}, {_QEND.format("(p.quarter_ord + 1)")}, 'y_' || p.series_id, 'Q', h - 1, round(v * f, 0), 'ar4', 'levels' FROM path p JOIN qpanel q ON q.series_id = p.series_id AND q.quarter_ord = p.quarter_ord + h""", 0)
 def e14(spark, d):
+    """A random walk and an autoregression as two more sources of the exchange table."""
     from ..operators import baselines
 
     q = views.qpanel(spark, d)
-    return evaluate.exchange_forecasts(baselines.with_truth(registry.forecast(q, ["naive_last", "auto_arima"]), q))
+    both = registry.forecast(q, ["naive_last"]).unionByName(registry.forecast(q, ["ar4"], 4, 12))
+    return evaluate.exchange_forecasts(baselines.with_truth(both, q))
 
 
 def _stream(spark, d):
