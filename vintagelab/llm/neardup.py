@@ -310,7 +310,8 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, id_col: str = "doc
     keep is true for one row of each class. Documents are in one class if links join them: equal words in equal order, or a
     weighted Jaccard similarity of five-word shingles of `least` or more, checked on the whole texts. A null text is empty;
     texts without words are copies of each other only if equal; texts under five words are one shingle. A null id sorts last in
-    its class (class_id is null if all are); repeated rows are copies; an empty table gives none; other columns are not read.
+    its class (class_id is null if all are); repeated rows are copies; an empty table gives none; other columns are not read. A text
+    of any length is hashed whole by one task; what a block holds of one is 8 bytes for each of its shingles.
 
     Copies are folded by partial aggregation before anything else, and then texts of equal signature, each suggested with one of
     them; buckets are met by key with their counts first, and parts of a bucket are bounded, also where buckets are joined by

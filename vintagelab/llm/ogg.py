@@ -190,7 +190,8 @@ def add_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, from stored media alone.
 
-    A null media column gives nulls; unsound media end the job with an error that says where."""
+    A null media column gives nulls; unsound media end the job with an error that says where. Null and repeated ids and repeated
+    rows each give a row, media of any length are read whole by one task each, and an empty table gives none."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = ["long", "long", "string", "long", "long", "string", "string"]
     schema = pa.schema([("id", pa.int64()), *((n, pa.int64() if k == "long" else pa.string()) for n, k in zip(names, kinds, strict=True))])

@@ -229,7 +229,8 @@ def _extracted(kept: DataFrame) -> DataFrame:
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its personal data replaced by [EMAIL], [IP], [CARD], [PHONE] or [ID]; overlapping spans become the first one's
-    mark; all columns stay, whatever their names; a null text stays null; repeated rows each stay; an empty table stays empty."""
+    mark; all columns stay, whatever their names; a null text stays null; null ids and repeated rows each stay; an empty table stays
+    empty. A text of any length is a row of its own, cut in parts of CHUNK spans."""
     names = F.array(*[F.lit(f"[{k}]") for k in ("EMAIL", "IP", "CARD", "PHONE", "ID")])
     at, text = df.columns.index(text_col), F.col("_text")
     found = _extracted(positional(df).withColumn("_text", F.col(f"_k{at}")))

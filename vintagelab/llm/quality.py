@@ -154,7 +154,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE, id_c
 
     These bounds keep the fit's size fixed whatever the corpus, the lengths of its texts and the repetition of its ids: an id in
     many rows counts once, by its least row of indicators; ids labelled twice count by their largest label, null labels and null
-    ids not at all; without labels of both classes (or on empty tables) there is no model."""
+    ids not at all; without labels of both classes (or on empty tables) there is no model. Null texts are empty, and texts of any
+    length are read whole. An indicator that fewer than LEAST_ROWS of the sample's rows have is given no weight."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:

@@ -163,6 +163,9 @@ def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None, id_c
 
     start counts the ids of all documents before it. Shards are read in parallel, one task each at most; a shard whose frame
     fails its checksum ends the job with an error that names it. The running total is over shards, one row each.
+
+    Null and repeated ids come back as they were written, each as a row; documents without ids of their own (null or empty texts)
+    have the end id; a document of any length is read whole from its frames; an empty manifest gives no rows.
     """
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
