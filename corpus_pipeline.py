@@ -19,29 +19,43 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from all labelled documents outside the held-out fold."""
+    """Documents that the classifier accepts; it learns from the bounded sample of labelled documents outside the held-out fold.
+
+    Null and empty texts are scored as texts without words; null ids and repeated rows are rows like others; long texts are scored
+    whole; an empty table stays empty."""
     model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates.
+
+    Null and empty texts are copies of each other, and so are repeated rows, of which one stays; null ids are kept last; long texts
+    are compared whole; an empty table stays empty."""
     return neardup.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that they share with the benchmark; those that are half benchmark go as a whole."""
+    """Documents without the passages that they share with the benchmark; those that are half benchmark go as a whole.
+
+    Null texts stay null; null ids and repeated rows are rows like others; long texts are cleaned whole; empty tables of either kind
+    change nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _sized(decontaminate.decontaminated(docs, benchmark, max_coverage=0.5))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by marks."""
+    """Documents with personal data replaced by marks.
+
+    Null texts stay null; null ids and repeated rows are rows like others; long texts are read whole; an empty table stays empty."""
     return _sized(pii.redacted(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of 2048."""
+    """Pieces of the documents' ids in sequences of 2048.
+
+    A null text gives its end id; null ids and repeated rows are packed like others; long texts are cut to sequences; an empty
+    table gives none."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
