@@ -258,7 +258,6 @@ def test_models_give_finite_full_paths(name):
 
 def test_models_know_simple_series():
     assert np.allclose(models.auto_ar(line(40), 4), line(44)[40:], atol=1e-3)
-    assert np.allclose(models.local_trend(line(40), 4), line(44)[40:], atol=0.5)
     assert np.allclose(models.drift(line(5), 2), line(7)[5:])
 
 

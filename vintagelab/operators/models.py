@@ -44,36 +44,6 @@ def on_growth(model: Callable[..., np.ndarray], covariates: bool = False) -> For
     return run
 
 
-def exponential(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Simple or damped-trend exponential smoothing, by corrected AIC over a grid."""
-    best = (np.inf, None)
-    n = len(y)
-    for a in (0.1, 0.3, 0.5, 0.7, 0.9):
-        for b, phi in ((0.0, 1.0), (0.1, 0.9), (0.1, 1.0), (0.3, 0.9)):
-            level, trend, sse = y[0], (y[min(4, n - 1)] - y[0]) / max(1, min(4, n - 1)) if b else 0.0, 0.0
-            for v in y[1:]:
-                forecast = level + phi * trend
-                e = v - forecast
-                sse += e * e
-                level = forecast + a * e
-                trend = phi * trend + a * b * e if b else 0.0
-            k = 2 + 2 * bool(b)
-            aic = n * np.log(sse / n + 1e-12) + 2 * k + 2 * k * (k + 1) / max(1, n - k - 1)
-            if aic < best[0]:
-                damp = np.cumsum(phi ** np.arange(1, horizon + 1))
-                best = (aic, level + damp * trend)
-    return best[1]
-
-
-def theta(y: np.ndarray, horizon: int, a: float = 0.5) -> np.ndarray:
-    """Exponential smoothing plus half of the linear trend."""
-    level = y[0]
-    for v in y[1:]:
-        level += a * (v - level)
-    slope = np.polyfit(np.arange(len(y)), y, 1)[0]
-    return level + slope / 2 * (np.arange(horizon) + 1 / a)
-
-
 def auto_ar(y: np.ndarray, horizon: int) -> np.ndarray:
     """AR(p), p up to 8, on levels or differences, by corrected AIC."""
     best = (np.inf, None)
@@ -94,29 +64,6 @@ def auto_ar(y: np.ndarray, horizon: int) -> np.ndarray:
     return y[-1] + np.cumsum(tail) if d else tail
 
 
-def local_trend(y: np.ndarray, horizon: int) -> np.ndarray:
-    """A local linear trend by Kalman filter, variance ratios by likelihood over a grid."""
-    best = (-np.inf, None)
-    for q1 in (0.01, 0.1, 1.0, 10.0):
-        for q2 in (0.0, 0.001, 0.01, 0.1):
-            a, p = np.array([y[0], 0.0]), np.diag([1e7, 1e7])
-            t, q, like, scale, n = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q1, q2]), 0.0, 0.0, 0
-            for v in y:
-                f = p[0, 0] + 1.0
-                e = v - a[0]
-                if n > 1:
-                    like -= 0.5 * np.log(f)
-                    scale += e * e / f
-                k = p[:, 0] / f
-                a, p = a + k * e, p - np.outer(k, p[0])
-                a, p, n = t @ a, t @ p @ t.T + q, n + 1
-            like -= 0.5 * max(1, n - 2) * np.log(scale / max(1, n - 2) + 1e-12)
-            if like > best[0]:
-                best = (like, a)
-    a = best[1]
-    return a[0] + a[1] * np.arange(horizon)
-
-
 def minnesota(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray | None, most: int = 7, strength: float = 6.0, own: float = 1.0) -> np.ndarray:
     """A VAR(2) of the target and its first `most` covariates, each equation a ridge regression to a Minnesota prior whose penalty
     is strength times the squared weight of a coefficient; known future covariates are used as they are."""
@@ -170,12 +117,8 @@ def factors(y: np.ndarray, horizon: int, x: np.ndarray | None, fx: np.ndarray |
 
 
 for _name, _fn in {
-    "auto_ets": lambda y, h, x, fx: exponential(y, h),
-    "theta": lambda y, h, x, fx: theta(y, h),
     "auto_arima": lambda y, h, x, fx: auto_ar(y, h),
     "auto_arima_growth": on_growth(auto_ar),
-    "local_trend_ssm": lambda y, h, x, fx: local_trend(y, h),
-    "local_trend_ssm_growth": on_growth(local_trend),
     "bvar_minnesota": minnesota,
     "bvar_minnesota_20": lambda y, h, x, fx: minnesota(y, h, x, fx, 19, 7.0),
     "bvar_minnesota_growth": on_growth(lambda g, h, x, fx: minnesota(g, h, x, fx, own=0.0), covariates=True),

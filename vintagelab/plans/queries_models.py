@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, autoregression, evaluate, models, trees
+from ..operators import asof, autoregression, evaluate, models, smoothing, trees
 from ..streaming import revisions
 from . import evaluation, pipelines, registry, views
 from .catalog import places, places_sql, query, wide, wide_sql
@@ -28,7 +28,7 @@ def _fitted(name: str, covariates: bool = False):
 for _id, _name, _x in (
     ("m10_bvar_minnesota", "bvar_minnesota", True), ("m10_bvar_minnesota_growth", "bvar_minnesota_growth", True), ("m10_bvar_minnesota_20", "bvar_minnesota_20", True),
     ("m10_bvar_minnesota_growth_20", "bvar_minnesota_growth_20", True),
-    ("m11_factor_pca_qd", "factor_pca_qd", True), ("m15_auto_ets", "auto_ets", False), ("m15_theta", "theta", False), ("m16_auto_arima", "auto_arima", False), ("m17_local_trend_ssm", "local_trend_ssm", False),
+    ("m11_factor_pca_qd", "factor_pca_qd", True), ("m16_auto_arima", "auto_arima", False), ("m16_auto_arima_growth", "auto_arima_growth", False),
 ):
     query(_id)(_fitted(_name, _x))
 
@@ -58,6 +58,37 @@ def _ar_sql(name: str, z: str, back: str) -> str:
     return RV + (AR + AR_ROWS).replace("{name}", name).replace("{z}", z).replace("{back}", back)
 
 
+SMOOTH = ", s AS (SELECT series_id, quarter_ord, y, row_number() OVER (PARTITION BY series_id ORDER BY quarter_ord) AS i FROM qpanel)"
+_PATH = "SELECT '{0}' AS model, s.series_id, s.quarter_ord AS origin_ord, h, s.quarter_ord + h AS target_ord, round({1}, 0) AS y_hat, round(s.y, 0) AS last_y FROM {2} r JOIN s ON s.series_id = r.series_id AND s.i = r.i, (SELECT unnest([1, 2, 3, 4]) AS h) WHERE r.i >= 12"
+
+
+def _smoothed(name: str):
+    return lambda spark, d: smoothing.smoothed_forecasts(views.qpanel(spark, d), 4, 12, (name,))
+
+
+query("m15_theta", RV + SMOOTH + """
+, run AS (SELECT series_id, i, y AS level FROM s WHERE i = 1 UNION ALL SELECT s.series_id, s.i, level + 0.5 * (s.y - level) FROM run r JOIN s ON s.series_id = r.series_id AND s.i = r.i + 1),
+sl AS (SELECT series_id, i, regr_slope(y, i) OVER (PARTITION BY series_id ORDER BY i) AS slope FROM s), both_ AS (SELECT run.series_id, run.i, level, slope FROM run JOIN sl USING (series_id, i))
+""" + _PATH.format("theta", "level + slope / 2 * (h - 1 + 2)", "both_"), 0)(_smoothed("theta"))
+query("m15_auto_ets", RV + SMOOTH + """
+, gr AS (SELECT a, b[1] AS b, b[2] AS phi, row_number() OVER () AS k FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([[0.0, 1.0], [0.1, 0.9], [0.1, 1.0], [0.3, 0.9]]::DOUBLE[][]) AS b)),
+run AS (SELECT s.series_id, gr.k, CAST(1 AS BIGINT) AS i, s.y AS level, CASE WHEN b > 0 THEN (f.y - s.y) / 4 ELSE 0.0 END AS trend, CAST(0 AS DOUBLE) AS sse FROM s JOIN s f ON f.series_id = s.series_id AND f.i = 5, gr WHERE s.i = 1
+  UNION ALL SELECT r.series_id, r.k, s.i, level + phi * trend + a * (s.y - level - phi * trend), phi * trend + a * b * (s.y - level - phi * trend), sse + pow(s.y - level - phi * trend, 2) FROM run r JOIN s ON s.series_id = r.series_id AND s.i = r.i + 1 JOIN gr ON gr.k = r.k),
+rated AS (SELECT r.series_id, r.i, level, trend, phi, row_number() OVER (PARTITION BY r.series_id, r.i ORDER BY r.i * ln(sse / r.i + 1e-12) + 2 * p + 2 * p * (p + 1) / greatest(1.0, r.i - p - 1), r.k) AS place FROM (SELECT run.*, phi, CASE WHEN b > 0 THEN 4 ELSE 2 END AS p FROM run JOIN gr USING (k)) r),
+best AS (SELECT * FROM rated WHERE place = 1)
+""" + _PATH.format("auto_ets", "level + trend * list_sum(list_transform(range(1, h + 1), lambda j: pow(phi, j)))", "best"), 0)(_smoothed("auto_ets"))
+_KALMAN = """
+, gr AS (SELECT q1, q2, row_number() OVER () AS k FROM (SELECT unnest([0.01, 0.1, 1.0, 10.0]::DOUBLE[]) AS q1), (SELECT unnest([0.0, 0.001, 0.01, 0.1]::DOUBLE[]) AS q2)),
+run AS (SELECT series_id, gr.k, CAST(0 AS BIGINT) AS i, y AS a0, CAST(0 AS DOUBLE) AS a1, CAST(1e7 AS DOUBLE) AS p00, CAST(0 AS DOUBLE) AS p01, CAST(1e7 AS DOUBLE) AS p11, CAST(0 AS DOUBLE) AS lik, CAST(0 AS DOUBLE) AS scale FROM s, gr WHERE s.i = 1
+  UNION ALL SELECT series_id, k, i, a0 + k0 * e + a1 + k1 * e, a1 + k1 * e, p00 * (1 - k0) + 2 * p01 * (1 - k0) + (p11 - k1 * p01) + q1, p01 * (1 - k0) + p11 - k1 * p01, p11 - k1 * p01 + q2, lik - CASE WHEN i > 2 THEN 0.5 * ln(f) ELSE 0 END, scale + CASE WHEN i > 2 THEN e * e / f ELSE 0 END
+  FROM (SELECT r.* EXCLUDE (i), s.i, q1, q2, p00 + 1 AS f, s.y - a0 AS e, p00 / (p00 + 1) AS k0, p01 / (p00 + 1) AS k1 FROM run r JOIN s ON s.series_id = r.series_id AND s.i = r.i + 1 JOIN gr ON gr.k = r.k)),
+rated AS (SELECT *, row_number() OVER (PARTITION BY series_id, i ORDER BY 0.5 * greatest(1, i - 2) * ln(scale / greatest(1, i - 2) + 1e-12) - lik, k) AS place FROM run WHERE i > 0),
+best AS (SELECT * FROM rated WHERE place = 1)
+"""
+query("m17_local_trend_ssm", RV + SMOOTH + _KALMAN + _PATH.format("local_trend_ssm", "a0 + a1 * (h - 1)", "best"), 0)(_smoothed("local_trend_ssm"))
+query("m17_local_trend_ssm_growth")(_smoothed("local_trend_ssm_growth"))
+
+
 @query("m08_ar4_growth", _ar_sql("ar4_growth", "ln(y / y1)", "y * exp(total)"), 0)
 def m08(spark, d):
     return autoregression.ar_forecasts(views.qpanel(spark, d), 4, 12, ("ar4_growth",))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import levels_from_growth
-from ..operators import autoregression, baselines, models, trees
+from ..operators import autoregression, baselines, models, smoothing, trees
 
 RANDOM = ("random_normal", "random_uniform", "random_permutation")
 TREES = trees.KINDS
@@ -20,7 +20,7 @@ SETS = {
     "smoke": ["naive_last", "drift", "seasonal_naive"],
     "fast": [*baselines.MODELS, "ar4", "ar4_growth", "theta"],
     "standard": [*baselines.MODELS, "ar4", "ar4_growth", "auto_ets", "theta", "auto_arima", "local_trend_ssm", "bvar_minnesota", "factor_pca_qd"],
-    "full": [*baselines.MODELS, *RANDOM, *autoregression.MODELS, *models.REGISTRY, *TREES],
+    "full": [*baselines.MODELS, *RANDOM, *autoregression.MODELS, *smoothing.MODELS, *models.REGISTRY, *TREES],
 }
 
 
@@ -36,7 +36,7 @@ def register_model(name: str, fn: Callable, kind: str = "pandas") -> None:
     DataFrame operations alone; origins is None for all."""
     if kind not in ("pandas", "frame"):
         raise ValueError(f"no such kind of model: {kind}")
-    if name != name.lower() or name in ALIASES or name in {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY, *OWN}:
+    if name != name.lower() or name in ALIASES or name in {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *smoothing.MODELS, *models.REGISTRY, *OWN}:
         raise ValueError(f"the name is taken, or isn't in lower case: {name}")
     OWN[name] = (kind, fn)
 
@@ -62,7 +62,7 @@ def _by_origin(panel: DataFrame, name: str, fn: Callable, horizon: int, least: i
 def canonical(names: list[str]) -> list[str]:
     """Names without aliases and repeats, in order; an unknown one is an error."""
     out = list(dict.fromkeys(ALIASES.get(n.lower(), n.lower()) for n in names))
-    known = {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *models.REGISTRY, *OWN}
+    known = {*baselines.MODELS, *RANDOM, *TREES, *autoregression.MODELS, *smoothing.MODELS, *models.REGISTRY, *OWN}
     if unknown := [n for n in out if n not in known]:
         raise ValueError(f"unknown models: {unknown}")
     return out
@@ -78,6 +78,8 @@ def forecast(panel: DataFrame, names: list[str], horizon: int = 4, least: int =
         parts.append(baselines.random_forecasts(panel, horizon, least, origins=origins).where(F.col("model").isin(names)))
     if own := tuple(n for n in names if n in autoregression.MODELS):
         parts.append(autoregression.ar_forecasts(panel, horizon, max(least, 8), own, origins=origins))
+    if smooth := tuple(n for n in names if n in smoothing.MODELS):
+        parts.append(smoothing.smoothed_forecasts(panel, horizon, max(least, 8), smooth, origins))
     if fitted := [n for n in names if n in models.REGISTRY]:
         parts.append(models.fitted_forecasts(panel, fitted, horizon, max(least, 8), covariates, origins).drop("error"))
     for n in names:
