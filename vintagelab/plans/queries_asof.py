@@ -151,8 +151,10 @@ SELECT wv.series_id, window_idx, q.quarter_ord, round(coalesce(vp.value, q.y), 4
 LEFT JOIN vp ON vp.series_id = wv.series_id AND vp.vintage_date = wv.vintage_date AND vp.quarter_ord = q.quarter_ord""")
 def j08(spark, d):
     q, w = _windows(spark, d)
-    p = _vp(spark, d)
-    dated = asof.select_vintage(w.withColumn("origin", S.quarter_end(F.col("cutoff_ts"))), p.select(F.col("vintage_date").alias("asof_date")))
+    v = views.versions(spark, d)
+    dated = asof.select_vintage(w.withColumn("origin", S.quarter_end(F.col("cutoff_ts"))), v.select("asof_date"))
+    p = asof.snapshots(v, dated.select(F.col("vintage_date").alias("cutoff")))
+    p = p.select(F.col("cutoff").alias("vintage_date"), "series_id", S.quarter_ord(F.col("obs_date")).alias("quarter_ord"), "value")
     rows = dated.join(q.select("series_id", "quarter_ord", "y"), "series_id").where("quarter_ord <= cutoff_ts")
     return asof.swap_history(rows, p).select("series_id", "window_idx", "quarter_ord", "y")
 

@@ -12,6 +12,8 @@ from .queries_asof import REL
 from .views import VIEWS_SQL as V
 
 SHOCK = (113, 114)
+#: Steps of the baseline backtest.
+HORIZON = 4
 
 PREDS = """
 , hist AS (SELECT series_id, quarter_ord, y, lag(y, 1) OVER o AS y1, lag(y, 2) OVER o AS y2, lag(y, 3) OVER o AS y3, first_value(y) OVER w AS f, count(y) OVER w AS n, avg(y) OVER w AS a
@@ -240,7 +242,7 @@ def _differences(spark, d):
 
 @query("e11_diebold_mariano", V + DIFF + _dm_sql("model, h", "dif"))
 def e11(spark, d):
-    return evaluate.diebold_mariano(_differences(spark, d)).drop("p_value").withColumn("dm", F.round("dm", 3))
+    return evaluate.diebold_mariano(_differences(spark, d), lags=HORIZON - 1).drop("p_value").withColumn("dm", F.round("dm", 3))
 
 
 RUNS = """
@@ -250,7 +252,7 @@ roll AS (SELECT model, h, origin_ord, d, least(40, cnt - 1) AS width, unnest(ran
 
 @query("e12_rolling_diebold_mariano", V + DIFF + RUNS + _dm_sql("model, h, window_end", "roll"))
 def e12(spark, d):
-    return evaluate.rolling_diebold_mariano(_differences(spark, d)).drop("p_value").withColumn("dm", F.round("dm", 3))
+    return evaluate.rolling_diebold_mariano(_differences(spark, d), lags=HORIZON - 1).drop("p_value").withColumn("dm", F.round("dm", 3))
 
 
 @query("e13_fluctuation", V + DIFF + RUNS + """
