@@ -66,10 +66,24 @@ def vocabulary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 def _row(before: tuple[int, int, int], d: int, c: str, word: str) -> tuple[int, int, int]:
     """The edit matrix's row of a prefix of d code points that ends with c, at the word's first d - 1, d and d + 1."""
     size, (left, mid, right) = len(word), before
-    one = min(mid + 1, left + (c != word[d - 2])) if 2 <= d <= size + 1 else d if d == 1 else 2
-    two = min(right + 1, mid + (c != word[d - 1]), one + 1) if d <= size else 2
-    three = min(right + (c != word[d]), two + 1) if d < size else 2
-    return min(one, 2), min(two, 2), min(three, 2)
+    one = two = three = 2
+    if d == 1:
+        one = 1
+    elif d <= size + 1:
+        one = left + (c != word[d - 2])
+        if mid < one - 1:
+            one = mid + 1
+    if d <= size:
+        two = mid + (c != word[d - 1])
+        if right < two - 1:
+            two = right + 1
+        if one < two - 1:
+            two = one + 1
+    if d < size:
+        three = right + (c != word[d])
+        if two < three - 1:
+            three = two + 1
+    return one, two, three
 
 
 def near(words: list[str], shared: list[int], k: int) -> Iterator[int]:
@@ -79,8 +93,9 @@ def near(words: list[str], shared: list[int], k: int) -> Iterator[int]:
         other = words[j]
         del rows[keep + 1 :]
         for d in range(len(rows), len(other) + 1):
-            rows.append(_row(rows[-1], d, other[d - 1], word))
-            if min(rows[-1]) > 1:
+            row = _row(rows[-1], d, other[d - 1], word)
+            rows.append(row)
+            if row[0] > 1 and row[1] > 1 and row[2] > 1:
                 after = bisect_left(words, other[:d] + _LAST, j + 1)
                 break
         else:
