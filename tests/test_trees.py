@@ -65,3 +65,22 @@ def test_odd_series_give_finite_paths(spark):
         got = rows(trees.tree_forecasts(df, kind, 2, 10, refits=1))
         assert {k[0] for k in got} >= {"flat", "gaps"} and all(np.isfinite(v) for v in got.values())
     assert rows(trees.tree_forecasts(df.limit(0), "random_forest", 2)) == {}
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "xgboost"])
+def test_sources_are_read_once_however_often_trees_are_fitted(spark, panel, kind):
+    read, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(tally):
+        def seen(v):
+            tally.add(1)
+            return v
+
+        return F.udf(seen, "string").asNondeterministic()
+
+    source = panel.withColumn("series_id", counted(read)("series_id"))
+    origins = spark.createDataFrame([("S3", 20), ("S3", 20), ("S4", 39), ("S5", 3), ("S99", 20)], "series_id string, origin_ord long")
+    some = rows(trees.tree_forecasts(source, kind, origins=origins.withColumn("series_id", counted(asked)("series_id")), covariates=["x"], known=["season"], **OPTIONS))
+    assert (read.value, asked.value) == (800, 5)
+    every = rows(trees.tree_forecasts(panel, kind, covariates=["x"], known=["season"], **OPTIONS))
+    assert set(some) == {(s, q, h) for s, q in (("S3", 20), ("S4", 39)) for h in range(1, 5)} and all(every[k] == v for k, v in some.items())

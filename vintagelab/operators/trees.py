@@ -3,7 +3,8 @@
 A row of the table is an origin: the last values of its series, the series' statistics up to it, the covariates up to it, and those
 that are known ahead of the quarter to forecast. Trees are refitted at a few cutoffs, each time on rows whose next value was known
 by the cutoff, and score the origins from there up to the next cutoff. A path is `horizon` passes, each of which puts its forecast
-in front of the next one's lags; covariates that aren't known ahead are carried on.
+in front of the next one's lags; covariates that aren't known ahead are carried on. The table is written to the shared folder
+once: each fit and each cutoff's origins read it several times, and what it comes from must not be read as often.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .baselines import at_origins
+from ..sources.files import staged
 
 KINDS = ("random_forest", "xgboost", "random_forest_growth", "xgboost_growth")
 
@@ -65,6 +66,12 @@ def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int =
         raise ValueError(f"no such trees: {kind}; there are {', '.join(KINDS)}")
     growth, covariates, known = kind.endswith("_growth"), covariates or [], known or []
     table, features = origin_table(panel, growth, lags, horizon, covariates, known)
+    if origins is None:
+        table = table.withColumn("asked", F.lit(True))
+    else:
+        some = origins.select("series_id", F.col("origin_ord").alias("quarter_ord"), F.lit(True).alias("asked")).distinct()
+        table = table.join(some, ["series_id", "quarter_ord"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    table = staged(table, "tree-origins")
     pack = VectorAssembler(inputCols=features, outputCol="features")
     lo, hi = table.where(F.col("n") >= least).agg(F.min("quarter_ord"), F.max("quarter_ord")).first()
     cuts = sorted({lo + (hi - lo) * k // refits for k in range(refits)}) if lo is not None else [0]
@@ -74,9 +81,10 @@ def tree_forecasts(panel: DataFrame, kind: str = "random_forest", horizon: int =
         fit = None
         if not learn.isEmpty():
             learner = RandomForestRegressor if kind.startswith("random_forest") else GBTRegressor
+            learn = learn.repartition("series_id").sortWithinPartitions("series_id", "quarter_ord")  # files have no order, and draws and sums follow it
             fit = learner(featuresCol="features", labelCol="next", predictionCol="p", seed=seed, maxDepth=4).fit(pack.transform(learn))
-        now = table.where((F.col("n") >= least) & (F.col("quarter_ord") >= cut) & (F.col("quarter_ord") < (cuts[at + 1] if at + 1 < len(cuts) else (hi or 0) + 1)))
-        now = at_origins(now, origins).withColumns({"sum": F.lit(0.0), "path": F.array().cast("array<double>")})
+        now = table.where(F.col("asked") & (F.col("n") >= least) & (F.col("quarter_ord") >= cut) & (F.col("quarter_ord") < (cuts[at + 1] if at + 1 < len(cuts) else (hi or 0) + 1)))
+        now = now.withColumns({"sum": F.lit(0.0), "path": F.array().cast("array<double>")})
         for h in range(1, horizon + 1):
             now = now.withColumns({f"a{i}": F.col(f"a{i}_{h}") for i in range(len(known))})
             now = fit.transform(pack.transform(now)).drop("features") if fit else now.withColumn("p", F.lit(None).cast("double"))
